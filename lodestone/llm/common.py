@@ -92,21 +92,29 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of many texts at once.
+def word_edges(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word in bytes."""
+    edge = np.flatnonzero(np.diff(SPACE[text], prepend=True, append=True))
+    return edge[::2], edge[1::2]
 
-    Returns the joined bytes, each word's start and end in them, and per text
-    the index of its first word (one more entry than texts).
+
+def hashed_words(texts: list[bytes | None], span: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of the texts, and per text the index of its first word (and the end).
+
+    About ``span`` bytes are held as 64-bit numbers at once, or one longer text.
     """
-    joined = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
-    space = SPACE[joined]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    starts, ends = edge[::2], edge[1::2]
-    lengths = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
-    begin = np.concatenate(([0], np.cumsum(lengths)))
-    return joined, starts, ends, np.searchsorted(starts, begin[:-1]) if len(texts) == 0 else np.append(np.searchsorted(starts, begin[:-1]), len(starts))
-
-
-def word_hashes(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return RollingHash(_BYTE[joined]).of(starts, ends)
+    hashes, counts, k = [], [], 0
+    while k < len(texts):
+        some, size = [], 0
+        while k < len(texts) and (not some or size + len(texts[k] or b"") < span):
+            some.append(texts[k] or b"")
+            size += len(some[-1]) + 1
+            k += 1
+        joined = np.frombuffer(b"\n".join(some) + b"\n", np.uint8)
+        starts, ends = word_edges(joined)
+        hashes.append(RollingHash(_BYTE[joined]).of(starts, ends))
+        begin = np.cumsum([0, *(len(t) + 1 for t in some)])
+        counts.append(np.diff(np.searchsorted(starts, begin)))
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    return np.concatenate(hashes), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
