@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op10_decontamination
+from .html_text import op6_html_text
+from .language_id import op2_language_id
 from .packing import op5_packing
+from .pii import op9_pii
+from .simhash import op3_simhash
+from .substring_dedup import op8_substring_dedup
 from .token_files import op4_token_files
+from .topk import OP1_SQL, op1_topk
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op4_token_files": op4_token_files,
-        "op5_packing": op5_packing,
-    }
+    every = (op1_topk, op2_language_id, op3_simhash, op4_token_files, op5_packing, op6_html_text, op7_toxicity, op8_substring_dedup, op9_pii, op10_decontamination)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk": OP1_SQL}
