@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batch_rows, cut, held_out, table, utf8
 
@@ -166,10 +167,11 @@ def train(docs: DataFrame, *, rows: int = 400, windows: int = 4, languages: int
 
 
 def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) of every row of docs(doc_id, text); all bytes of a text are read.
+    """The rows of docs(doc_id, text, ...) with columns lang_pred and score (0 to 1); all bytes of a text are read.
 
     ``und`` with score 0 if a text is null or has no letter, or if there is no
-    net.  Repeated rows are rows of their own; other columns are ignored.
+    net.  Repeated rows are rows of their own.  Other columns stay; columns named
+    lang_pred and score are replaced.
     """
     batch_rows(docs.sparkSession, 1000)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few hundred kB, whatever the input
@@ -187,11 +189,13 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                 np.add.at(total, text, p)
                 total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-9)
                 lang, score = [net.languages[k] for k in total.argmax(axis=1)], np.minimum(total.max(axis=1), 1.0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), b.column("letters")], ["doc_id", "lang_pred", "score", "letters"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    found = asked.mapInArrow(predict, "doc_id long, lang_pred string, score double, letters boolean")
-    return found.select("doc_id", F.when(F.col("letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"))
+    asked = docs.drop("lang_pred", "score")
+    schema = T.StructType([*asked.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    found = asked.mapInArrow(predict, schema)
+    return found.withColumn("lang_pred", F.when(letters, F.col("lang_pred")).otherwise(UNKNOWN)).withColumn("score", F.when(letters, F.col("score")).otherwise(0.0))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
