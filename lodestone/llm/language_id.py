@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, cut, held_out, table, utf8
+from .common import batch_rows, held_out, table, utf8
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -128,20 +128,22 @@ def windows_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nd
 def train(docs: DataFrame, *, rows: int = 400, windows: int = 4, languages: int = 256) -> ByteNet | None:
     """Learns from docs(doc_id, text, lang); held-out documents are never read.
 
-    ``rows`` bounds the sample: as many documents of each language, those with
-    the smallest hashes of doc_id, and of each its first, last and middle
-    ``windows`` windows.  ``languages`` bounds the languages, the commonest.
+    ``rows`` bounds the sample: about as many documents of each language, chosen
+    by a hash of doc_id, and of each its first, last and middle ``windows``
+    windows.  ``languages`` bounds the languages, the commonest.
     Rows without doc_id, text or lang teach nothing; None if there are none.
     """
     spark = docs.sparkSession
     batch_rows(spark, 1000)
-    known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
+    names = [(r.lang, r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     if not names:
         return None
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = cut(known.where(F.col("lang").isin(names)).withColumn("rank", rank).where(F.col("rank") <= rows).select("doc_id").distinct())
-    sample = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
+    # A share of each language by a hash, so that no task gathers a whole language.
+    share = F.create_map(*[F.lit(x) for lang, n in names for x in (lang, rows / n)])
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
+    sample = known.where(chance < F.try_element_at(share, F.col("lang")))
+    names = [lang for lang, _ in names]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
