@@ -12,7 +12,8 @@ over it also starts earlier in the corpus.
 3. Extension: the whole windows around repeated anchors are hashed and ordered
    by (doc_id, start); all but the first go.
 
-Equal anchors, and equal windows, of a batch are merged before the shuffle, so a
+Copies of a whole text are settled by a digest first; only their originals go
+on.  Equal anchors, and equal windows, of a batch are merged before the shuffle, so a
 passage that a third of all documents share arrives as one row per batch.
 Hashes have 64 bits.
 """
@@ -94,6 +95,13 @@ def _anchors(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(anchors, "hash long, uid long, pos int, more array<struct<uid:long,pos:int>>")
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """uid and copy (true) of the documents whose whole text stands in an earlier one."""
+    marked = docs.select("uid", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    first = marked.groupBy("digest").agg(F.min(F.struct("doc_id", "uid"))["uid"].alias("first"))
+    return marked.join(first, "digest").where(F.col("uid") != F.col("first")).select("uid", F.lit(True).alias("copy"))
+
+
 def _by_document(places: DataFrame, name: str) -> DataFrame:
     return places.groupBy("uid").agg(F.collect_list("pos").alias(name))
 
@@ -141,13 +149,15 @@ def _dedup(docs: DataFrame, window: int, column: str, of) -> DataFrame:
     spark = docs.sparkSession
     batch_rows(spark, 1000)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.monotonically_increasing_id())
     # One exchange of the texts, which the three readers below share.
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.monotonically_increasing_id()).repartition(n, "uid")
+    docs = given.repartition(n, "uid").join(_copies(given).hint("shuffle_hash"), "uid", "left").select("doc_id", "text", "uid", "copy")
+    originals = docs.where("copy is null")
 
-    anchors = _anchors(docs, size)
+    anchors = _anchors(originals, size)
     met = F.sum(F.lit(1) + F.coalesce(F.size("more"), F.lit(0))).over(Window.partitionBy("hash"))
     repeated = anchors.withColumn("met", met).where("met > 1")
-    near = docs.join(_by_document(_once(repeated), "anchors").hint("shuffle_hash"), "uid").select("doc_id", "text", "uid", "anchors")
+    near = originals.join(_by_document(_once(repeated), "anchors").hint("shuffle_hash"), "uid").select("doc_id", "text", "uid", "anchors")
 
     windows = _windows(near, size, window)
     rank = F.row_number().over(Window.partitionBy("hash").orderBy("doc_id", "uid", "pos"))
@@ -158,10 +168,12 @@ def _dedup(docs: DataFrame, window: int, column: str, of) -> DataFrame:
         for b in batches:
             out: dict[str, list] = {"n_words": [], "n_removed": []}
             texts = []
-            for text, starts in zip(utf8(b.column("text")), b.column("gone"), strict=True):
+            for text, copy, starts in zip(utf8(b.column("text")), b.column("copy").to_pylist(), b.column("gone"), strict=True):
                 words = (text or b"").split()
                 out["n_words"].append(len(words))
-                if starts.is_valid and len(starts):
+                if copy:  # every window starts in the original
+                    words = words if len(words) < window else []
+                elif starts.is_valid and len(starts):
                     edge = np.zeros(len(words) + 1, np.int64)
                     at = starts.values.to_numpy()
                     np.add.at(edge, at, 1)
@@ -171,7 +183,7 @@ def _dedup(docs: DataFrame, window: int, column: str, of) -> DataFrame:
                 texts.append(b" ".join(words))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")} | out | of(texts))
 
-    whole = docs.join(gone.hint("shuffle_hash"), "uid", "left").select("doc_id", "text", "gone")
+    whole = docs.join(gone.hint("shuffle_hash"), "uid", "left").select("doc_id", "text", "copy", "gone")
     return whole.mapInArrow(kept, f"doc_id long, n_words long, n_removed long, {column}")
 
 

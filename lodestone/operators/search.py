@@ -76,21 +76,39 @@ def clamp(value: Column, kept_share: bool = False) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
+def _grams(c: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda k: F.substring(c, k, F.lit(3))))
+
+
 def word_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Pairs of texts(key, content) and distinct terms(term) where the term is part of the text.
+    """Pairs of texts(key, content) and distinct terms(term) of three characters or more where the term is part of the text.
 
     A term has word characters only, so it lies within one word of the text:
-    distinct words are joined to terms by the term's first three characters, then
+    distinct words are joined to terms by the rarest trigram of the term, then
     back to their texts.  Returns key, term.
     """
     words = texts.select("key", F.explode(F.array_distinct(T.extract_all(F.lower(F.coalesce("content", F.lit(""))), "[a-z0-9_]+"))).alias("word")).where(F.length("word") >= 3)
-    grams = F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda k: F.substring(F.col("word"), k, F.lit(3)))
-    vocabulary = words.select("word").distinct().select("word", F.explode(F.array_distinct(grams)).alias("gram"))
-    asked = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
-    inside = vocabulary.join(asked, "gram").where(F.contains("word", "term")).select("word", "term")
+    vocabulary = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    seen = vocabulary.groupBy("gram").agg(F.count("*").alias("n"))
+    every = terms.select("term").distinct().where(F.length("term") >= 3).withColumn("grams", _grams(F.col("term")))
+    found = every.select("term", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(seen, "gram")
+    asked = found.groupBy("term", "size").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("met")).where("met = size")
+    inside = vocabulary.join(asked.select("term", "gram"), "gram").where(F.contains("word", "term")).select("word", "term")
     return words.join(inside, "word").select("key", "term").distinct()
 
 
+def matching(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Pairs of texts(text) and terms(term) that match either way round, as functions.text.term_matches has it, by equality joins."""
+    long = lambda df: df.where(F.octet_length("form") >= 3)
+    own = long(texts.select("text").distinct().select("text", F.explode(T.variants(F.lower("text"))).alias("form")))
+    asked = long(terms.select("term").distinct().select("term", F.explode(T.variants("term")).alias("form")))
+    inside = word_hits(own.select(F.col("form").alias("key"), F.col("form").alias("content")).distinct(), asked.select(F.col("form").alias("term")))
+    forth = own.join(inside.select(F.col("key").alias("form"), F.col("term").alias("asked")), "form").join(asked.select("term", F.col("form").alias("asked")), "asked").select("text", "term")
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("form") - 2), lambda i: F.transform(F.sequence(F.lit(3), F.length("form") - i + 1), lambda n: F.substring(F.col("form"), i, n)))))
+    back = asked.where(F.length("form") >= 3).select("term", F.explode(pieces).alias("form")).join(own, "form").select("text", "term")
+    return forth.unionByName(back).distinct()
+
+
 def content_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, key and hits: how many terms of the question have a variant of three bytes or more within chunks(key, content)."""
     forms = terms.select("query_id", "term", F.explode(T.variants("term")).alias("form")).where(F.octet_length("form") >= 3)
@@ -104,39 +122,51 @@ def chunk_search(chunks: DataFrame, questions: DataFrame, weights: SearchWeights
     chunks(rel_path, start_line, symbol, kind, content, token_estimate).  In order:
     base score, exact file names, long, test and legacy penalties; scores of 0 and
     less go; of chunks with one symbol in a file the first stays; three a file.
+
+    Each signal is worked out once for each distinct symbol, path or kind and
+    question; pairs that no signal reaches score 0 and never arise.
     """
     w = weights or SearchWeights()
-    terms = question_terms(questions)
-    keyed = chunks.withColumn("key", F.concat_ws(":", "rel_path", F.col("start_line").cast("string")))
+    terms = question_terms(questions).select("query_id", "term")
+    keyed = chunks.withColumn("key", F.struct("rel_path", "start_line"))
     hits = content_hits(keyed.select("key", "content"), terms)
-    listed = terms.groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
-    asked = listed.join(questions.select("query_id", T.wants_tests("text").alias("wants_tests"), T.wants_legacy("text").alias("wants_legacy")), "query_id")
-    # Each signal gives the pairs that it reaches; pairs that none reaches score 0 and never arise.
-    small = word_hits(keyed.select("key", F.concat_ws(" ", "symbol", "rel_path").alias("content")), terms.select(F.explode(T.variants("term")).alias("term")).where(F.octet_length("term") >= 3))
-    forms = terms.select("query_id", F.explode(T.variants("term")).alias("term"))
-    reached = hits.select("query_id", "key").unionByName(small.join(forms, "term").select("query_id", "key")).distinct()
-    pairs = reached.join(keyed, "key").join(hits, ["query_id", "key"], "left").join(asked, "query_id")
-    scored = pairs.withColumn("score", base_score(w)).withColumn("score", F.col("score") + F.when(exact_filename(F.col("rel_path"), F.col("terms")), w.exact_filename).otherwise(0.0))
-    return finish(penalised(scored, w), limit)
-
-
-def base_score(w: SearchWeights) -> Column:
-    terms, hits = F.col("terms"), F.coalesce("hits", F.lit(0))
-    stem = P.strip_extension(P.base(F.col("rel_path")))
-    s = F.when(T.terms_match(terms, F.col("symbol")), w.symbol_match).otherwise(0.0)
-    s = s + F.when(T.exactly_named(F.col("symbol"), terms), w.symbol_exact).otherwise(0.0)
-    s = s + F.when(T.terms_match(terms, F.col("rel_path")) | T.terms_match(terms, stem), w.path).otherwise(0.0)
-    s = s + F.when(T.terms_match(terms, F.col("kind")), w.kind).otherwise(0.0)
-    s = s + F.least(hits, F.lit(3)) * w.content
-    return s + F.when((F.col("kind") != "file") & (s > 0), w.chunk_scope).otherwise(0.0)
-
-
-def exact_filename(rel_path: Column, terms: Column) -> Column:
-    """The name, its stem or a part of it of three characters or more is a term."""
+    symbol = _met(keyed, terms, "symbol", F.array("symbol"))
+    path = _met(keyed, terms, "rel_path", F.array("rel_path", P.strip_extension(P.base(F.col("rel_path")))))
+    kind = _met(keyed, terms, "kind", F.array("kind"))
+    named = _equal(keyed, terms, "symbol", F.array(F.lower(F.trim("symbol")), F.substring_index(F.lower(F.trim("symbol")), ".", -1)))
+    filed = _equal(keyed, terms, "rel_path", name_parts(F.col("rel_path")))
+    of = lambda signal, c: keyed.select("key", c).join(signal, c).select("query_id", "key")
+    reached = hits.select("query_id", "key")
+    for signal, c in ((symbol, "symbol"), (path, "rel_path"), (kind, "kind"), (filed, "rel_path")):
+        reached = reached.unionByName(of(signal, c))
+    pairs = reached.distinct().join(keyed.drop("content"), "key").join(hits, ["query_id", "key"], "left")
+    flags = ((symbol, "symbol", w.symbol_match), (named, "symbol", w.symbol_exact), (path, "rel_path", w.path), (kind, "kind", w.kind))
+    score = F.least(F.coalesce("hits", F.lit(0)), F.lit(3)) * w.content
+    for k, (signal, c, weight) in enumerate(flags):
+        pairs = pairs.join(signal.withColumn(f"__{k}", F.lit(weight)), ["query_id", c], "left")
+        score = score + F.coalesce(f"__{k}", F.lit(0.0))
+    pairs = pairs.withColumn("score", score).withColumn("score", F.col("score") + F.when((F.col("kind") != "file") & (F.col("score") > 0), w.chunk_scope).otherwise(0.0))
+    pairs = pairs.join(filed.withColumn("__f", F.lit(w.exact_filename)), ["query_id", "rel_path"], "left").withColumn("score", F.col("score") + F.coalesce("__f", F.lit(0.0)))
+    asked = questions.select("query_id", T.wants_tests("text").alias("wants_tests"), T.wants_legacy("text").alias("wants_legacy"))
+    return finish(penalised(pairs.join(asked, "query_id"), w), limit)
+
+
+def _met(chunks: DataFrame, terms: DataFrame, column: str, texts: Column) -> DataFrame:
+    """query_id and values of a column of which a text matches a term of the question."""
+    own = chunks.select(column).distinct().select(column, F.explode(texts).alias("text")).where(F.col("text") != "")
+    return own.join(matching(own, terms), "text").join(terms, "term").select("query_id", column).distinct()
+
+
+def _equal(chunks: DataFrame, terms: DataFrame, column: str, texts: Column) -> DataFrame:
+    """query_id and values of a column of which a text is a term of the question."""
+    return chunks.select(column).distinct().select(column, F.explode(texts).alias("term")).join(terms, "term").select("query_id", column).distinct()
+
+
+def name_parts(rel_path: Column) -> Column:
+    """A file's name, its stem, and parts of it of three characters or more."""
     name = F.lower(P.base(rel_path))
     stem = P.strip_extension(name)
-    parts = F.filter(F.split(stem, "[^a-z0-9]+"), lambda p: F.length(p) >= 3)
-    return F.arrays_overlap(F.concat(F.array(name, stem), parts), terms)
+    return F.concat(F.array(name, stem), F.filter(F.split(stem, "[^a-z0-9]+"), lambda p: F.length(p) >= 3))
 
 
 def twice_kept(score: Column, keep: float) -> Column:
@@ -206,7 +236,8 @@ def rank_files(files: DataFrame, questions: DataFrame, weights: RankWeights | No
     met = by_word.join(forms, "form").join(names, "rel_path")
     # The other way round: the whole stem of a name lies within a form of the term.
     stems = names.withColumn("stem", P.strip_extension(F.col("name"))).where(F.length("stem") >= 3)
-    inner = forms.withColumn("stem", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("form") - 2), lambda i: F.transform(F.sequence(F.lit(3), F.length("form") - i + 1), lambda n: F.substring(F.col("form"), i, n))))))).where(F.length("form") >= 3)
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("form") - 2), lambda i: F.transform(F.sequence(F.lit(3), F.length("form") - i + 1), lambda n: F.substring(F.col("form"), i, n)))))
+    inner = forms.where(F.length("form") >= 3).withColumn("stem", F.explode(pieces))
     back = inner.join(stems, "stem").select("query_id", "pos", "rel_path", F.lit(True).alias("in_name"))
     forth = met.select("query_id", "pos", "rel_path", F.contains("name", "form").alias("in_name"))
     per_term = forth.unionByName(back).groupBy("query_id", "rel_path", "pos").agg(F.max("in_name").alias("in_name"))
