@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import audit, bundles, index, parsing, search
+from .session import kept
 from .sources import files
 
 
@@ -19,7 +20,7 @@ class Engine:
         self.corpus = corpus.select("rel_path", "content")
         self.files = index.file_table(self.corpus)
         self.sources = self.corpus.join(self.files.select("rel_path", "lang"), "rel_path")
-        self.chunks = parsing.code_chunks(self.sources).withColumn("token_estimate", T.token_estimate("content"))
+        self.chunks = kept(parsing.code_chunks(self.sources).withColumn("token_estimate", T.token_estimate("content")))
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Engine:
@@ -37,7 +38,7 @@ class Engine:
     def bundle(self, questions: DataFrame, budget: int = 8000) -> DataFrame:
         """Fragments of the best chunks under a token budget: query_id, query, pos, rel_path, lang, content, used."""
         body = self.chunks.select("rel_path", "start_line", "symbol", "content", "token_estimate")
-        hits = self.search(questions, 24).join(body, ["rel_path", "start_line", "symbol"])
+        hits = kept(self.search(questions, 24).join(body, ["rel_path", "start_line", "symbol"]))
         packed = bundles.pack_greedy(hits.withColumn("tokens", F.col("token_estimate")), budget).select("query_id", "rank", "used")
         return packed.join(hits, ["query_id", "rank"]).join(questions.withColumnRenamed("text", "query"), "query_id").join(self.files.select("rel_path", "lang"), "rel_path").select("query_id", "query", F.col("rank").alias("pos"), "rel_path", "lang", "content", "used")
 
@@ -61,7 +62,7 @@ class Engine:
 
     def audit(self, questions: DataFrame, answers: DataFrame, budget: int = 8000) -> DataFrame:
         """Grounding and drift of answers(answer_id, text), where answer_id is the question's."""
-        fragments = self.bundle(questions, budget).withColumnRenamed("query_id", "answer_id")
+        fragments = kept(self.bundle(questions, budget).withColumnRenamed("query_id", "answer_id"))
         checked = audit.validated(audit.cited(answers), fragments.select("answer_id", "rel_path"))
         context = fragments.groupBy("answer_id").agg(F.array_join(F.collect_list("content"), "\n").alias("text"))
         return audit.grounded_ratio(answers, checked).join(audit.drift(answers, context), "answer_id")

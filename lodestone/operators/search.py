@@ -8,12 +8,14 @@ comparing every term with every text.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..session import kept
 
 
 @dataclass(frozen=True)
@@ -127,19 +129,20 @@ def chunk_search(chunks: DataFrame, questions: DataFrame, weights: SearchWeights
     question; pairs that no signal reaches score 0 and never arise.
     """
     w = weights or SearchWeights()
-    terms = question_terms(questions).select("query_id", "term")
+    terms = kept(question_terms(questions).select("query_id", "term"))
     keyed = chunks.withColumn("key", F.struct("rel_path", "start_line"))
-    hits = content_hits(keyed.select("key", "content"), terms)
-    symbol = _met(keyed, terms, "symbol", F.array("symbol"))
-    path = _met(keyed, terms, "rel_path", F.array("rel_path", P.strip_extension(P.base(F.col("rel_path")))))
-    kind = _met(keyed, terms, "kind", F.array("kind"))
+    hits = kept(content_hits(keyed.select("key", "content"), terms))
+    keyed = kept(keyed.drop("content"))  # all else is read without the texts
+    fields = {"symbol": F.array("symbol"), "rel_path": F.array("rel_path", P.strip_extension(P.base(F.col("rel_path")))), "kind": F.array("kind")}
+    signals = _met(keyed, terms, fields)
+    symbol, path, kind = (signals.where(F.col("field") == c).select("query_id", F.col("value").alias(c)) for c in fields)
     named = _equal(keyed, terms, "symbol", F.array(F.lower(F.trim("symbol")), F.substring_index(F.lower(F.trim("symbol")), ".", -1)))
-    filed = _equal(keyed, terms, "rel_path", name_parts(F.col("rel_path")))
+    filed = kept(_equal(keyed, terms, "rel_path", name_parts(F.col("rel_path"))))
     of = lambda signal, c: keyed.select("key", c).join(signal, c).select("query_id", "key")
     reached = hits.select("query_id", "key")
     for signal, c in ((symbol, "symbol"), (path, "rel_path"), (kind, "kind"), (filed, "rel_path")):
         reached = reached.unionByName(of(signal, c))
-    pairs = reached.distinct().join(keyed.drop("content"), "key").join(hits, ["query_id", "key"], "left")
+    pairs = reached.distinct().join(keyed, "key").join(hits, ["query_id", "key"], "left")
     flags = ((symbol, "symbol", w.symbol_match), (named, "symbol", w.symbol_exact), (path, "rel_path", w.path), (kind, "kind", w.kind))
     score = F.least(F.coalesce("hits", F.lit(0)), F.lit(3)) * w.content
     for k, (signal, c, weight) in enumerate(flags):
@@ -151,10 +154,11 @@ def chunk_search(chunks: DataFrame, questions: DataFrame, weights: SearchWeights
     return finish(penalised(pairs.join(asked, "query_id"), w), limit)
 
 
-def _met(chunks: DataFrame, terms: DataFrame, column: str, texts: Column) -> DataFrame:
-    """query_id and values of a column of which a text matches a term of the question."""
-    own = chunks.select(column).distinct().select(column, F.explode(texts).alias("text")).where(F.col("text") != "")
-    return own.join(matching(own, terms), "text").join(terms, "term").select("query_id", column).distinct()
+def _met(chunks: DataFrame, terms: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """field, value and query_id of the values of the columns ``fields`` of which a text matches a term of the question."""
+    each = [chunks.select(c).distinct().select(F.lit(c).alias("field"), F.col(c).alias("value"), F.explode(texts).alias("text")) for c, texts in fields.items()]
+    own = kept(reduce(DataFrame.unionByName, each).where("text <> ''"))
+    return kept(own.join(matching(own, terms), "text").join(terms, "term").select("query_id", "field", "value").distinct())
 
 
 def _equal(chunks: DataFrame, terms: DataFrame, column: str, texts: Column) -> DataFrame:

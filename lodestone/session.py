@@ -1,4 +1,4 @@
-"""The package on the executors."""
+"""The package on the executors, and results kept in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +23,11 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(here.parent))
     spark.sparkContext.addPyFile(str(bundle))
     _SHIPPED.add(app)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Computes df once, in the folder of spark.checkpoint.dir; a local one only where none is configured."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+    return df.checkpoint(eager=True)
