@@ -89,10 +89,17 @@ class PieceEncoder:
     def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
         known[""] = b""
         new.discard("")
+        # A line end between non-spaces is a piece of its own.
+        lines = {p: p.split("\n") for p in new if "\n" in p}
+        lines = {p: parts for p, parts in lines.items() if all(q and not _ANY_WS.search(q) for q in parts)}
+        if lines:
+            new.difference_update(lines)
+            self._learn(self.bare, {q for parts in lines.values() for q in parts[1:]}.difference(self.bare), "")
+            new.update(parts[0] for parts in lines.values() if parts[0] not in known)
         closed = [p for p in new if p[-1] in _CLOSERS and p[:-1].isalpha()]
         new.difference_update(closed)
         new.update(p[:-1] for p in closed if p[:-1] not in known)
-        odd = [p for p in new if _ANY_WS.search(p)]
+        odd = [p for p in new if not p.isalnum() and _ANY_WS.search(p)]
         new.difference_update(odd)
         # Pieces joined by line ends: a line end before a space or a non-space is always its own piece.
         plain = list(new)
@@ -107,3 +114,5 @@ class PieceEncoder:
                 known[p] = np.array(e.ids, "<u4").tobytes()
         for p in closed:
             known[p] = known[p[:-1]] + (self.bare.get(p[-1]) or self.bare.setdefault(p[-1], self._one(p[-1])))
+        for p, (head, *rest) in lines.items():
+            known[p] = self.line.join([known[head], *map(self.bare.__getitem__, rest)])
