@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import new_dir, table
 from lodestone.llm.decontamination import contaminations
 from lodestone.llm.language_id import UNKNOWN, identify, train
+from lodestone.llm.near_text import similar_texts
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.pii import find_personal_data, sanitise
-from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.tokens import public_path
 from lodestone.session import ship
 
@@ -30,11 +30,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates, 0.8 of their five-word shingles alike, the document with the smallest doc_id stays."""
     ship(spark)
     rows = docs.withColumn(_ROW, F.monotonically_increasing_id())
-    groups = near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(_ROW), "component_id")
-    first = groups.join(rows.select(_ROW, "doc_id"), _ROW).groupBy("component_id").agg(F.min(F.struct("doc_id", _ROW))[_ROW].alias(_ROW))
+    groups = similar_texts(rows.select(F.col(_ROW).alias("row"), "text")).withColumnRenamed("row", _ROW)
+    first = groups.join(rows.select(_ROW, "doc_id"), _ROW).groupBy("label").agg(F.min(F.struct("doc_id", _ROW))[_ROW].alias(_ROW))
     return rows.join(first.select(_ROW), _ROW, "left_semi").select(*docs.columns)
 
 
