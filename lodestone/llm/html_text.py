@@ -11,7 +11,9 @@ Both are smoothed over the blocks in page order, fused with the same ratios of
 the enclosing element, so that headings and short blocks share in the article
 around them, and weighed by what the elements on the path mean (menus, forms,
 adverts and comments weigh nothing; with an article or main element, so does all
-outside it).  Blocks on paths above a share of the page's best path are content.
+outside it).  Paths above a share of the page's best path choose the content: the
+articles they lie in, or without one the elements around their blocks.  All blocks
+of those are kept that weigh something, whatever their own ratios.
 """
 
 from __future__ import annotations
@@ -49,10 +51,17 @@ _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("article", "dropped", "name", "path")
+    __slots__ = ("article", "dropped", "name", "parent", "path")
 
-    def __init__(self, name: str, path: str, article: bool, dropped: bool):
-        self.name, self.path, self.article, self.dropped = name, path, article, dropped
+    def __init__(self, name: str, path: str, article: bool, dropped: bool, parent: Element | None = None):
+        self.name, self.path, self.article, self.dropped, self.parent = name, path, article, dropped, parent
+
+    def around(self) -> Iterator[Element]:
+        """The element and those around it, up to the body."""
+        at = self
+        while at is not None and at.name not in ("", "html", "body"):
+            yield at
+            at = at.parent
 
 
 class Block:
@@ -71,7 +80,7 @@ def _open(name: str, attrs: str, parent: Element) -> Element:
     if not article and (name == "header" or (marks and PAGE_HEADER.search(marks))):
         dropped = True
     path = f"{parent.path}/{name}" + (f".{'.'.join(sorted(kind.split()))}" if kind else "")
-    return Element(name, path, article, dropped)
+    return Element(name, path, article, dropped, parent)
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -183,7 +192,21 @@ def content_blocks(html: str, share: float = 0.08, width: float = 1.0) -> list[s
     for p, f in zip(paths, fused, strict=True):
         total[p].append(f)
     chosen = {p for p, f in total.items() if sum(f) / len(f) >= share * best}
-    return [b.text for b, p, w in zip(blocks, paths, prior, strict=True) if w and p in chosen]
+    core = [k for k, (p, w) in enumerate(zip(paths, prior, strict=True)) if w and p in chosen]
+    containers: set[Element] = set()
+    bare = False  # content right in the body
+    for k in core:
+        around = list(blocks[k].element.around())
+        if inside:
+            containers.update([e for e in around if e.article][-1:])
+        else:
+            containers.update(around[:2])
+            bare = bare or len(around) < 2
+    out = set(core)
+    for k, b in enumerate(blocks):
+        if prior[k] and (any(e in containers for e in b.element.around()) or (bare and not inside and core[0] < k < core[-1] and b.links < len(b.text))):
+            out.add(k)
+    return [blocks[k].text for k in sorted(out)]
 
 
 def extract(pages: DataFrame) -> DataFrame:
