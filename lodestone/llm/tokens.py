@@ -4,7 +4,8 @@ Byte-level BPE merges only inside the pieces its pattern splits a text into, so
 a piece's ids do not depend on its neighbours.  A space that precedes a
 non-space always opens a piece; texts are split there, and each worker keeps
 the ids of the pieces it has met.  Every new piece is encoded by the tokenizers
-library itself.
+library itself, as are whole texts that hold an added token of the vocabulary,
+such as <|endoftext|>.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.keep = keep
         self.spaced: dict[str, bytes] = {}  # by piece without the space before it
         self.bare: dict[str, bytes] = {}
@@ -59,6 +61,11 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if self.added:
+            whole = {k for k, t in enumerate(texts) if t and self.added.search(t)}
+            if whole:
+                rest = iter(self.encode([t for k, t in enumerate(texts) if k not in whole]))
+                return [self._one(t) if k in whole else next(rest) for k, t in enumerate(texts)]
         loose = [bool(t) and _LOOSE.search(t) is not None for t in texts]
         split = [None if not t else _PIECE.findall(t) if odd else t.split(" ") for t, odd in zip(texts, loose, strict=True)]
         spaced: set[str] = set()
