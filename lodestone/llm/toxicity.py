@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
-Texts are folded first: lower case, look-alike letters of other alphabets to
-Latin, digits and signs between letters to the letters they stand for, all else
-to spaces.  The lexicon holds whole words and word beginnings with a weight, the
+Texts are folded first: lower case, letters without their diacritics, look-alike
+letters of other alphabets to Latin, digits and signs between letters to the
+letters they stand for, all else to spaces.  Digits and signs at the start or end
+of a word give further readings of it; of all readings the heaviest counts.  The lexicon holds whole words and word beginnings with a weight, the
 log odds of a toxic label; it is learned from a bounded sample of labelled rows.
 A match inside an exception phrase does not count.  A text's score comes from
 its summed weights, as such and for each hundred words, by logistic regression.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,6 +37,10 @@ STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "pond scum")
 
 _INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$!]+(?=[^\W\d_])")
+_LEADING = re.compile(r"(?<![^\W_])(?<![@$!])[013457@$!]+(?=[^\W\d_])")
+_TRAILING = re.compile(r"(?<=[^\W\d_])[013457@$!]+(?![^\W_])")
+#: A trailing run without the exclamation marks that end a sentence.
+_TRAILING_BUT_MARKS = re.compile(r"(?<=[^\W\d_])[013457@$!]*[013457@$](?=!+(?![^\W_]|[@$]))")
 _ANY_STAND_IN = re.compile(r"[013457@$!]")
 
 
@@ -44,20 +50,45 @@ class _Folds(dict):
     def __missing__(self, code: int) -> str:
         c = chr(code).lower()
         c = "".join(LOOK_ALIKES.get(x, x) for x in c) if 0xFF01 > code or code > 0xFF5E else chr(code - 0xFEE0).lower()
-        self[code] = c = c if c[:1].isalpha() else " "
+        if unicodedata.combining(chr(code)):
+            c = ""
+        else:
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            c = "".join(LOOK_ALIKES.get(x, x) for x in plain) if plain != c and plain.isalpha() and len(plain) == len(c) else c
+            c = c if c[:1].isalpha() else " "
+        self[code] = c
         return c
 
 
 _FOLDS = _Folds()
+_LETTER_RUN = re.compile(r"[^ ]+")
+
+
+def _letters(m: re.Match[str]) -> str:
+    return "".join(STAND_INS[c] for c in m[0])
 
 
 def fold(text: str) -> str:
     """Folded text with a space at either end."""
     if _ANY_STAND_IN.search(text):
-        text = _INSIDE.sub(lambda m: "".join(STAND_INS[c] for c in m[0]), text)
+        text = _INSIDE.sub(_letters, text)
     return f" {text.translate(_FOLDS)} "
 
 
+def readings(text: str) -> list[str]:
+    """Folded texts, of one length: the plain one, and those with digits and signs at the edges of words read as letters."""
+    out = [fold(text)]
+    if _ANY_STAND_IN.search(text):
+        inside = _INSIDE.sub(_letters, text)
+        led = _LEADING.sub(_letters, inside)
+        for start in (inside, led):
+            for trailing in (None, _TRAILING_BUT_MARKS, _TRAILING):
+                folded = f" {(trailing.sub(_letters, start) if trailing else start).translate(_FOLDS)} "
+                if folded not in out:
+                    out.append(folded)
+    return out
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """terms: (term, weight); a term begins with a space and ends with one if it is a whole word."""
@@ -79,9 +110,8 @@ def _automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
     return out
 
 
-def features(text: str | None, lexicon: Lexicon) -> tuple[float, float]:
-    """log(1 + w) of the summed weights w and of the weights in a hundred words; of terms that begin together the heaviest counts."""
-    folded = fold(text or "")
+def _matches(folded: str, lexicon: Lexicon) -> dict[int, float]:
+    """The heaviest weight by the start of its terms, without those in exceptions."""
     heaviest: dict[int, float] = {}
     harmless: list[tuple[int, int]] = []
     if len(_automaton(lexicon)):
@@ -90,7 +120,25 @@ def features(text: str | None, lexicon: Lexicon) -> tuple[float, float]:
                 harmless.append((end - size + 1, end))
             elif weight > heaviest.get(end - size + 1, 0.0):
                 heaviest[end - size + 1] = weight
-    total = sum(w for at, w in heaviest.items() if not any(a <= at < b for a, b in harmless))
+    return {at: w for at, w in heaviest.items() if not any(a <= at < b for a, b in harmless)}
+
+
+def features(text: str | None, lexicon: Lexicon) -> tuple[float, float]:
+    """log(1 + w) of the summed weights w and of the weights in a hundred words; of terms that begin together the heaviest counts."""
+    folded, *others = readings(text or "")
+    found = _matches(folded, lexicon)
+    for other in others:
+        more = _matches(other, lexicon)
+        if more:
+            for m in _LETTER_RUN.finditer(other):
+                s, e = m.span()
+                if s - 1 in more and folded[s:e] != other[s:e]:
+                    own = [k for k in range(s - 1, e - 1) if k in found]
+                    if more[s - 1] > sum(found[k] for k in own):
+                        for k in own:
+                            del found[k]
+                        found[s - 1] = more[s - 1]
+    total = sum(found.values())
     words = folded.count(" ", 0, -1) - folded.count("  ") if total else 1
     return math.log1p(total), math.log1p(100 * total / max(1, words))
 
