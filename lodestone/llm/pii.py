@@ -1,21 +1,22 @@
 """Personal data by patterns, and what gives it away by information theory.
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers:
-the protected entities.  The words near an entity are terms; counted over the
-whole corpus, a term discloses an entity as far as the pointwise mutual
+the protected entities.  The words of a document outside them are terms; counted
+over the whole corpus, a term discloses an entity as far as the pointwise mutual
 information of the two comes up to the information content of the entity,
 
     disclosure = log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e)),
 
-with N documents, n(e) holding the entity, n(t) the term, and n(e,t) the term
-near the entity.  It is 1 if the term is met with this entity alone.  Terms over
-the lower threshold are generalised to their kind, over the upper one removed.
+with N documents, n(e) holding the entity, n(t) the term, and n(e,t) both.  It is
+1 if the term is met with this entity alone.  Terms over the lower threshold are
+generalised to their kind wherever they stand in documents that hold the entity;
+terms over the upper one are removed from all documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,32 +83,12 @@ def _entity(kind: str, value: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(f"{kind}:{value}")).view(np.int64))
 
 
-def near_terms(text: str, spans: list[tuple[int, int, str]], words: int, reach: int = 80) -> list[tuple[int, int, int]]:
-    """(span, start, end) of the terms next to each span: up to ``words`` on either side, within ``reach`` characters, on its line, outside all spans."""
-    out = []
-    for k, (a, b, _) in enumerate(spans):
-        low = max(0, a - reach, text.rfind("\n", 0, a) + 1, max((e for _, e, _ in spans if e <= a), default=0))
-        stop = text.find("\n", b)
-        high = min(len(text) if stop < 0 else stop, b + reach, min((s for s, _, _ in spans if s >= b), default=len(text)))
-        before = [(low + m.start(), low + m.end()) for m in _WORD.finditer(text[low:a])]
-        after = [(b + m.start(), b + m.end()) for m in _WORD.finditer(text[b:high])]
-        # A word that goes on beyond the slice is not a whole term.
-        if before and before[0][0] == low > 0 and _WORD.match(text, low - 1):
-            before = before[1:]
-        if after and after[-1][1] == high < len(text) and _WORD.match(text, high):
-            after = after[:-1]
-        inside = lambda s, e: any(x < e and s < y for x, y, _ in spans)
-        out += [(k, s, e) for s, e in (before[-words:] if words else []) + after[:words] if not inside(s, e)]
-    return out
-
-
 _SPAN = "struct<start:int,end:int,kind:string>"
-_TERM = "struct<entity:long,term:long,start:int,end:int,shape:string>"
-_FOUND = f"uid long, doc_id long, spans array<{_SPAN}>, terms array<{_TERM}>"
+_FOUND = f"uid long, doc_id long, spans array<{_SPAN}>, entities array<long>"
 _ARROW = pa.schema([
     ("uid", pa.int64()), ("doc_id", pa.int64()),
     ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))),
-    ("terms", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("shape", pa.string())]))),
+    ("entities", pa.list_(pa.int64())),
 ])
 
 
@@ -115,44 +96,108 @@ def _shape(word: str) -> str:
     return "number" if any(c.isdigit() for c in word) else "name" if word[:1].isupper() else "word"
 
 
-def _detected(docs: DataFrame, words: int) -> DataFrame:
+def _detected(docs: DataFrame) -> DataFrame:
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, terms, texts = [], [], []
+            spans, entities = [], []
             for text in b.column("text").to_pylist():
                 found = find_spans(text or "")
                 spans.append([{"start": s, "end": e, "kind": kind} for s, e, kind in found])
-                near = []
-                for k, s, e in near_terms(text, found, words) if found else ():
-                    near.append({"entity": _entity(found[k][2], text[found[k][0] : found[k][1]]), "term": len(texts), "start": s, "end": e, "shape": _shape(text[s:e])})
-                    texts.append(text[s:e].encode().translate(_LETTERS))
-                terms.append(near)
-            hashes = hashed_words(texts)[0].view(np.int64).tolist()  # each term is one word
-            for near in terms:
-                for t in near:
-                    t["term"] = hashes[t["term"]]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(spans, _ARROW.field("spans").type), pa.array(terms, _ARROW.field("terms").type)], schema=_ARROW)
+                entities.append(sorted({_entity(kind, text[s:e]) for s, e, kind in found}))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(spans, _ARROW.field("spans").type), pa.array(entities, _ARROW.field("entities").type)], schema=_ARROW)
 
     return docs.mapInArrow(detect, _FOUND)
 
 
-def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term and n_t, the documents that hold it, for the terms given.
+def _outside(text: str) -> bytes:
+    """The text with its base spans blanked, ready to be cut into words."""
+    parts, at = [], 0
+    for s, e, _ in find_spans(text):
+        if s >= at:
+            parts += [text[at:s], " "]
+        at = max(at, e)
+    return "".join([*parts, text[at:]]).encode().translate(_LETTERS)
 
-    A fixed filter of 2**23 bits tells which words may be terms; other words stay
-    in their task, and the join removes what the filter let through.
-    """
+
+def _together(docs: DataFrame) -> DataFrame:
+    """entity, term and n, the documents of a batch that hold both."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, owners = [], []
+            for text in b.column("text").to_pylist():
+                found = {_entity(kind, text[s:e]) for s, e, kind in find_spans(text or "")}
+                if found:
+                    texts.append(_outside(text))
+                    owners.append(np.array(sorted(found), np.int64))
+            hashes, first = hashed_words(texts)
+            held: dict[int, list[np.ndarray]] = defaultdict(list)
+            for own, s, e in zip(owners, first[:-1], first[1:], strict=True):
+                terms = np.unique(hashes[s:e])
+                for entity in own.tolist():
+                    held[entity].append(terms)
+            for entity, lists in held.items():
+                terms, n = np.unique(np.concatenate(lists), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), entity, np.int64)), pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["entity", "term", "n"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One entity's rows are few; Spark gets them in larger batches.
+        kept, n = [], 0
+        for b in pairs(batches):
+            kept.append(b)
+            n += b.num_rows
+            if n >= 100_000:
+                yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+                kept, n = [], 0
+        if n:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+    return docs.select("text").mapInArrow(joined, "entity long, term long, n long")
+
+
+def _filter(terms: DataFrame) -> np.ndarray:
+    """A fixed filter of 2**23 bits, packed, that tells which words may be among the terms."""
     bits = terms.select(F.shiftrightunsigned("term", 64 - _SEEN_BITS).cast("int").alias("b"))
     packed = bits.groupBy(F.shiftright("b", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, b & 31))").alias("m"))
     seen = np.zeros(1 << _SEEN_BITS, bool)
     for w, m in packed.toLocalIterator():  # at most 2**18 rows, whatever the input
         seen[32 * w : 32 * w + 32] = [m >> k & 1 for k in range(32)]
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(seen))
+    return np.packbits(seen)
+
+
+def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """uid, term, start, end and shape of the words outside base spans that may be among the terms."""
+    held = docs.sparkSession.sparkContext.broadcast(_filter(terms))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.unpackbits(held.value).astype(bool)
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            hashes, first = hashed_words([t.encode().translate(_LETTERS) for t in texts])
+            at = np.flatnonzero(seen[(hashes >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)])
+            doc = np.searchsorted(first, at, "right") - 1
+            out, known = [], -1
+            for d, k in zip(doc.tolist(), at.tolist(), strict=True):
+                if d != known:
+                    known, spans, words = d, find_spans(texts[d]), list(_WORD.finditer(texts[d]))
+                s, e = words[k - int(first[d])].span()
+                if not any(x < e and s < y for x, y, _ in spans):
+                    out.append((d, k, s, e, _shape(texts[d][s:e])))
+            d, k, s, e, shape = zip(*out, strict=True) if out else ((), (), (), (), ())
+            uid = b.column("uid").to_numpy()[np.array(d, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(hashes[np.array(k, np.int64)].view(np.int64)), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(shape, pa.string())], ["uid", "term", "start", "end", "shape"])
+
+    return docs.select("uid", "text").mapInArrow(places, "uid long, term long, start int, end int, shape string")
+
+
+def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term and n_t, the documents that hold it, for the terms given; other words stay in their task as far as the filter tells."""
+    held = docs.sparkSession.sparkContext.broadcast(_filter(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(held.value).astype(bool)
         for b in batches:
-            hashes, first = hashed_words([(t or "").encode().translate(_LETTERS) for t in b.column("text").to_pylist()])
+            hashes, first = hashed_words([_outside(t or "") for t in b.column("text").to_pylist()])
             at = np.flatnonzero(seen[(hashes >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)])
             doc = np.searchsorted(first, at, "right") - 1
             both = np.unique(np.stack([doc.astype(np.uint64), hashes[at]]), axis=1)[1] if len(at) else np.empty(0, np.uint64)
@@ -166,9 +211,8 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, found: DataFrame, *, support: int, generalise: float) -> DataFrame:
     """entity, term and disclosure of the pairs at or over the lower threshold, met in ``support`` documents or more."""
     n = docs.count()
-    near = found.select("uid", F.explode("terms").alias("t")).select("uid", "t.entity", "t.term").distinct()
-    pairs = cut(near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support))
-    own = found.where(F.size("terms") > 0).select("uid", F.explode(F.array_distinct(F.transform("terms", lambda t: t["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    own = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = cut(_together(docs).groupBy("entity", "term").agg(F.sum("n").alias("n_et")).where(F.col("n_et") >= support))
     terms = pairs.select("term").distinct()
     weighed = pairs.join(own, "entity").join(_document_counts(docs, terms), "term")
     content = F.log2(F.lit(float(n)) / F.col("n_e"))
@@ -176,31 +220,33 @@ def disclosures(docs: DataFrame, found: DataFrame, *, support: int, generalise:
     return weighed.withColumn("disclosure", F.when(content > 0, shared / content)).where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
 
 
-def find_personal_data(docs: DataFrame, *, words: int = 4, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """The rows of docs(doc_id, text, ...) with a column spans: array of (start, end, kind) by start, null if there is none.
 
     Kinds are email, ip, card and phone, and for disclosing terms name, number,
-    word (generalised) and removed.  ``words`` on either side of an entity, on its
-    line, are its terms; ``support`` is the least number of documents that a term
-    must be near the same entity in.  Counts are over all documents.
+    word (generalised) and removed.  ``support`` is the least number of documents
+    that a term must share with the same entity.  Counts are over all documents.
 
     Null and empty texts have no span.  Repeated rows are documents of their own.
     Other columns stay; one named spans is replaced.
     """
-    asked, found, extra = _analysed(docs.drop("spans"), words, support, generalise, remove)
-    spans = _all_spans(found.where(F.size("spans") > 0).join(extra, "uid", "left")).select("uid", "spans")
+    asked, found, extra = _analysed(docs.drop("spans"), support, generalise, remove)
+    spans = _all_spans(found.join(extra, "uid", "left")).where(F.size("spans") > 0).select("uid", "spans")
     return asked.join(spans.withColumnRenamed("uid", _UID), _UID, "left").drop(_UID)
 
 
-def _analysed(docs: DataFrame, words: int, support: int, generalise: float, remove: float):
+def _analysed(docs: DataFrame, support: int, generalise: float, remove: float):
     batch_rows(docs.sparkSession, 1000)
     asked = docs.withColumn(_UID, F.monotonically_increasing_id())
-    found = cut(_detected(asked.select(F.col(_UID).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), words))
-    pairs = disclosures(asked, found, support=support, generalise=generalise)
-    kind = F.when(F.col("disclosure") >= remove, "removed").otherwise(F.col("t.shape"))
-    near = found.select("uid", F.explode("terms").alias("t")).withColumn("entity", F.col("t.entity")).withColumn("term", F.col("t.term"))
-    told = near.join(pairs, ["entity", "term"]).select("uid", F.struct(F.col("t.start").alias("start"), F.col("t.end").alias("end"), kind.alias("kind")).alias("s"))
-    # A term near two entities is one span, removed if either asks for it.
+    texts = asked.select(F.col(_UID).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = cut(_detected(texts))
+    pairs = cut(disclosures(texts, found, support=support, generalise=generalise))
+    places = cut(_places(texts, pairs.select("term").distinct()))
+    at = F.struct("start", "end", F.lit("removed").alias("kind")).alias("s")
+    gone = places.join(pairs.where(F.col("disclosure") >= remove).select("term").distinct(), "term").select("uid", at)
+    holders = found.select("uid", F.explode("entities").alias("entity")).join(pairs.where(F.col("disclosure") < remove), "entity").select("uid", "term").distinct()
+    told = gone.unionByName(places.join(holders, ["uid", "term"]).select("uid", F.struct("start", "end", F.col("shape").alias("kind")).alias("s")))
+    # A term of two entities is one span, removed if either asks for it.
     told = told.groupBy("uid", F.col("s.start").alias("start"), F.col("s.end").alias("end")).agg(F.max(F.struct((F.col("s.kind") == "removed").alias("r"), F.col("s.kind").alias("kind"))).alias("k"))
     extra = told.groupBy("uid").agg(F.collect_list(F.struct("start", "end", F.col("k.kind").alias("kind"))).alias("extra"))
     return asked, found, extra
@@ -239,7 +285,7 @@ def _listed(spans: Column) -> Column:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents: counts and digest of the base spans, and all spans."""
-    _, found, extra = _analysed(table(spark, sf_dir, "documents"), words=4, support=3, generalise=0.8, remove=0.95)
+    _, found, extra = _analysed(table(spark, sf_dir, "documents"), support=3, generalise=0.8, remove=0.95)
     joined = _all_spans(found.join(extra, "uid", "left"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
