@@ -1,5 +1,7 @@
 """Terms disclose by their documents, wherever they stand."""
 
+from math import log2
+
 from lodestone.llm import pii
 
 
@@ -10,3 +12,14 @@ def test_far_terms_and_counts(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(pii.find_personal_data(docs)).collect()}
     assert len(clean) == len(rows) and clean[0].count("[NAME]") == 2 and clean[10] == "Zorblax again"
     assert "Zorblax" not in clean[0] and clean[100] == rows[-1][1] and "[EMAIL]" in clean[0]
+
+
+def test_removed_everywhere_and_all_holders_counted(spark):
+    rows = [(k, f"Zorblax\n\n{'so on ' * 30}\nanna@mail.example.org") for k in range(60)] + [(99, "only Zorblax"), (98, "anna@mail.example.org")]
+    docs = spark.createDataFrame(rows + [(1000 + k, "so on only") for k in range(3000)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(pii.find_personal_data(docs)).collect()}
+    assert clean[99] == "only " and "Zorblax" not in clean[0] and clean[1000] == "so on only"
+    texts = docs.selectExpr("doc_id as uid", "doc_id", "text")
+    row = pii.disclosures(texts, pii._detected(texts), support=3, generalise=0.8).collect()[0]
+    n, ne, nt = 3062, 61, 61
+    assert abs(row.disclosure - log2(n * 60 / (ne * nt)) / log2(n / ne)) < 1e-9
