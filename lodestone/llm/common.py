@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only on a local master that configures none."""
     sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if given is None:
-        given = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        given = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(given)
     return given if "://" in given or given.startswith("file:") else f"file://{given}"
@@ -36,9 +39,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Rows handed to Python at once; whole texts need fewer than Spark's 10,000."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder; smaller than a checkpoint where rows hold texts."""
+    path = new_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def whole_texts(spark: SparkSession) -> None:
+    """For queries over whole texts: hands Python fewer rows at once than Spark's 10,000.  Operators don't call it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, whatever the session hands over at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+#: Keys that hold more than 1 / HOT of all rows are hot; there are fewer than HOT of them.
+HOT = 50_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with facts, which has one row a key and n, the number of that key's rows.
+
+    total is the number of rows.  The facts of hot keys, fewer than HOT rows
+    whatever the input, are broadcast, so the rows of a hot key stay where they
+    are; the others are shuffled.  n is dropped.
+    """
+    hot = facts.where(F.col("n") * HOT > total).drop("n")
+    cold = facts.where(F.col("n") * HOT <= total).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
 def held_out(doc_id: Column) -> Column:

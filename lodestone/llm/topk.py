@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, cut, table
+from .common import cut, sliced, table
+
+#: Lengths of vectors that get pivots, the commonest; others have norms alone for a bound.
+_LENGTHS = 100
 
 
 def quantised(embedding: Column) -> Column:
@@ -26,16 +29,25 @@ def quantised(embedding: Column) -> Column:
     return F.when(x.isNotNull() & ~odd, F.transform(x, lambda v: F.floor(256 * v)))
 
 
-def _pivots(vectors: DataFrame, pivots: int, sample: int, dim: int) -> np.ndarray:
-    """Vectors far from one another among a bounded sample, those with the smallest hashes of vec_id."""
-    rows = vectors.where(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
-    x = np.array([r.v for r in rows], float).reshape(len(rows), dim)
-    chosen = [0]
-    far = ((x - x[0]) ** 2).sum(1)
-    while len(chosen) < min(pivots, len(x)) and far.max() > 0:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
-    return x[chosen]
+def _pivots(vectors: DataFrame, pivots: int, sample: int) -> dict[int, np.ndarray]:
+    """By length, vectors far from one another among a bounded sample, those with the smallest hashes of vec_id."""
+    common = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(_LENGTHS)
+    sized = vectors.withColumn("d", F.size("v")).join(F.broadcast(common.select("d")), "d")
+    rank = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("vec_id"), "vec_id"))
+    rows = sized.withColumn("rank", rank).where(F.col("rank") <= sample).orderBy("d", "rank").select("d", "v").collect()
+    held: dict[int, list] = {}
+    for d, v in rows:
+        held.setdefault(d, []).append(v)
+    out = {}
+    for d, found in held.items():
+        x = np.array(found, float).reshape(len(found), d)
+        chosen = [0]
+        far = ((x - x[0]) ** 2).sum(1)
+        while len(chosen) < min(pivots, len(x)) and far.max() > 0:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+        out[d] = x[chosen]
+    return out
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -43,26 +55,54 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, dx: np.ndarray, query: int | None, q: np.ndarray, dq: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (vec_id, score) of a block for one query, ties to smaller vec_id; x, q int64."""
-    norms = np.einsum("ij,ij->i", x, x)
-    bound = (float((q * q).sum()) + norms - np.abs(dx - dq).max(axis=1) ** 2) / 2
-    # Bounds come from floats, scores are integers: a margin keeps the bound above the score.
-    bound += 1e-6 * (np.abs(bound) + norms + 1) + 1
+def _grid(column: pa.Array, rows: int, kind) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return flat.reshape(rows, len(flat) // rows)
+
+
+class Block:
+    """Vectors x (int64, one or more) with their distances dx to the pivots."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, dx: np.ndarray):
+        self.ids, self.x, self.dx, self.real = ids, x, dx, x.astype(float)
+        self.norms = np.einsum("ij,ij->i", self.real, self.real)
+        self.most = float(np.abs(self.real).max(initial=0)) * x.shape[1]
+
+
+def search_block(block: Block, query: int | None, q: np.ndarray, dq: np.ndarray, k: int, step: int = 512) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k best (vec_id, score) of a block for one query, ties to smaller vec_id, and how many candidates were evaluated; q int64.
+
+    Scores are int64 products, which are right whenever the score fits a long;
+    where doubles hold all sums exactly they do the work.
+    """
+    ids, x, norms, rq = block.ids, block.x, block.norms, q.astype(float)
+    if block.most * float(np.abs(rq).max(initial=0)) < 2**53:
+        x, q = block.real, rq
+    own = float(rq @ rq)
+    low = np.abs(block.dx - dq).max(axis=1) if block.dx.shape[1] else np.abs(np.sqrt(norms) - np.sqrt(own))
+    # Pivots' distances are rounded: a margin keeps the bound above the score.
+    bound = (own + norms - low**2) / 2 + 1e-6 * (own + norms + 1) + 1
     order = np.argsort(-bound, kind="stable")
-    best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
-    for at in range(0, len(order), step):
-        some = order[at : at + step]
+    best_ids, best, done = np.empty(0, np.int64), np.empty(0, np.int64), 0
+    while done < len(order):
+        some = order[done : done + step]
         if len(best) == k and bound[some[0]] < best[-1]:
             break
-        some = some[ids[some] != query] if query is not None else some
-        best_ids, best = np.concatenate([best_ids, ids[some]]), np.concatenate([best, x[some] @ q])
+        done, step = done + len(some), 2 * step
+        scores = x[some] @ q
+        best_ids, best = np.concatenate([best_ids, ids[some]]), np.concatenate([best, scores.astype(np.int64)])
+        if query is not None:
+            other = best_ids != query
+            best_ids, best = best_ids[other], best[other]
+        if len(best) > 4 * k:
+            near = best >= np.partition(best, len(best) - k)[len(best) - k]
+            best_ids, best = best_ids[near], best[near]
         keep = np.lexsort((best_ids, -best))[:k]
         best_ids, best = best_ids[keep], best[keep]
-    return best_ids, best
+    return best_ids, best, done
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, pivots: int = 16, sample: int = 2048, block: int = 8192, query_block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, pivots: int = 64, sample: int = 2048, block: int = 8192, query_block: int = 4096) -> DataFrame:
     """The k highest inner products of every query among all vectors.
 
     vectors, queries: vec_id long and v array<long> (see ``quantised``).  Returns
@@ -72,45 +112,49 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, pivots: int = 1
 
     Vectors are dealt to blocks of about ``block`` rows by a hash, queries to
     blocks of about ``query_block``; every pair of blocks meets once and brings k
-    rows back for each query.  ``sample`` bounds the rows among which pivots are
-    chosen.  Rows with null
-    vec_id or v take no part; vectors of different lengths never meet; repeated
-    queries count once, repeated vectors as often as they are there.  Scores must
-    fit a long.  Other columns are ignored; empty tables give no row.
+    rows back for each query.  ``sample`` bounds the rows of a length among which
+    pivots are chosen, for the hundred commonest lengths; vectors of other lengths
+    are bounded by their norms.  Rows with null vec_id or v take no part; vectors
+    of different lengths never meet; repeated queries count once, repeated vectors
+    as often as they are there.  Scores must fit a long.  Other columns are
+    ignored; empty tables give no row.
     """
-    spark = vectors.sparkSession
-    batch_rows(spark, 10_000)
     some = vectors.where("vec_id is not null and v is not null").select("vec_id", "v")
     asked = queries.where("vec_id is not null and v is not null").select("vec_id", "v").distinct()
-    dims = [r[0] for r in some.select(F.size("v").alias("d")).distinct().limit(101).collect()]
-    if len(dims) > 100:
-        raise ValueError("vectors of more than 100 lengths")
-    table_of = {d: _pivots(some, pivots, sample, d) for d in dims}  # at most ``pivots`` vectors of each length
+    table_of = some.sparkSession.sparkContext.broadcast(_pivots(some, pivots, sample))  # at most ``pivots`` vectors of each of 100 lengths
     blocks, query_blocks = max(1, -(-some.count() // block)), max(1, -(-asked.count() // query_block))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            far = []
-            for v in b.column("v").to_pylist():
-                far.append(_distances(np.array([v], float).reshape(1, -1), table_of[len(v)])[0].tolist() if len(v) in table_of else None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(far, pa.list_(pa.float64()))], [*b.schema.names, "far"])
+        for b in sliced(batches, 4096):
+            v, d = b.column("v"), b.column("v").value_lengths().to_numpy()
+            order = np.argsort(d, kind="stable")
+            edges = np.flatnonzero(np.diff(d[order], prepend=-1))
+            far, wide = [], []
+            for at, n in zip(edges, [*edges[1:], len(d)], strict=True):
+                x = v.take(pa.array(order[at:n]))
+                p = table_of.value.get(int(d[order[at]]))
+                m = _distances(_grid(x, n - at, float), p) if p is not None and d[order[at]] else np.empty((n - at, 0))
+                far.append(m.ravel())
+                wide.append(np.full(n - at, m.shape[1]))
+            ends = np.concatenate(([0], np.cumsum(np.concatenate(wide)))).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(far)))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(order)) for c in b.columns), column], [*b.schema.names, "far"])
 
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     filed = some.withColumn("block", dealt(F.struct("vec_id", F.monotonically_increasing_id()), blocks)).mapInArrow(measured, "vec_id long, v array<long>, block int, far array<double>")
     filed = filed.withColumn("query_block", every(query_blocks)).withColumn("d", F.size("v"))
-    sent = asked.withColumn("query_block", dealt("vec_id", query_blocks)).mapInArrow(measured, "vec_id long, v array<long>, query_block int, far array<double>").where("far is not null")
+    sent = asked.withColumn("query_block", dealt("vec_id", query_blocks)).mapInArrow(measured, "vec_id long, v array<long>, query_block int, far array<double>")
     sent = sent.withColumn("block", every(blocks)).withColumn("d", F.size("v"))
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            d = key[2].as_py()
-            grid = lambda t, c, kind, w: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(t.num_rows, w)
-            p = len(table_of[d])
-            ids, x, dx = left.column("vec_id").to_numpy(), grid(left, "v", np.int64, d), grid(left, "far", float, p)
-            for query, q, dq in zip(right.column("vec_id").to_pylist(), grid(right, "v", np.int64, d), grid(right, "far", float, p), strict=True):
-                found, scores = search_block(ids, x, dx, query, q, dq, k)
+        n, m = left.num_rows, right.num_rows
+        if n and m:
+            whole = lambda t, c: t.column(c).combine_chunks() if t.column(c).num_chunks != 1 else t.column(c).chunk(0)
+            held = Block(left.column("vec_id").to_numpy(), _grid(whole(left, "v"), n, np.int64), _grid(whole(left, "far"), n, float))
+            for query, q, dq in zip(right.column("vec_id").to_pylist(), _grid(whole(right, "v"), m, np.int64), _grid(whole(right, "far"), m, float), strict=True):
+                found, scores, _ = search_block(held, query, q, dq, k)
                 out["query_id"] += [query] * len(found)
                 out["vec_id"] += found.tolist()
                 out["score"] += scores.tolist()
