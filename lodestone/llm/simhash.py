@@ -1,13 +1,20 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits.  If two
-fingerprints differ in at most three bits, two of the three segments differ in
-at most one bit each.  The (23, 12) Golay code is perfect: every 23-bit word is
-decoded to one of 4096 codewords.  A fingerprint is filed under the codeword
-indices of each pair of its segments (three keys); it is looked up under those
-of all words within one bit of its segments (at most six indices a segment, so
-36 keys a pair).  Words one bit apart therefore always meet, and each meeting is
-verified on the fingerprints themselves.
+A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits.  The (23, 12)
+Golay code is perfect: every 23-bit word is decoded to one of 4096 codewords, and
+a segment's word and all words within a bit of it to at most six.  Three bit
+errors spread over three segments in one of two ways:
+
+* a segment is free of errors and another holds one at most.  Keys: the bits of
+  the first with a codeword index of the second; a fingerprint is filed under its
+  own index and looked up under those of the words within a bit, for each of the
+  six ordered pairs of segments;
+* every segment holds one.  Keys: three codeword indices.  The lookup takes those
+  of the words within a bit of the first and third segment, the filing those
+  within a bit of the second, so that neither side spreads over all three.
+
+All keys have 33 bits or more, so chance meetings stay few among billions of
+fingerprints; each meeting is verified on the fingerprints themselves.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, cut, table, utf8
+from .common import cut, sliced, spread_join, table, utf8
 from .components import components
 
 SEED = 42
@@ -30,7 +37,8 @@ SEED = 42
 GOLAY = 0b101011100011
 #: (shift, bits) of the segments of a fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: (free of errors, one error at most).
+PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -83,22 +91,28 @@ def _indices(prints: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which fingerprints are filed (n x 3) and looked up (n x 108, -1 where fewer)."""
+    """Keys under which fingerprints are filed (n x 12) and looked up (n x 72), -1 where fewer."""
+    n = len(prints)
     own, near = zip(*(_indices(prints, s) for s in range(3)), strict=True)
+    own, near = [x.astype(np.int64) for x in own], [x.astype(np.int64) for x in near]
+    raw = [((prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64) for shift, bits in SEGMENTS]
     filed, sought = [], []
-    for k, (a, b) in enumerate(PAIRS):
-        filed.append((k << 24) | (own[a] << 12) | own[b])
-        x, y = near[a][:, :, None], near[b][:, None, :]
-        sought.append(np.where((x >= 0) & (y >= 0), (k << 24) | (x << 12) | y, -1).reshape(len(prints), -1))
-    return np.stack(filed, 1), np.concatenate(sought, 1)
+    for k, (exact, other) in enumerate(PAIRS):
+        base = (k << 40) | (raw[exact] << 12)
+        filed.append((base | own[other])[:, None])
+        sought.append(np.where(near[other] >= 0, base[:, None] | near[other], -1))
+    every = lambda a, b, c: np.where((a >= 0) & (b >= 0) & (c >= 0), (len(PAIRS) << 40) | (a << 24) | (b << 12) | c, -1).reshape(n, -1)
+    flat = [x[:, None, None] for x in own]
+    filed.append(every(flat[0], near[1][:, :, None], flat[2]))
+    sought.append(every(near[0][:, :, None], flat[1], near[2][:, None, :]))
+    return np.concatenate(filed, 1), np.concatenate(sought, 1)
 
 
 def fingerprints(docs: DataFrame, *, words: int = 3) -> DataFrame:
     """doc_id and fingerprint (long, the unsigned bits) of docs(doc_id, text)."""
-    batch_rows(docs.sparkSession, 1000)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.fromiter((fingerprint(t, words) for t in utf8(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
 
@@ -113,9 +127,9 @@ def _keys(prints: DataFrame, sought: bool) -> DataFrame:
                 some = values[k : k + 8192]
                 found = golay_keys(some.view(np.uint64))[sought]
                 row, column = np.nonzero(found >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[row, column].astype(np.int32)), pa.array(some[row])], ["key", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[row, column]), pa.array(some[row])], ["key", "fingerprint"])
 
-    return prints.mapInArrow(keys, "key int, fingerprint long")
+    return prints.mapInArrow(keys, "key long, fingerprint long")
 
 
 def fingerprint_links(prints: DataFrame, bits: int = 3) -> DataFrame:
@@ -140,11 +154,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 3) -> DataFr
     component unless no other member has an id.  Other columns are ignored.
     """
     each = cut(fingerprints(docs, words=words))
-    nodes = each.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    nodes = each.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     labels = components(fingerprint_links(nodes.select("fingerprint"), bits))
     labelled = nodes.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
     named = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return each.join(labelled.join(named, "label").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    facts = cut(labelled.join(named, "label").select("fingerprint", "component_id", "n"))
+    return spread_join(each, facts, "fingerprint", each.count()).select("doc_id", "fingerprint", "component_id")
 
 
 def as_hex(fingerprint: Column) -> Column:
