@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_rows, held_out, table, utf8
+from .common import held_out, sliced, table, utf8
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -125,28 +125,28 @@ def windows_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     return windows, text, own
 
 
-def train(docs: DataFrame, *, rows: int = 400, windows: int = 4, languages: int = 256) -> ByteNet | None:
+def train(docs: DataFrame, *, rows: int = 400, windows: int = 4) -> ByteNet | None:
     """Learns from docs(doc_id, text, lang); held-out documents are never read.
 
-    ``rows`` bounds the sample: about as many documents of each language, chosen
-    by a hash of doc_id, and of each its first, last and middle ``windows``
-    windows.  ``languages`` bounds the languages, the commonest.
-    Rows without doc_id, text or lang teach nothing; None if there are none.
+    ``rows`` bounds the sample: of each language at most so many documents, those
+    with the smallest hashes, and of each its first, last and middle ``windows``
+    windows.  Every language is learned, however rare.  Rows without doc_id, text
+    or lang teach nothing; None if there are none.
     """
-    spark = docs.sparkSession
-    batch_rows(spark, 1000)
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    names = [(r.lang, r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    names = [(r.lang, r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not names:
         return None
-    # A share of each language by a hash, so that no task gathers a whole language.
-    share = F.create_map(*[F.lit(x) for lang, n in names for x in (lang, rows / n)])
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    sample = known.where(chance < F.try_element_at(share, F.col("lang")))
+    # A share of each language by a 64-bit hash, so that no task gathers a whole language; the rank then holds the bound.
+    share = F.create_map(*[F.lit(x) for lang, n in names for x in (lang, 2.0 * rows / n + 64 / n)])
+    dealt = F.xxhash64("doc_id", "text")
+    likely = known.where(dealt.cast("double") / 2.0**64 + 0.5 < F.try_element_at(share, F.col("lang")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("dealt", "doc_id"))
+    sample = likely.select("text", "lang", "doc_id", dealt.alias("dealt")).withColumn("rank", rank).where(F.col("rank") <= rows)
     names = [lang for lang, _ in names]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             w, text, _ = windows_of(utf8(b.column("text")))
             lang = b.column("lang").to_pylist()
             keep = []
@@ -155,11 +155,12 @@ def train(docs: DataFrame, *, rows: int = 400, windows: int = 4, languages: int
                 keep += mine[np.unique(np.linspace(0, len(mine) - 1, windows).astype(int))].tolist() if len(mine) else []
             yield pa.RecordBatch.from_pydict({"window": pa.array([w[k].tobytes() for k in keep], pa.binary()), "lang": pa.array([lang[text[k]] for k in keep], pa.string())})
 
-    got = sorted((r.lang, bytes(r.window)) for r in sample.select("text", "lang").mapInArrow(pick, "window binary, lang string").collect() if r.lang in set(names))
+    got = sorted((r.lang, bytes(r.window)) for r in sample.select("text", "lang").mapInArrow(pick, "window binary, lang string").collect())
     if not got:
         return None
     x = np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(len(got), -1)
-    y = np.array([names.index(lang) for lang, _ in got])
+    place = {lang: k for k, lang in enumerate(names)}
+    y = np.array([place[lang] for lang, _ in got])
     # Every language is met as often in training.
     share = np.bincount(y, minlength=len(names)).max()
     order = np.concatenate([np.resize(np.flatnonzero(y == k), share) for k in range(len(names)) if (y == k).any()])
@@ -175,13 +176,12 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     net.  Repeated rows are rows of their own.  Other columns stay; columns named
     lang_pred and score are replaced.
     """
-    batch_rows(docs.sparkSession, 1000)
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # a few hundred kB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # a few hundred kB and 36 numbers a language, whatever the input
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         tables = net.tables() if net else None
-        for b in batches:
+        for b in sliced(batches):
             if net is None:
                 lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
             else:
