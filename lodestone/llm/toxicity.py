@@ -3,8 +3,9 @@
 Texts are folded first: lower case, letters without their diacritics, look-alike
 letters of other alphabets to Latin, digits and signs between letters to the
 letters they stand for, all else to spaces.  Digits and signs at the start or end
-of a word give further readings of it; of all readings the heaviest counts.  The lexicon holds whole words and word beginnings with a weight, the
-log odds of a toxic label; it is learned from a bounded sample of labelled rows.
+of a word give further readings of it; of all readings the heaviest counts.  The
+lexicon holds whole words and word beginnings with a weight, the log odds of a
+toxic label; it is learned from a bounded sample of labelled rows.
 A match inside an exception phrase does not count.  A text's score comes from
 its summed weights, as such and for each hundred words, by logistic regression.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, cut, held_out, table
+from .common import cut, held_out, sliced, table
 
 #: Letters of other alphabets that look like Latin ones, and signs that stand for letters.
 LOOK_ALIKES = {
@@ -120,7 +122,17 @@ def _matches(folded: str, lexicon: Lexicon) -> dict[int, float]:
                 harmless.append((end - size + 1, end))
             elif weight > heaviest.get(end - size + 1, 0.0):
                 heaviest[end - size + 1] = weight
-    return {at: w for at, w in heaviest.items() if not any(a <= at < b for a, b in harmless)}
+    if not harmless:
+        return heaviest
+    covered: list[tuple[int, int]] = []
+    for a, b in sorted(harmless):
+        if covered and a < covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
+        else:
+            covered.append((a, b))
+    starts = [a for a, _ in covered]
+    inside = lambda at: (k := bisect_right(starts, at) - 1) >= 0 and at < covered[k][1]
+    return {at: w for at, w in heaviest.items() if not inside(at)}
 
 
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, float]:
@@ -152,26 +164,27 @@ def _terms(text: str, shortest: int = 4, longest: int = 7) -> set[str]:
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, rows: int = 4000, terms: int = 2000, least: float = 2.5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, *, rows: int = 4000, least: float = 2.5, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learns a lexicon from docs(doc_id, text) and labels(doc_id, toxic).
 
     Held-out documents are never read.  ``rows`` bounds the sample: as many
     labelled rows of each class, those with the smallest hashes of doc_id.
-    ``terms`` bounds the lexicon; ``least`` is the smallest weight.  Rows without
-    doc_id, label or text teach nothing; of several labels of a document the
-    largest counts.  Without labels of both classes the lexicon is empty.
+    ``least`` is the smallest weight; all terms of it that enough toxic rows of
+    the sample hold are in the lexicon.  Rows without doc_id, label or text teach
+    nothing; of several labels of a document the largest counts, of repeated
+    documents one row.  Without labels of both classes the lexicon is empty.
     """
-    batch_rows(docs.sparkSession, 1000)
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     ids = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in ("toxic", "not toxic")]
     picked = cut(ids[0].unionByName(ids[1]))
-    sample = cut(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"))
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = cut(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
     n = {bool(r[0]): r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Lexicon((), exceptions)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             seen = {True: Counter(), False: Counter()}
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 seen[toxic].update(_terms(text))
@@ -182,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = 4000, terms: int =
     enough = max(3, n[True] // 200)
     weight = F.log((F.col("bad") + 0.5) / (n[True] + 1)) - F.log((F.col("good") + 0.5) / (n[False] + 1))
     counted = sample.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    best = counted.where(F.col("bad") >= enough).withColumn("weight", weight).where(F.col("weight") >= least).orderBy(F.desc(F.col("weight") * F.sqrt("bad")), "term").limit(terms).collect()
+    best = counted.where(F.col("bad") >= enough).withColumn("weight", weight).where(F.col("weight") >= least).orderBy("term").collect()
     lexicon = Lexicon(tuple((r.term, round(r.weight, 4)) for r in best), exceptions)
     rows_ = _scored(sample.withColumn("doc_id", F.col("toxic").cast("long")), lexicon, "features").collect()
     x = np.array([[1.0, r.f1, r.f2] for r in rows_])
@@ -202,11 +215,11 @@ def _logit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) ->
 
 
 def _scored(docs: DataFrame, lexicon: Lexicon, what: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most ``terms`` terms
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms of a bounded sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        for b in batches:
+        for b in sliced(batches):
             f = np.array([features(t, lex) for t in b.column("text").to_pylist()], float).reshape(-1, 2)
             if what == "features":
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "f1", "f2"])
@@ -224,7 +237,6 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null and empty texts have no match and get the lexicon's base score, as does
     any text under an empty lexicon.  Other columns are ignored.
     """
-    batch_rows(docs.sparkSession, 1000)
     return _scored(docs, lexicon, "score")
 
 
