@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, new_dir, table
+from .common import new_dir, sliced, table
 from .tokens import encoder, public_path
 
 #: Fixed values of the Zstandard Seekable Format.
@@ -51,25 +52,30 @@ class ShardWriter:
     """Writes one shard under a name of its own and moves it into place when whole."""
 
     def __init__(self, path: str, width: int, level: int = 1):
-        self.fs, self.path = _files(path)
+        self.given, (self.fs, self.path) = path, _files(path)
         self.part = f"{self.path}.{os.getpid()}.{np.random.SeedSequence().entropy:x}.part"
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         self.out = self.fs.open_output_stream(self.part)
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
-        self.width, self.doc_ids, self.entries, self.tokens = width, [], [], 0
+        self.width, self.size, self.tokens = width, 0, 0
+        self.doc_ids, self.entries = array("q"), array("I")
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """ids: unsigned little-endian integers of the shard's width."""
         packed = self.zstd.compress(ids)
         self.out.write(packed)
         self.doc_ids.append(_NULL_ID if doc_id is None else doc_id)
-        self.entries.append((len(packed), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
+        self.entries.extend((len(packed), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
         self.tokens += len(ids) // self.width
+        self.size += len(packed)
+
+    def __len__(self) -> int:
+        return len(self.doc_ids)
 
     def close(self) -> None:
         directory = self.zstd.compress(struct.pack("<B", self.width) + np.array(self.doc_ids, "<i8").tobytes())
         self.out.write(struct.pack("<II", SKIPPABLE_DIRECTORY, len(directory)) + directory)
-        seek = np.array(self.entries, _ENTRY).tobytes() + struct.pack("<IBI", len(self.entries), HAS_CHECKSUMS, SEEKABLE_MAGIC)
+        seek = np.array(self.entries, "<u4").tobytes() + struct.pack("<IBI", len(self), HAS_CHECKSUMS, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_SEEK_TABLE, len(seek)) + seek)
         self.out.close()
         self.fs.move(self.part, self.path)
@@ -130,48 +136,52 @@ def _width(path: str) -> int:
     return 2 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else 4
 
 
-def write_token_files(docs: DataFrame, out_dir: str, *, tokenizer: str, end_id: int = 2, shards: int | None = None, level: int = 1) -> DataFrame:
+def write_token_files(docs: DataFrame, out_dir: str, *, tokenizer: str, end_id: int = 2, tasks: int | None = None, shard_bytes: int = 256 << 20, level: int = 1) -> DataFrame:
     """Encodes every document of docs(doc_id, text) and writes shards in ascending doc_id order.
 
-    Documents are dealt by ranges of (doc_id, text hash) to ``shards`` tasks
-    (spark.sql.shuffle.partitions by default); each writes its sorted range as a
-    stream.  A task that runs again writes the same bytes under the same name.
-    Returns one row per shard (shard int, path string, n_docs, n_tokens, start
-    long), a table as small as the number of shards, start being the ids in the
-    shards before it.
+    Documents are dealt by ranges of (doc_id, text hash) to ``tasks`` tasks
+    (spark.sql.shuffle.partitions by default), equal rows to any of theirs; each
+    writes its sorted range as a stream and begins a new shard after about
+    ``shard_bytes``, so shards and their tables stay small at any size.  A task that
+    runs again writes the same bytes under the same names.  Returns one row per
+    shard (shard long, path string, n_docs, n_tokens, start long), start being the
+    ids in the shards before it.
 
     Null texts count as empty; an empty text has end_id alone.  Null doc_ids come
     first; rows with equal doc_id stay apart, ordered by text.  Other columns are
     ignored.  An empty table gives no shard.
     """
     spark = docs.sparkSession
-    batch_rows(spark, 1000)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    dealt = dealt.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
+    dealt = dealt.withColumn("any", F.rand(3).cast("float")).repartitionByRange(n, "doc_id", "tie", "any").sortWithinPartitions("doc_id", "tie", "text").drop("tie", "any")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, writer = TaskContext.get().partitionId(), None
+        task, made, writer = TaskContext.get().partitionId(), 0, None
         enc, width = encoder(tokenizer), _width(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        path = f"{out_dir}/shard-{shard:06d}.zst"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            writer = writer or ShardWriter(path, width, level)
+
+        def closed(shard: int) -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_pydict({"shard": pa.array([task << 32 | shard]), "path": [writer.given], "n_docs": [len(writer)], "n_tokens": [writer.tokens]})
+
+        for batch in sliced(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
+                writer = writer or ShardWriter(f"{out_dir}/shard-{task:06d}-{made:06d}.zst", width, level)
                 ids += end
                 writer.add(doc_id, np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes() if width != 4 else ids)
+                if writer.size >= shard_bytes:
+                    yield closed(made)
+                    made, writer = made + 1, None
         if writer:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(writer.entries)], "n_tokens": [writer.tokens]})
+            yield closed(made)
 
-    done = sorted(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long").collect())
+    done = sorted(dealt.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long").collect())
     start, rows = 0, []
     for shard, path, n_docs, n_tokens in done:
         rows.append((shard, path, n_docs, n_tokens, start))
         start += n_tokens
-    return spark.createDataFrame(rows, "shard int, path string, n_docs long, n_tokens long, start long")
+    return spark.createDataFrame(rows, "shard long, path string, n_docs long, n_tokens long, start long")
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:
