@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +26,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, table
+from .common import sliced, table
 from .tokens import encoder, public_path
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+class _Rests:
+    """Unpacked rests (length, document, start) of at most ``longest`` ids, found by length in constant time."""
+
+    def __init__(self, longest: int):
+        self.of: list[list[tuple[int, int]]] = [[] for _ in range(longest + 1)]
+        self.lengths = 0  # bit n is set if there is a rest of n ids
+
+    def put(self, n: int, doc: int, at: int) -> None:
+        self.of[n].append((doc, at))
+        self.lengths |= 1 << n
+
+    def take(self, n: int) -> tuple[int, int, int]:
+        doc, at = self.of[n].pop()
+        if not self.of[n]:
+            self.lengths &= ~(1 << n)
+        return n, doc, at
+
+    def largest(self, most: int | None = None) -> int:
+        """The largest length, of at most ``most``; 0 if there is none."""
+        return max(0, (self.lengths if most is None else self.lengths & ((2 << most) - 1)).bit_length() - 1)
+
+    def shortest(self) -> int:
+        return (self.lengths & -self.lengths).bit_length() - 1
+
+
 def pack_block(lengths: list[int], longest: int = 2048, shortest: int = 256) -> list[list[tuple[int, int, int]]]:
     """Packs documents of the given numbers of ids.
 
@@ -41,31 +65,30 @@ def pack_block(lengths: list[int], longest: int = 2048, shortest: int = 256) ->
     lengths add up to a power of two of at most ``longest``.
     """
     sequences: list[list[tuple[int, int, int]]] = []
-    pool: list[tuple[int, int, int]] = []  # (length, document, start) of unpacked rests, by length
+    pool = _Rests(longest)
     for doc, n in enumerate(lengths):
         whole = n - n % longest
         sequences += [[(doc, at, longest)] for at in range(0, whole, longest)]
         if whole < n:
-            pool.append((n - whole, doc, whole))
-    pool.sort()
+            pool.put(n - whole, doc, whole)
     left: list[tuple[int, int, int]] = []
     tier = longest
     while tier >= shortest:
         floor = tier // 2 if tier > shortest else 0
-        while pool and pool[-1][0] > floor:
-            n, doc, at = pool.pop()
+        while (n := pool.largest()) > floor:
+            n, doc, at = pool.take(n)
             window, gap = [(doc, at, n)], tier - n
-            while gap and pool:
-                k = bisect_right(pool, (gap, float("inf"), 0)) - 1
-                if k < 0:  # nothing fits whole: the shortest is cut
-                    n, doc, at = pool.pop(0)
-                    window.append((doc, at, gap))
-                    insort(pool, (n - gap, doc, at + gap))
-                    gap = 0
-                else:
-                    n, doc, at = pool.pop(k)
+            while gap and pool.lengths:
+                n = pool.largest(gap)
+                if n:
+                    n, doc, at = pool.take(n)
                     window.append((doc, at, n))
                     gap -= n
+                else:  # nothing fits whole: the shortest is cut
+                    n, doc, at = pool.take(pool.shortest())
+                    window.append((doc, at, gap))
+                    pool.put(n - gap, doc, at + gap)
+                    gap = 0
             if gap:
                 left += [(n, doc, at) for doc, at, n in window]
             else:
@@ -110,7 +133,6 @@ def pack_documents(docs: DataFrame, *, tokenizer: str, end_id: int = 1, longest:
     makes a block by itself.  Other columns are ignored; an empty table gives no
     row.  Ids of sequences and groups are unique over all partitions.
     """
-    batch_rows(docs.sparkSession, 1000)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
@@ -136,7 +158,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str, end_id: int = 1, longest:
             made[1] += max(groups, default=-1) + 1
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
                 held.append((doc_id, ids + end))
                 tokens += len(ids) // 4 + 1
