@@ -28,40 +28,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, table
+from .common import sliced, table
 
 #: Elements of HTML by their part in a page.
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+HIDES_REST = frozenset("script style textarea title noscript template iframe xmp noframes".split())
 RAW = frozenset("script style textarea title noscript template iframe svg object select button noframes xmp head".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 BOILERPLATE = frozenset("nav aside footer form menu dialog".split())
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|promo\w*|sponsor\w*|sidebar\w*|menu\w*|navbar|nav|navigation|breadcrumbs?|footer|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|comments?|commentlist|disqus\w*|respond|replies|share|sharing|social|related|recommend\w*|popup|modal|overlay|widget\w*|login|signin|signup|toolbar|pagination|pager|copyright|skip|hidden|search|tags?|byline-ad|taboola|outbrain)(?=$|[\s_-])",
-    re.I,
-)
-PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|site-header|logo)(?=$|[\s_-])", re.I)
+#: Words of class, id and role that tell of no article.
+HINTS = frozenset("ad ads advert adverts advertisement advertising banner promo promos promotion promoted sponsor sponsors sponsored sidebar sidebars menu menus navbar nav navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert newsletter subscribe subscription comment comments commentlist disqus respond replies share sharing social related recommend recommended recommendations popup modal overlay widget widgets login signin signup toolbar pagination pager copyright skip hidden search tags taboola outbrain".split())
+PAGE_HEADER = frozenset("header masthead topbar logo".split())
+#: First words of classes that tell of something else (no-sidebar, tag-politics).
+UNMEANT = frozenset("no not has is with without tag category post page single type status format layout".split())
+#: Elements that hold the article whatever their classes say.
+NEVER_HINTED = frozenset("html body main article".split())
 PUNCTUATION = re.compile(r"[.,;:!?¡¿…。，；：！？、]")
 
-_TOKEN = re.compile(r"""<(?:!--(?:.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*(?:>|\Z))""", re.S)
+_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_COMMENT_END = re.compile(r"--!?>")
+_WORD = re.compile(r"[a-z]+")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$)")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("article", "dropped", "name", "parent", "path")
+    """An element that holds blocks; path is a number that elements of the same tag path share.
 
-    def __init__(self, name: str, path: str, article: bool, dropped: bool, parent: Element | None = None):
-        self.name, self.path, self.article, self.dropped, self.parent = name, path, article, dropped, parent
+    outermost: the outermost article or main element around it, itself included.
+    hinted: the outermost element around it that its words alone set aside.
+    """
+
+    __slots__ = ("above", "dropped", "hinted", "name", "outermost", "parent", "path", "place")
 
-    def around(self) -> Iterator[Element]:
-        """The element and those around it, up to the body."""
-        at = self
-        while at is not None and at.name not in ("", "html", "body"):
-            yield at
-            at = at.parent
+    def __init__(self, name: str, path: int, above: int, place: int, parent: Element | None, dropped: bool = False):
+        self.name, self.path, self.above, self.place, self.parent, self.dropped = name, path, above, place, parent, dropped
+        self.outermost: Element | None = parent.outermost if parent else None
+        self.hinted: Element | None = parent.hinted if parent else None
 
 
 class Block:
@@ -71,70 +78,141 @@ class Block:
         self.element, self.text, self.links = element, text, links
 
 
-def _open(name: str, attrs: str, parent: Element) -> Element:
-    given = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attrs)} if "=" in attrs else {}
-    kind = given.get("class", "")
-    marks = f"{kind} {given.get('id', '')} {given.get('role', '')}".strip()
-    article = parent.article or name in ("article", "main") or given.get("role") == "main" or given.get("itemprop") == "articleBody"
-    dropped = parent.dropped or name in BOILERPLATE or bool(marks and HINTS.search(marks)) or given.get("aria-hidden") == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs)) or bool(_HIDES.search(given.get("style", "")))
-    if not article and (name == "header" or (marks and PAGE_HEADER.search(marks))):
-        dropped = True
-    path = f"{parent.path}/{name}" + (f".{'.'.join(sorted(kind.split()))}" if kind else "")
-    return Element(name, path, article, dropped, parent)
+def _hints(marks: str, words: frozenset[str]) -> bool:
+    for token in marks.lower().split():
+        parts = _WORD.findall(token)
+        if parts and parts[0] not in UNMEANT and not words.isdisjoint(parts) and "with" not in parts and "no" not in parts:
+            return True
+    return False
+
+
+class _Tags:
+    """Tags of a page in one pass: every search for an end that is not there is made once."""
 
+    def __init__(self, html: str):
+        self.html, self.last, self.missing = html, html.rfind(">"), set()
+        self.quotes = {q: html.rfind(q) for q in "\"'"}
 
-def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page in order, with their elements and the characters of their links."""
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Start, end, lower-case name (empty for comments and the like), whether it closes, and attributes of the next tag."""
+        html = self.html
+        m = _TAG.search(html, at)
+        if not m:
+            return None
+        if m[1]:
+            stop = None if "--" in self.missing else _COMMENT_END.search(html, m.end())
+            if stop is None:
+                self.missing.add("--")
+            return m.start(), stop.end() if stop else len(html), "", False, ""
+        end = html.find(">", m.end()) if self.last >= m.end() else -1
+        if not m[3]:
+            return m.start(), end + 1 if end >= 0 else len(html), "", False, ""
+        if end < 0:  # an unfinished tag is the rest of the page
+            return m.start(), len(html), "", False, ""
+        end = self._past_quotes(m.end(), end)
+        return m.start(), end + 1, m[3].lower(), bool(m[2]), html[m.end() : end]
+
+    def _past_quotes(self, at: int, end: int) -> int:
+        """The > that ends a tag, not in quotes; the first one where quotes stay open."""
+        html, first = self.html, end
+        while True:
+            k = min((i for i in (html.find('"', at, end), html.find("'", at, end)) if i >= 0), default=-1)
+            if k < 0:
+                return end
+            quote = html[k]
+            close = html.find(quote, k + 1) if self.quotes[quote] > k else -1
+            if close < 0:
+                return first
+            at = close + 1
+            if close > end:
+                end = html.find(">", at) if self.last >= at else -1
+                if end < 0:
+                    return first
+
+    def after(self, name: str, at: int) -> int | None:
+        """Past the closing tag of a raw element, or None if there is none."""
+        if name in self.missing:
+            return None
+        stop = re.compile(rf"</{name}[\s/>]", re.I).search(self.html, at)
+        if not stop:
+            self.missing.add(name)
+            return None
+        return self.html.find(">", stop.start()) + 1 or len(self.html)
+
+
+class _Tree:
+    """The open elements while a page is read."""
+
+    def __init__(self):
+        self.paths: dict[tuple[int, str], int] = {}
+        self.elements = [Element("", 0, 0, 0, None)]
+        self.stack = [self.elements[0]]
+        self.open: dict[str, int] = defaultdict(int)
+
+    def push(self, name: str, attrs: str) -> None:
+        parent = self.stack[-1]
+        given = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attrs)} if "=" in attrs else {}
+        kind = " ".join(sorted(given.get("class", "").split()))
+        path = self.paths.setdefault((parent.path, f"{name} {kind}"), len(self.paths) + 1)
+        e = Element(name, path, parent.path, len(self.elements), parent, parent.dropped)
+        if e.outermost is None and (name in ("article", "main") or given.get("role") == "main" or given.get("itemprop") == "articleBody"):
+            e.outermost = e
+        if name in BOILERPLATE or given.get("aria-hidden") == "true" or _HIDDEN.search(attrs) or _HIDES.search(given.get("style", "")) or (name == "header" and not e.outermost):
+            e.dropped = True
+        marks = f"{kind} {given.get('id', '')} {given.get('role', '')}"
+        if e.hinted is None and name not in NEVER_HINTED and marks.strip() and (_hints(marks, HINTS) or (not e.outermost and _hints(marks, PAGE_HEADER))):
+            e.hinted = e
+        self.elements.append(e)
+        self.stack.append(e)
+        self.open[name] += 1
+
+    def close(self, names: set[str] | frozenset[str], scope: set[str] = frozenset()) -> None:
+        if not any(self.open[n] for n in names):
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].name in names:
+                for e in self.stack[k:]:
+                    self.open[e.name] -= 1
+                del self.stack[k:]
+                return
+            if self.stack[k].name in scope:
+                return
+
+
+def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
+    """The blocks of a page in order, and its elements, parents first."""
     out: list[Block] = []
-    stack = [Element("", "", False, False)]
+    tree, tags = _Tree(), _Tags(html)
     parts: list[str] = []
     links = link_depth = 0
 
     def flush() -> None:
         nonlocal links
-        text = " ".join(unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(stack[-1], text, min(links, len(text))))
+            out.append(Block(tree.stack[-1], text, min(links, len(text))))
         parts.clear()
         links = 0
 
-    def take(text: str) -> None:
-        nonlocal links
+    at = 0
+    while at <= len(html):
+        tag = tags.next(at)
+        text = html[at : tag[0]] if tag else html[at:]
         if text:
+            text = unescape(text) if "&" in text else text
             parts.append(text)
             if link_depth:
                 links += len(text.strip())
-
-    def close(names: set[str] | frozenset[str], scope: set[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return
-            if stack[k].name in scope:
-                return
-
-    at = 0
-    while True:
-        m = _TOKEN.search(html, at)
-        if not m:
-            take(html[at:])
+        if not tag:
             break
-        take(html[at : m.start()])
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
+        _, at, name, end, attrs = tag
         if not name:
             continue
-        end = m["end"] or m["end2"]
         if name in RAW and not end:
-            if name in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noframes"):
-                stop = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
-                if stop:
-                    at = html.find(">", stop.start()) + 1 or len(html)
-                else:
-                    at = len(html)
-            elif name != "head" and not m.group().endswith("/>"):
-                stop = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
-                at = (html.find(">", stop.start()) + 1 or len(html)) if stop else at
+            if name != "head" and not attrs.endswith("/"):
+                after = tags.after(name, at)
+                # An unclosed script hides the rest of a page, an unclosed picture or button does not.
+                at = after if after is not None else len(html) if name in HIDES_REST else at
             parts.append(" ")
         elif name == "a":
             link_depth = 0 if end else 1
@@ -144,41 +222,57 @@ def blocks_of(html: str) -> list[Block]:
             flush()
             link_depth = 0
             if end:
-                close({name})
+                tree.close({name})
             else:
                 if name in CLOSES_P:
-                    close({"p"}, {"div", "article", "section", "td", "li", "body", "blockquote"})
+                    tree.close({"p"}, {"div", "article", "section", "td", "li", "body", "blockquote"})
                 if name in SAME:
-                    close(SAME[name], SCOPES.get(name, set()))
+                    tree.close(SAME[name], SCOPES.get(name, set()))
                 if name not in VOID:
-                    stack.append(_open(name, m["attrs"] or "", stack[-1]))
+                    tree.push(name, attrs)
     flush()
-    return out
+    return out, tree.elements
+
+
+def _set_aside(blocks: list[Block], length: np.ndarray) -> list[bool]:
+    """Whether a block is boilerplate by its elements.
+
+    The ratios overrule words: an element that words alone set aside is kept if
+    it holds a main heading and over half of the page's text outside links.
+    """
+    text: dict[Element, float] = defaultdict(float)
+    headed: set[Element] = set()
+    total = 0.0
+    for b, n in zip(blocks, length.tolist(), strict=True):
+        e = b.element
+        if not e.dropped:
+            total += n
+            if e.hinted:
+                text[e.hinted] += n
+                if e.name == "h1" or e.outermost:
+                    headed.add(e.hinted)
+    kept = {e for e in headed if 2 * text[e] > total}
+    return [b.element.dropped or (b.element.hinted is not None and b.element.hinted not in kept) for b in blocks]
 
 
 def content_blocks(html: str, share: float = 0.08, width: float = 1.0) -> list[str]:
     """Texts of the blocks on content paths."""
-    blocks = blocks_of(html)
+    blocks, elements = blocks_of(html)
     if not blocks:
         return []
-    inside = any(b.element.article and not b.element.dropped for b in blocks)
-    prior = np.array([0.0 if b.element.dropped else 1.0 if b.element.article or not inside else 0.0 for b in blocks])
     length = np.array([len(b.text) - b.links for b in blocks], float)
+    dropped = _set_aside(blocks, length)
+    inside = any(b.element.outermost and not d for b, d in zip(blocks, dropped, strict=True))
+    prior = np.array([0.0 if d else 1.0 if b.element.outermost or not inside else 0.0 for b, d in zip(blocks, dropped, strict=True)])
     marks = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], float)
-    paths = [b.element.path for b in blocks]
 
-    def ratios(keys: list[str]) -> np.ndarray:
-        count: dict[str, int] = defaultdict(int)
-        text: dict[str, float] = defaultdict(float)
-        dots: dict[str, float] = defaultdict(float)
-        for k, a, b in zip(keys, length, marks, strict=True):
-            count[k] += 1
-            text[k] += a
-            dots[k] += b
-        return np.array([(text[k] / count[k]) * (1 + dots[k] / count[k]) for k in keys])
-
-    own = ratios(paths)
-    around = ratios([p.rsplit("/", 1)[0] for p in paths])
+    def ratios(keys: list[int]) -> np.ndarray:
+        _, key = np.unique(keys, return_inverse=True)
+        count = np.bincount(key)
+        return ((np.bincount(key, length) / count) * (1 + np.bincount(key, marks) / count))[key]
+
+    paths = [b.element.path for b in blocks]
+    own, around = ratios(paths), ratios([b.element.above for b in blocks])
     reach = np.arange(-2, 3)
     kernel = np.exp(-(reach**2) / (2 * width**2))
     smooth = np.convolve(own * prior, kernel / kernel.sum())[2:-2]
@@ -188,25 +282,27 @@ def content_blocks(html: str, share: float = 0.08, width: float = 1.0) -> list[s
         # No text outside links: links of an article are its text all the same.
         return [b.text for b, p in zip(blocks, prior, strict=True) if p and inside]
     # A path is chosen whole, by the mean of its blocks.
-    total: dict[str, list[float]] = defaultdict(list)
-    for p, f in zip(paths, fused, strict=True):
-        total[p].append(f)
-    chosen = {p for p, f in total.items() if sum(f) / len(f) >= share * best}
-    core = [k for k, (p, w) in enumerate(zip(paths, prior, strict=True)) if w and p in chosen]
-    containers: set[Element] = set()
+    _, key = np.unique(paths, return_inverse=True)
+    chosen = (np.bincount(key, fused) / np.bincount(key) >= share * best)[key] & (prior > 0)
+    core = np.flatnonzero(chosen)
+    containers = np.zeros(len(elements), bool)
     bare = False  # content right in the body
-    for k in core:
-        around = list(blocks[k].element.around())
+    for k in core.tolist():
+        e = blocks[k].element
         if inside:
-            containers.update([e for e in around if e.article][-1:])
+            containers[e.outermost.place] = True
         else:
-            containers.update(around[:2])
-            bare = bare or len(around) < 2
-    out = set(core)
+            near = [x for x in (e, e.parent) if x is not None and x.name not in ("", "html", "body")]
+            containers[[x.place for x in near]] = True
+            bare = bare or len(near) < 2
+    for e in elements:  # parents come first
+        containers[e.place] |= e.parent is not None and containers[e.parent.place]
+    out = []
     for k, b in enumerate(blocks):
-        if prior[k] and (any(e in containers for e in b.element.around()) or (bare and not inside and core[0] < k < core[-1] and b.links < len(b.text))):
-            out.add(k)
-    return [blocks[k].text for k in sorted(out)]
+        between = bare and not inside and core[0] < k < core[-1] and b.links < len(b.text)
+        if prior[k] and (chosen[k] or containers[b.element.place] or between):
+            out.append(b.text)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -216,10 +312,9 @@ def extract(pages: DataFrame) -> DataFrame:
     pages are read, markup may be broken anywhere.  Repeated rows are rows of
     their own; other columns are ignored.
     """
-    batch_rows(pages.sparkSession, 500)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 500):
             found = ["\n".join(content_blocks(h or "")) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
