@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, cut, hashed_words, table
+from .common import cut, hashed_words, sliced, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: What a span is replaced with, by kind; a removed term leaves nothing.
@@ -98,7 +98,7 @@ def _shape(word: str) -> str:
 
 def _detected(docs: DataFrame) -> DataFrame:
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             spans, entities = [], []
             for text in b.column("text").to_pylist():
                 found = find_spans(text or "")
@@ -119,17 +119,20 @@ def _outside(text: str) -> bytes:
     return "".join([*parts, text[at:]]).encode().translate(_LETTERS)
 
 
-def _together(docs: DataFrame) -> DataFrame:
-    """entity, term and n, the documents of a batch that hold both."""
+def _together(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """entity, term and n, the documents of a batch that hold both; entities that the filter rules out are left out."""
+    among = docs.sparkSession.sparkContext.broadcast(_filter(entities.select(F.col("entity").alias("term"))))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts, owners = [], []
+            wanted = np.unpackbits(among.value).astype(bool)
             for text in b.column("text").to_pylist():
-                found = {_entity(kind, text[s:e]) for s, e, kind in find_spans(text or "")}
-                if found:
+                found = np.array(sorted({_entity(kind, text[s:e]) for s, e, kind in find_spans(text or "")}), np.int64)
+                found = found[wanted[(found.view(np.uint64) >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)]]
+                if len(found):
                     texts.append(_outside(text))
-                    owners.append(np.array(sorted(found), np.int64))
+                    owners.append(found)
             hashes, first = hashed_words(texts)
             held: dict[int, list[np.ndarray]] = defaultdict(list)
             for own, s, e in zip(owners, first[:-1], first[1:], strict=True):
@@ -171,7 +174,7 @@ def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(held.value).astype(bool)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             hashes, first = hashed_words([t.encode().translate(_LETTERS) for t in texts])
             at = np.flatnonzero(seen[(hashes >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)])
@@ -196,7 +199,7 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(held.value).astype(bool)
-        for b in batches:
+        for b in sliced(batches):
             hashes, first = hashed_words([_outside(t or "") for t in b.column("text").to_pylist()])
             at = np.flatnonzero(seen[(hashes >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)])
             doc = np.searchsorted(first, at, "right") - 1
@@ -212,7 +215,9 @@ def disclosures(docs: DataFrame, found: DataFrame, *, support: int, generalise:
     """entity, term and disclosure of the pairs at or over the lower threshold, met in ``support`` documents or more."""
     n = docs.count()
     own = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = cut(_together(docs).groupBy("entity", "term").agg(F.sum("n").alias("n_et")).where(F.col("n_et") >= support))
+    # An entity in fewer documents than the support shares no term often enough.
+    own = cut(own)
+    pairs = cut(_together(docs, own.where(F.col("n_e") >= support)).join(own.where(F.col("n_e") >= support).select("entity"), "entity", "left_semi").groupBy("entity", "term").agg(F.sum("n").alias("n_et")).where(F.col("n_et") >= support))
     terms = pairs.select("term").distinct()
     weighed = pairs.join(own, "entity").join(_document_counts(docs, terms), "term")
     content = F.log2(F.lit(float(n)) / F.col("n_e"))
@@ -228,7 +233,8 @@ def find_personal_data(docs: DataFrame, *, support: int = 3, generalise: float =
     that a term must share with the same entity.  Counts are over all documents.
 
     Null and empty texts have no span.  Repeated rows are documents of their own.
-    Other columns stay; one named spans is replaced.
+    Other columns stay; one named spans is replaced.  docs is read more than once;
+    it must list its rows in the same order each time, as tables do.
     """
     asked, found, extra = _analysed(docs.drop("spans"), support, generalise, remove)
     spans = _all_spans(found.join(extra, "uid", "left")).where(F.size("spans") > 0).select("uid", "spans")
@@ -236,7 +242,6 @@ def find_personal_data(docs: DataFrame, *, support: int = 3, generalise: float =
 
 
 def _analysed(docs: DataFrame, support: int, generalise: float, remove: float):
-    batch_rows(docs.sparkSession, 1000)
     asked = docs.withColumn(_UID, F.monotonically_increasing_id())
     texts = asked.select(F.col(_UID).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(_detected(texts))
