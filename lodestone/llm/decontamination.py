@@ -3,9 +3,11 @@
 Texts are lower-cased and cut into runs of letters, digits and non-ASCII
 characters.  A window of as many words as an item can only resemble it if they
 share a shingle, so windows are laid wherever one does; each gets a SimHash of
-its shingles.  A multi-index over the items of that size, one table for each
-block of the fingerprint, finds every item within ``radius`` bits: of radius + 1
-blocks one at least is equal.  Each find is verified by the weighted Jaccard
+its shingles.  A multi-index over the items of that size finds every item within
+17 bits: of six blocks of a fingerprint one at least then has two errors or none,
+so an item is filed, for each block, under all values within two bits of its own,
+and a window looks up its own six values.  About a fifth of the items of its size
+come up for an unrelated window.  Each find is verified by the weighted Jaccard
 similarity of the two bags of shingles.
 """
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, batch_rows, hashed_words, table
+from .common import RollingHash, hashed_words, sliced, table
 
 _LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 0x20 for c in range(256))
 _SEEN_BITS = 22
@@ -29,12 +31,40 @@ def normalised(text: str | None) -> bytes:
     return (text or "").lower().encode().translate(_LETTERS)
 
 
+#: Errors that a block's lookup allows for.
+_ERRORS = 2
+
+
 def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, bits) of radius + 1 blocks of a 64-bit fingerprint."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
+    """(shift, bits) of the fewest blocks of a 64-bit fingerprint of which one at least has two errors at most within the radius."""
+    n = radius // (_ERRORS + 1) + 1
+    edges = [64 * k // n for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _near_values(bits: int) -> np.ndarray:
+    """Differences of at most two bits."""
+    return np.array([0, *(1 << a for a in range(bits)), *(1 << a | 1 << b for a in range(bits) for b in range(a))], np.uint64)
+
+
+class BlockTable:
+    """One block of the fingerprints: members by each value within two bits of theirs."""
+
+    def __init__(self, prints: np.ndarray, shift: int, bits: int):
+        self.shift, self.mask = np.uint64(shift), np.uint64((1 << bits) - 1)
+        near = (((prints >> self.shift) & self.mask)[:, None] ^ _near_values(bits)).astype(np.int64)
+        order = np.argsort(near.ravel(), kind="stable")
+        self.members = (order // near.shape[1]).astype(np.int32)
+        self.first = np.searchsorted(near.ravel()[order], np.arange((1 << bits) + 1)).astype(np.int32)
+
+    def meet(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a print and a member."""
+        value = ((prints >> self.shift) & self.mask).astype(np.int64)
+        begin, n = self.first[value], self.first[value + 1] - self.first[value]
+        k = np.repeat(np.arange(len(prints)), n)
+        return k, self.members[np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + begin[k]]
+
+
 class Items:
     """Shingles and fingerprints of a bounded number of benchmark items."""
 
@@ -66,13 +96,7 @@ class Items:
 
     def _index(self, found: list[tuple[int, int]]):
         prints = np.array([f for _, f in found], np.uint64)
-        tables = []
-        for shift, bits in _blocks(self.radius):
-            table_: dict[int, list[int]] = defaultdict(list)
-            for k, v in enumerate(((prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).tolist()):
-                table_[v].append(k)
-            tables.append((shift, bits, {v: np.array(ks) for v, ks in table_.items()}))
-        return [n for n, _ in found], prints, tables
+        return np.array([n for n, _ in found]), prints, [BlockTable(prints, shift, bits) for shift, bits in _blocks(self.radius)]
 
     def seeds(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of known shingles."""
@@ -82,19 +106,21 @@ class Items:
     def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (k, item) of fingerprints within the radius."""
         items, own, tables = self.index[size]
-        rows, columns = [], []
-        for shift, bits, table_ in tables:
-            value = (prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-            for v, ks in table_.items():
-                at = np.flatnonzero(value == np.uint64(v))
-                for k in ks.tolist():
-                    hit = at[np.bitwise_count(prints[at] ^ own[k]) <= self.radius]
-                    rows.append(hit)
-                    columns.append(np.full(len(hit), k))
-        if not rows:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        pairs = np.unique(np.concatenate(rows) * len(own) + np.concatenate(columns))
-        return pairs // len(own), np.array(items)[pairs % len(own)]
+        fresh, back = np.unique(prints, return_inverse=True)
+        pairs = []
+        for k in range(0, len(fresh), 4096):
+            some = fresh[k : k + 4096]
+            for t in tables:
+                a, b = t.meet(some)
+                hit = np.bitwise_count(some[a] ^ own[b]) <= self.radius
+                pairs.append((a[hit] + k) * len(own) + b[hit])
+        pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        # Back to all windows, several of which may share a fingerprint.
+        at = np.searchsorted(pairs // len(own), np.arange(len(fresh) + 1))
+        n = np.diff(at)[back]
+        k = np.repeat(np.arange(len(prints)), n)
+        pick = pairs[np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + at[back[k]]]
+        return k, items[pick % len(own)]
 
 
 def simhashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -140,7 +166,7 @@ def matches(hashes: np.ndarray, words: int, width: int, items: Items, least: flo
     return best
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8, shingle: int = 5, radius: int = 19, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8, shingle: int = 5, radius: int = 17, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Passages of docs(doc_id, text) that resemble items of benchmark(item_id, text).
 
     One row per document and item with a window of weighted similarity ``least``
@@ -152,11 +178,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8,
     under five words are one shingle.  A document shorter than an item is one
     window.  Null, empty and wordless texts match nothing, nor do items without
     id; rows with equal ids are rows of their own (of items the best counts).
+    Windows over ``radius`` bits from an item are not compared with it; see the
+    README for what the default finds.
     Other columns are ignored; empty tables give no row.
     """
     spark = docs.sparkSession
-    batch_rows(spark, 1000)
-    given = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    given = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shares = -(-size // broadcast_bytes)
     schema = "doc_id long, item_id long, similarity double, start long, length long"
@@ -173,7 +200,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8,
 def _search(held, shingle: int, radius: int, least: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*held.value, shingle, radius)
-        for b in batches:
+        for b in sliced(batches):
             out: dict[str, list] = {"doc_id": [], "item_id": [], "similarity": [], "start": [], "length": []}
             words, first = hashed_words([normalised(t) for t in b.column("text").to_pylist()])
             rolling = RollingHash(words)
