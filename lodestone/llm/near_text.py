@@ -1,14 +1,22 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles.
+"""Near duplicates: SimHash by Golay keys first, then whatever fingerprints leave open.
 
-Similarity ``least`` leaves two sets of shingles no choice but to meet in their
-prefixes: with all shingles in one order, the first n - ceil(least n) + 1 of a
-set of n.  So nodes (distinct sets) are filed under the shingles of their prefix,
-and no pair is missed.  The order takes rare shingles first; it is free, so the
-common ones need to be known only roughly.
+Texts link if the Jaccard similarity of their sets of word shingles is ``least``
+or more.
 
-1. Under each shingle nodes meet the first node of about their size; similar
-   ones are linked.
-2. Under shingles where several components still meet, all pairs across
+1. Fingerprints of the same shingles meet by Golay-code keys (``simhash.py``);
+   of equal fingerprints each text meets the first, of fingerprints within three
+   bits the first texts meet.
+
+Fingerprints cannot vouch for a similarity: at 0.8 they lie about nine bits apart.
+The rest is found exactly.  Similar sets have no choice but to meet in their
+prefixes: with all shingles in one order, the first n - ceil(least n) + 1 of a set
+of n.  So nodes (distinct sets) are filed under the shingles of their prefix, and
+no pair is missed.  The order takes rare shingles first; it is free, so the common
+ones need to be known only roughly.
+
+2. Under each shingle nodes meet the first node of about their size, unless both
+   are in one component already.
+3. Under shingles where several components still meet, all pairs across
    components are met, the largest component with the others only.
 
 Every meeting is verified on the texts.  Hashes have 64 bits.
@@ -24,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, batch_rows, cut, hashed_words, mix64, utf8
+from .common import RollingHash, cut, hashed_words, mix64, sliced, spread_join, utf8, written
 from .components import components
+from .simhash import fingerprint, fingerprint_links
 
 #: Common shingles that are ordered last at most; a matter of speed alone.
 _COMMON = 1 << 16
@@ -54,7 +63,7 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
     """row and node, a hash of the set of shingles."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             h, first = shingle_sets(utf8(b.column("text")), words)
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h), dtype=np.uint64)))
             found = mix64(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
@@ -63,11 +72,28 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(nodes, "row long, node long")
 
 
+def _fingerprint_pairs(texts: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b) of nodes that the fingerprints of their texts suggest."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            found = np.fromiter((fingerprint(t, words) for t in utf8(b.column("text"))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found.view(np.int64))], ["node", "fingerprint"])
+
+    each = cut(texts.select("node", "text").mapInArrow(prints, "node long, fingerprint long"))
+    firsts = cut(each.groupBy("fingerprint").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    same = spread_join(each, firsts.where("n > 1"), "fingerprint", each.count()).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = fingerprint_links(firsts.select("fingerprint"))
+    for side in ("a", "b"):
+        near = near.join(firsts.select(F.col("fingerprint").alias(side), F.col("first").alias(f"first_{side}")), side)
+    return same.unionByName(near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
 def _common(texts: DataFrame, words: int) -> np.ndarray:
     """Shingles that batches hold often, the most common last."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             h, n = np.unique(shingle_sets(utf8(b.column("text")), words)[0], return_counts=True)
             often = n >= 4
             yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], ["key", "n"])
@@ -85,7 +111,7 @@ def _prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = shared.value
-        for b in batches:
+        for b in sliced(batches):
             h, first = shingle_sets(utf8(b.column("text")), words)
             n = np.diff(first)
             doc = np.repeat(np.arange(len(n)), n)
@@ -107,7 +133,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     """The pairs (a, b) of nodes whose texts are similar."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             k = batch.num_rows
             h, first = shingle_sets(utf8(batch.column("x")) + utf8(batch.column("y")), words)
             keep = np.zeros(k, bool)
@@ -133,21 +159,23 @@ def similar_texts(docs: DataFrame, *, words: int = 5, least: float = 0.8) -> Dat
     ``least`` or more.  Null, empty and blank texts have no shingle and link with
     each other.  row is an id without repeats.
     """
-    batch_rows(docs.sparkSession, 1000)
     each = cut(_nodes(docs, words))
     first = each.groupBy("node").agg(F.min("row").alias("row"))
-    texts = cut(docs.select("row", "text").join(first, "row").select("node", "text"))
+    texts = written(docs.select("row", "text").join(first, "row").select("node", "text"), "near-texts")
+    links = cut(_verified(_fingerprint_pairs(texts, words), texts, words, least))
+    labels = cut(_labelled(texts.select("node"), links))
 
     filed = _prefixes(texts, words, least)
     shared = filed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key")
-    met = cut(filed.join(shared, "key").withColumn("class", F.floor(F.log("n") / math.log(1 / least)).cast("int")))
+    met = filed.join(shared, "key").withColumn("class", F.floor(F.log("n") / math.log(1 / least)).cast("int"))
+    met = cut(met.join(labels, "node"))
 
-    heads = met.groupBy("key", "class").agg(F.min(F.struct("node", "n")).alias("head"))
+    heads = met.groupBy("key", "class").agg(F.min(F.struct("node", "n", "label")).alias("head"))
     close = lambda m, n: F.least(m, n) >= least * F.greatest(m, n) - 1e-9
-    begun = met.join(heads, ["key", "class"]).where((F.col("node") != F.col("head.node")) & close(F.col("n"), F.col("head.n")))
-    links = cut(_verified(begun.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), texts, words, least))
+    begun = met.join(heads, ["key", "class"]).where((F.col("label") != F.col("head.label")) & close(F.col("n"), F.col("head.n")))
+    links = cut(links.unionByName(_verified(begun.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), texts, words, least)))
 
-    labelled = cut(_labelled(met, links))
+    labelled = cut(_labelled(met.drop("label"), links))
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label"))["label"].alias("largest")).where("labels > 1").select("key", "largest")
     mixed = labelled.join(largest, "key")

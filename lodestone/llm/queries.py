@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import whole_texts
 from .decontamination import op10_decontamination
 from .html_text import op6_html_text
 from .language_id import op2_language_id
@@ -18,9 +20,18 @@ from .topk import OP1_SQL, op1_topk
 from .toxicity import op7_toxicity
 
 
+def _with_whole_texts(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        whole_texts(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_topk, op2_language_id, op3_simhash, op4_token_files, op5_packing, op6_html_text, op7_toxicity, op8_substring_dedup, op9_pii, op10_decontamination)
-    return {f.__name__: f for f in every}
+    return {f.__name__: _with_whole_texts(f) for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
