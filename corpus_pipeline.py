@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import new_dir, table
+from lodestone.llm.common import new_dir, table, whole_texts, written
 from lodestone.llm.decontamination import contaminations
 from lodestone.llm.language_id import UNKNOWN, identify, train
 from lodestone.llm.near_text import similar_texts
@@ -22,17 +22,27 @@ from lodestone.session import ship
 _ROW = "__row"
 
 
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    whole_texts(spark)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written once, so that all readers see the same numbers."""
+    return written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language is doubtful, go."""
-    ship(spark)
+    _ready(spark)
     found = identify(docs, train(docs))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, 0.8 of their five-word shingles alike, the document with the smallest doc_id stays."""
-    ship(spark)
-    rows = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    _ready(spark)
+    rows = _numbered(docs)
     groups = similar_texts(rows.select(F.col(_ROW).alias("row"), "text")).withColumnRenamed("row", _ROW)
     first = groups.join(rows.select(_ROW, "doc_id"), _ROW).groupBy("label").agg(F.min(F.struct("doc_id", _ROW))[_ROW].alias(_ROW))
     return rows.join(first.select(_ROW), _ROW, "left_semi").select(*docs.columns)
@@ -40,22 +50,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    ship(spark)
-    rows = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    _ready(spark)
+    rows = _numbered(docs)
     found = contaminations(rows.select(F.col(_ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return rows.join(found.select(F.col("doc_id").alias(_ROW)), _ROW, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and what discloses it are replaced; no document goes."""
-    ship(spark)
+    _ready(spark)
     clean = sanitise(find_personal_data(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 ids."""
-    ship(spark)
+    _ready(spark)
     return pack_documents(docs, tokenizer=public_path(), end_id=1)
 
 
