@@ -62,7 +62,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 HOT = 50_000
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """Inner join of rows with facts, which has one row a key and n, the number of that key's rows.
 
     total is the number of rows.  The facts of hot keys, fewer than HOT rows
@@ -71,7 +71,7 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, total: int) -> Data
     """
     hot = facts.where(F.col("n") * HOT > total).drop("n")
     cold = facts.where(F.col("n") * HOT <= total).drop("n")
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
