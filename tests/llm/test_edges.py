@@ -48,10 +48,11 @@ def test_golay_keys_meet_within_three_bits():
     assert (sought >= 0).sum(axis=1).max() <= 72
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 16])
+def test_components(spark, small):
     rng = np.random.default_rng(5)
     links = [(i, i + 1) for i in range(1, 60)] + [(int(a), int(b)) for a, b in rng.integers(100, 400, (200, 2))] + [(7, 7), (7, 8), (7, 8)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), small=small).collect()}
     root = {}
 
     def find(x):
@@ -63,7 +64,7 @@ def test_components(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for pair in links for x in pair if any(a != b and x in (a, b) for a, b in links)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
 
 
 def test_substring_dedup(spark, docs):
