@@ -118,9 +118,10 @@ def _anchors(docs: DataFrame, size: int) -> DataFrame:
 
 def _copies(docs: DataFrame) -> DataFrame:
     """uid and copy (true) of the documents whose whole text stands in an earlier one."""
-    marked = cut(docs.select("uid", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest")))
+    marked = cut(docs.select("uid", "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")))
     first = marked.groupBy("digest").agg(F.min(F.struct("doc_id", "uid"))["uid"].alias("first"), F.count("*").alias("n")).where("n > 1")
-    return spread_join(marked.select("uid", "digest"), first, "digest", marked.count()).where(F.col("uid") != F.col("first")).select("uid", F.lit(True).alias("copy"))
+    found = spread_join(marked.select("uid", "digest"), cut(first), "digest", marked.count())
+    return cut(found.where(F.col("uid") != F.col("first")).select("uid", F.lit(True).alias("copy")))
 
 
 def _by_document(places: DataFrame, name: str) -> DataFrame:
