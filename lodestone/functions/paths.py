@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,3 +99,57 @@ def under(path: Column, prefixes: Column) -> Column:
 
 def focus_prefixes(focus: Column) -> Column:
     return F.filter(F.transform(F.split(focus, ","), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def _glob(pattern: str) -> str:
+    """A shell pattern of one step as a regular expression; stars stop at slashes."""
+    out, k = "", 0
+    while k < len(pattern):
+        c = pattern[k]
+        close = pattern.find("]", k + 2) if c == "[" else -1
+        if close > 0:
+            out += pattern[k : close + 1]
+            k = close
+        elif c == "\\" and k + 1 < len(pattern):
+            k += 1
+            out += re.escape(pattern[k])
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c)
+        k += 1
+    return out
+
+
+def ignore_patterns(text: str) -> list[str]:
+    """The patterns of an ignore file: lines that are neither blank nor comments."""
+    return [p for p in (line.strip().replace("\\", "/") for line in text.split("\n")) if p and not p.startswith("#")]
+
+
+def ignore_matches(path: Column, patterns: list[str], *, is_dir: bool = False) -> Column:
+    """A pattern takes the path.
+
+    Patterns that end in a slash take directories alone.  Without another slash a
+    pattern is matched with every step; from a leading slash on it names a path from
+    the root, or what lies under it; else it is a run of whole steps, of which only
+    the first place in the path where its text stands is looked at.
+    """
+    each = []
+    for p in patterns:
+        if p.endswith("/") and not is_dir:
+            continue
+        p = p.removesuffix("/")
+        if "/" not in p:
+            each.append(path.rlike(f"(^|/){_glob(p)}(/|$)"))
+        elif p.startswith("/"):
+            each.append(path.rlike(f"^{_glob(p[1:])}$") | F.startswith(path, F.lit(p[1:] + "/")))
+        else:
+            at = F.locate(p, path)
+            before, after = F.substring(path, at - 1, F.lit(1)), F.substring(path, at + len(p), F.lit(1))
+            each.append((at > 0) & ((at == 1) | (before == "/")) & after.isin("", "/"))
+    return _any(each) if each else F.lit(False)
+
+
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """The file, or a directory above it, is taken by a pattern."""
+    steps = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+    return ignore_matches(path, patterns) | ((F.size(steps) > 1) & F.exists(above, lambda d: ignore_matches(d, patterns, is_dir=True)))

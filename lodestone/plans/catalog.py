@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import index_queries, ledger_queries, search_queries, text_queries
+from . import index_queries, ledger_queries, search_queries, signal_queries, text_queries, view_queries
 from .registry import QUERIES, SQL, Query
 
-__all__ = ["index_queries", "ledger_queries", "search_queries", "text_queries"]
+__all__ = ["index_queries", "ledger_queries", "search_queries", "signal_queries", "text_queries", "view_queries"]
 
 
 def queries() -> dict[str, Query]:
