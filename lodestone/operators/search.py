@@ -82,12 +82,13 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda k: F.substring(c, k, F.lit(3))))
 
 
-def word_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
+def word_hits(texts: DataFrame, terms: DataFrame, most: int = 200_000) -> DataFrame:
     """Pairs of texts(key, content) and distinct terms(term) of three characters or more where the term is part of the text.
 
     A term has word characters only, so it lies within one word of the text:
     distinct words are joined to terms by the rarest trigram of the term, then
-    back to their texts.  Returns key, term.
+    back to their texts; up to ``most`` words that hold a term are broadcast, so that
+    the words of the texts need not move.  Returns key, term.
     """
     words = texts.select("key", F.explode(F.array_distinct(T.extract_all(F.lower(F.coalesce("content", F.lit(""))), "[a-z0-9_]+"))).alias("word")).where(F.length("word") >= 3)
     vocabulary = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
@@ -96,7 +97,9 @@ def word_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     found = every.select("term", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(seen, "gram")
     asked = found.groupBy("term", "size").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("met")).where("met = size")
     inside = vocabulary.join(asked.select("term", "gram"), "gram").where(F.contains("word", "term")).select("word", "term")
-    return words.join(inside, "word").select("key", "term").distinct()
+    inside = kept(inside)
+    few = inside.limit(most + 1).count() <= most
+    return words.join(F.broadcast(inside) if few else inside, "word").select("key", "term").distinct()
 
 
 def matching(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -118,12 +121,15 @@ def content_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     return met.join(forms, "form").groupBy("query_id", "key").agg(F.count_distinct("term").alias("hits"))
 
 
-def chunk_search(chunks: DataFrame, questions: DataFrame, weights: SearchWeights | None = None, limit: int = 8) -> DataFrame:
+def chunk_search(chunks: DataFrame, questions: DataFrame, weights: SearchWeights | None = None, limit: int = 8, *, structure: tuple[DataFrame, DataFrame] | None = None, extra: DataFrame | None = None) -> DataFrame:
     """The best chunks of each question: query_id, rank, rel_path, start_line, symbol, score.
 
     chunks(rel_path, start_line, symbol, kind, content, token_estimate).  In order:
-    base score, exact file names, long, test and legacy penalties; scores of 0 and
-    less go; of chunks with one symbol in a file the first stays; three a file.
+    base score, boosts of a file's structure (its symbols(rel_path, name) and
+    imports(rel_path, imp)) on all its chunks, extra(query_id, rel_path,
+    start_line, points) such as semantic ones, exact file names, long, test and
+    legacy penalties; scores of 0 and less go; of chunks with one symbol in a file
+    the first stays; three a file.
 
     Each signal is worked out once for each distinct symbol, path or kind and
     question; pairs that no signal reaches score 0 and never arise.
@@ -142,6 +148,12 @@ def chunk_search(chunks: DataFrame, questions: DataFrame, weights: SearchWeights
     reached = hits.select("query_id", "key")
     for signal, c in ((symbol, "symbol"), (path, "rel_path"), (kind, "kind"), (filed, "rel_path")):
         reached = reached.unionByName(of(signal, c))
+    boosts = kept(structural_boosts(*structure, terms, w)) if structure else None
+    if boosts is not None:
+        reached = reached.unionByName(keyed.select("key", "rel_path").join(boosts, "rel_path").select("query_id", "key"))
+    if extra is not None:
+        more = extra.select("query_id", F.struct("rel_path", "start_line").alias("key"), "points")
+        reached = reached.unionByName(more.join(keyed.select("key"), "key").select("query_id", "key"))
     pairs = reached.distinct().join(keyed, "key").join(hits, ["query_id", "key"], "left")
     flags = ((symbol, "symbol", w.symbol_match), (named, "symbol", w.symbol_exact), (path, "rel_path", w.path), (kind, "kind", w.kind))
     score = F.least(F.coalesce("hits", F.lit(0)), F.lit(3)) * w.content
@@ -149,6 +161,10 @@ def chunk_search(chunks: DataFrame, questions: DataFrame, weights: SearchWeights
         pairs = pairs.join(signal.withColumn(f"__{k}", F.lit(weight)), ["query_id", c], "left")
         score = score + F.coalesce(f"__{k}", F.lit(0.0))
     pairs = pairs.withColumn("score", score).withColumn("score", F.col("score") + F.when((F.col("kind") != "file") & (F.col("score") > 0), w.chunk_scope).otherwise(0.0))
+    if boosts is not None:
+        pairs = pairs.join(boosts, ["query_id", "rel_path"], "left").withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0.0)))
+    if extra is not None:
+        pairs = pairs.join(more, ["query_id", "key"], "left").withColumn("score", F.col("score") + F.coalesce("points", F.lit(0.0)))
     pairs = pairs.join(filed.withColumn("__f", F.lit(w.exact_filename)), ["query_id", "rel_path"], "left").withColumn("score", F.col("score") + F.coalesce("__f", F.lit(0.0)))
     asked = questions.select("query_id", T.wants_tests("text").alias("wants_tests"), T.wants_legacy("text").alias("wants_legacy"))
     return finish(penalised(pairs.join(asked, "query_id"), w), limit)
@@ -225,12 +241,16 @@ def exact_signal(lines: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(terms.select("query_id", "term"), "term").select("query_id", "rel_path", "line").distinct()
 
 
-def rank_files(files: DataFrame, questions: DataFrame, weights: RankWeights | None = None, *, focus: str = "", changed: DataFrame | None = None) -> DataFrame:
+def rank_files(files: DataFrame, questions: DataFrame, weights: RankWeights | None = None, *, focus: str = "", changed: DataFrame | None = None, bonuses: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """Every file of files(rel_path, lang) by question: query_id, rel_path, score, of 0 and more, best first by rank.
 
     File name or path, once a term; language bonus; root documents; focus
-    prefixes; changed files; test files downranked unless the question asks for
-    them.  Files that no term reaches keep their own bonuses.
+    prefixes; changed files; bonuses(query_id, rel_path, points), such as those of
+    symbols, imports and dependencies; test files downranked unless the question
+    asks for them.  Files that no term reaches keep their own bonuses.  With
+    ``top`` each question gets its first files only, and only as many of the files
+    with the best bonuses of their own are looked at: none of the others can be
+    among the first.
     """
     w = weights or RankWeights()
     terms = question_terms(questions)
@@ -253,14 +273,40 @@ def rank_files(files: DataFrame, questions: DataFrame, weights: RankWeights | No
     if changed is not None:
         flagged = changed.select("rel_path").distinct().withColumn("__c", F.lit(w.changed))
         base = base.join(flagged, "rel_path", "left").withColumn("own", F.col("own") + F.coalesce("__c", F.lit(0.0))).drop("__c")
-    # A file's own bonuses hold for every question: blocks of questions against all files.
+    if bonuses is not None:
+        points = points.unionByName(bonuses.select("query_id", "rel_path", "points")).groupBy("query_id", "rel_path").agg(F.sum("points").alias("points"))
+    # A file's own bonuses are the same for all questions that want tests, and for all others.
+    loss = lambda score: F.when(P.is_test_like(F.col("rel_path")) & ~F.col("wants_tests"), score * w.test).otherwise(score)
     asked = questions.select("query_id", T.wants_tests("text").alias("wants_tests"))
-    reached = points.select("query_id", "rel_path").unionByName(base.where("own > 0").join(asked).select("query_id", "rel_path")).distinct()
+    own_files = base.where("own > 0").withColumn("wants_tests", F.explode(F.array(F.lit(True), F.lit(False))))
+    if top is not None:
+        best = F.row_number().over(Window.partitionBy("wants_tests").orderBy(F.desc(F.round(loss(F.col("own")), 6)), "rel_path"))
+        own_files = own_files.withColumn("__k", best).where(F.col("__k") <= top)
+    reached = points.select("query_id", "rel_path").unionByName(own_files.select("rel_path", "wants_tests").join(asked, "wants_tests").select("query_id", "rel_path")).distinct()
     scored = reached.join(base, "rel_path").join(points, ["query_id", "rel_path"], "left").join(asked, "query_id")
-    total = F.coalesce("points", F.lit(0.0)) + F.col("own")
-    kept = F.when(P.is_test_like(F.col("rel_path")) & ~F.col("wants_tests"), total * w.test).otherwise(total)
-    ranked = scored.select("query_id", "rel_path", F.round(kept, 6).alias("score")).where("score > 0")
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rel_path")))
+    ranked = scored.select("query_id", "rel_path", F.round(loss(F.coalesce("points", F.lit(0.0)) + F.col("own")), 6).alias("score")).where("score > 0")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rel_path")))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
+
+
+def structural_boosts(symbols: DataFrame, imports: DataFrame, terms: DataFrame, weights: SearchWeights | None = None) -> DataFrame:
+    """query_id, rel_path and boost: what the symbols(rel_path, name) and imports(rel_path, imp) of a file add to each of its chunks.
+
+    A symbol that matches a term is worth more if it is the term or shares its stem; both sums have a limit.
+    """
+    w = weights or SearchWeights()
+    terms = terms.select("query_id", "term").distinct()
+
+    def met(rows: DataFrame, column: str) -> DataFrame:
+        values = rows.select(F.col(column).alias("text"))
+        pairs = matching(values, terms).withColumn("whole", F.arrays_overlap(T.variants("term"), T.variants(F.lower("text"))))
+        told = pairs.join(terms, "term").groupBy("query_id", "text").agg(F.max("whole").alias("whole"))
+        return rows.select("rel_path", F.col(column).alias("text")).join(told, "text")
+
+    points = F.when(F.col("whole"), w.structural_symbol).otherwise(w.structural_partial)
+    s = met(symbols, "name").groupBy("query_id", "rel_path").agg(F.least(F.sum(points), F.lit(w.structural_symbol)).alias("boost"))
+    i = met(imports, "imp").groupBy("query_id", "rel_path").agg(F.least(F.count("*") * w.structural_import, F.lit(10.0)).alias("boost"))
+    return s.unionByName(i).groupBy("query_id", "rel_path").agg(F.sum("boost").alias("boost"))
 
 
 def content_match(ranked: DataFrame, contents: DataFrame, terms: DataFrame, weight: float = 0.5, top: int = CONTENT_TOP) -> DataFrame:

@@ -148,10 +148,16 @@ def semantic_boost(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(V.semantic_boost(F.col("l_quantity") / 50, 8.0), 6).alias("boost"))
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT item_id, list_transform(string_split(text, ''), lambda x: ord(x)) AS codes FROM benchmark),
+h AS (SELECT item_id, codes, 0 AS k, CAST(5381 AS BIGINT) AS seed FROM c UNION ALL SELECT item_id, codes, k + 1, (seed * 33 + codes[k + 1]) % 4294967296 FROM h WHERE k < len(codes)),
+g AS (SELECT item_id, 0 AS pos, (seed * 1664525 + 1013904223) % 4294967296 AS x FROM h WHERE k = len(codes) UNION ALL SELECT item_id, pos + 1, (x * 1664525 + 1013904223) % 4294967296 FROM g WHERE pos < 15),
+v AS (SELECT item_id, pos, x / 4294967296.0::DOUBLE * 2 - 1 AS v FROM g)
+SELECT item_id AS query_id, pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 5) AS value FROM v
+""")
 def mock_embedding(t: Tables) -> DataFrame:
-    e = V.mock_embedding(64)("text")
-    return questions(t).select("query_id", F.round(V.cosine(e, e), 6).alias("self_cosine"))
+    e = V.mock_embedding(16)("text")
+    return questions(t).select("query_id", F.posexplode(e).alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
 @query("SELECT token, CASE WHEN regexp_matches(lower(token), '\\.(ts|tsx|js|jsx|mjs|cjs|py|go|md|json|yaml|yml)$') THEN 'path' WHEN token LIKE '%.%' AND NOT regexp_matches(token, '(^|\\.)[^.]?(\\.|$)') THEN 'api' WHEN strlen(token) >= 4 AND (token LIKE '%\\_%' ESCAPE '\\' OR len(regexp_extract_all(token, '[A-Z]')) >= 2 OR (regexp_matches(token, '[A-Z]') AND NOT regexp_matches(token, '[a-z]')) OR (len(regexp_extract_all(token, '[A-Z]')) = 1 AND regexp_matches(token, '^[a-z]'))) THEN 'symbol' ELSE 'skip' END AS kind FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)*')) AS token FROM documents)")
