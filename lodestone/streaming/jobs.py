@@ -37,13 +37,15 @@ def first_seen(events: DataFrame, *, late: str = "1 day") -> DataFrame:
 def index_stream(contents: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Upserts micro-batches of contents(rel_path, content) into the Parquet table of files at a path.
 
-    A batch goes to a version of its own, <table>/v=<batch>, built from the one
+    Of several contents of a file in a batch the one with the latest modified counts
+    (without that column the largest).  A batch goes to a version of its own, <table>/v=<batch>, built from the one
     before it; a batch that runs again writes the same version.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = index.file_table(batch.groupBy("rel_path").agg(F.max("content").alias("content")))
+        last = F.max_by("content", "modified") if "modified" in batch.columns else F.max("content")
+        new = index.file_table(batch.groupBy("rel_path").agg(last.alias("content")))
         old = spark.read.parquet(f"{table}/v={batch_id - 1}") if batch_id else spark.createDataFrame([], new.schema)
         index.upsert(old, new, "rel_path").write.mode("overwrite").parquet(f"{table}/v={batch_id}")
 

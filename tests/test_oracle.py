@@ -11,9 +11,14 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+#: Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, sf_dir, con, name):
-    assert differences(catalog.queries()[name](spark, sf_dir), con, catalog.oracle_sql()[name]) in ("", "no row on either side")
+    found = differences(catalog.queries()[name](spark, sf_dir), con, catalog.oracle_sql()[name])
+    assert not found or (name in MAY_BE_EMPTY and found == "no row on either side")
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
