@@ -82,6 +82,12 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda k: F.substring(c, k, F.lit(3))))
 
 
+def _checked(df: DataFrame, most: int) -> DataFrame:
+    """df, computed once and to be broadcast if it has no more than ``most`` rows."""
+    df = kept(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def word_hits(texts: DataFrame, terms: DataFrame, most: int = 200_000) -> DataFrame:
     """Pairs of texts(key, content) and distinct terms(term) of three characters or more where the term is part of the text.
 
@@ -90,6 +96,11 @@ def word_hits(texts: DataFrame, terms: DataFrame, most: int = 200_000) -> DataFr
     back to their texts; up to ``most`` words that hold a term are broadcast, so that
     the words of the texts need not move.  Returns key, term.
     """
+    return _word_hits(texts, terms, most).distinct()
+
+
+def _word_hits(texts: DataFrame, terms: DataFrame, most: int = 200_000) -> DataFrame:
+    """key and term, as often as different words of the text hold the term."""
     words = texts.select("key", F.explode(F.array_distinct(T.extract_all(F.lower(F.coalesce("content", F.lit(""))), "[a-z0-9_]+"))).alias("word")).where(F.length("word") >= 3)
     vocabulary = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
     seen = vocabulary.groupBy("gram").agg(F.count("*").alias("n"))
@@ -97,9 +108,7 @@ def word_hits(texts: DataFrame, terms: DataFrame, most: int = 200_000) -> DataFr
     found = every.select("term", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(seen, "gram")
     asked = found.groupBy("term", "size").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("met")).where("met = size")
     inside = vocabulary.join(asked.select("term", "gram"), "gram").where(F.contains("word", "term")).select("word", "term")
-    inside = kept(inside)
-    few = inside.limit(most + 1).count() <= most
-    return words.join(F.broadcast(inside) if few else inside, "word").select("key", "term").distinct()
+    return words.join(_checked(inside, most), "word").select("key", "term")
 
 
 def matching(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -115,10 +124,15 @@ def matching(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def content_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, key and hits: how many terms of the question have a variant of three bytes or more within chunks(key, content)."""
-    forms = terms.select("query_id", "term", F.explode(T.variants("term")).alias("form")).where(F.octet_length("form") >= 3)
-    met = word_hits(chunks, forms.select(F.col("form").alias("term"))).withColumnRenamed("term", "form")
-    return met.join(forms, "form").groupBy("query_id", "key").agg(F.count_distinct("term").alias("hits"))
+    """query_id, key and hits: how many terms of the question have a variant of three bytes or more within chunks(key, content).
+
+    Terms are gathered by text once for all questions, and counted where they lie.
+    """
+    forms = terms.select("term").distinct().select("term", F.explode(T.variants("term")).alias("form")).where(F.octet_length("form") >= 3)
+    met = _word_hits(chunks, forms.select(F.col("form").alias("term"))).withColumnRenamed("term", "form")
+    held = met.join(_checked(forms, 200_000), "form").groupBy("key").agg(F.collect_set("term").alias("held"))
+    asked = _checked(terms.select("query_id", "term").distinct(), 1_000_000)
+    return held.select("key", F.explode("held").alias("term")).join(asked, "term").groupBy("query_id", "key").agg(F.count("*").alias("hits"))
 
 
 def chunk_search(chunks: DataFrame, questions: DataFrame, weights: SearchWeights | None = None, limit: int = 8, *, structure: tuple[DataFrame, DataFrame] | None = None, extra: DataFrame | None = None) -> DataFrame:
