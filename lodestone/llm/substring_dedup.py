@@ -40,6 +40,8 @@ COVER = np.array([0, 1, 3, 9])
 #: Turns the word hashes into those of the second, independent hash.
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 _NULL_ID = -(2**63)
+#: Bits that anchors' hashes do without: a false meeting of anchors only lays a few windows more.
+_SPARED = np.uint64(16)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], rows: int = 4000, size: int = 16 << 20) -> Iterator[pa.Table]:
@@ -98,7 +100,7 @@ def _anchors(docs: DataFrame, size: int) -> DataFrame:
             doc = np.repeat(np.arange(t.num_rows), np.diff(first))
             pos = np.arange(len(words)) - first[doc]
             at = np.flatnonzero(np.isin(pos % PERIOD, COVER) & (np.arange(len(words)) + size <= first[doc + 1]))
-            hashes = RollingHash(words).of(at, at + size)
+            hashes = RollingHash(words).of(at, at + size) >> _SPARED
             order = np.argsort(hashes, kind="stable")
             uid, doc, pos, h = _column(t, "uid").to_numpy(), doc[at][order], pos[at][order], hashes[order]
             start = np.flatnonzero(_firsts(h)) if len(h) else np.empty(0, np.int64)
@@ -107,7 +109,7 @@ def _anchors(docs: DataFrame, size: int) -> DataFrame:
             single = counts == 1
             d, lists = _by_doc(doc[many], pos[many])
             n = len(d)
-            hash_ = np.concatenate((h[start], mix64(uid[d].view(np.uint64)))).view(np.int64)
+            hash_ = np.concatenate((h[start], mix64(uid[d].view(np.uint64)) >> _SPARED)).view(np.int64)
             uids = pa.array(np.concatenate((uid[doc[start]], uid[d])), mask=np.concatenate((~single, np.zeros(n, bool))))
             place = pa.array(np.concatenate((pos[start], np.zeros(n, np.int64))).astype(np.int32), mask=np.concatenate((~single, np.ones(n, bool))))
             sure = pa.concat_arrays([pa.nulls(len(start), lists.type), lists])
