@@ -4,7 +4,7 @@ Texts link if the Jaccard similarity of their sets of word shingles is ``least``
 or more.
 
 1. Fingerprints of the same shingles meet by Golay-code keys (``simhash.py``);
-   of equal fingerprints each text meets the first, of fingerprints within three
+   of equal fingerprints each text meets the first, of fingerprints within two
    bits the first texts meet.
 
 Fingerprints cannot vouch for a similarity: at 0.8 they lie about nine bits apart.
@@ -46,6 +46,8 @@ from .simhash import fingerprint, fingerprint_links
 _COMMON = 1 << 16
 #: Longs of the map that is part of a join.
 _MAP = 4
+#: Bits that the keys of prefixes do without: a false meeting is sifted like any other.
+_SPARED = np.uint64(16)
 
 
 def shingle_sets(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +83,8 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
         for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(node_hashes(utf8(b.column("text")), words))], ["row", "node"])
 
-    return docs.select("row", "text").mapInArrow(nodes, "row long, node long")
+    kind = docs.schema["row"].dataType.simpleString()
+    return docs.select("row", "text").mapInArrow(nodes, f"row {kind}, node long")
 
 
 def _texts(docs: DataFrame, words: int) -> DataFrame:
@@ -95,7 +98,7 @@ def _texts(docs: DataFrame, words: int) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = docs.select("text").mapInArrow(nodes, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
     name = f"near_texts_{uuid.uuid4().hex}"
-    once.repartition(n, "node").write.bucketBy(n, "node").option("path", new_dir(spark, "near-texts")).saveAsTable(name)
+    once.write.bucketBy(n, "node").option("path", new_dir(spark, "near-texts")).saveAsTable(name)
     return spark.table(name)
 
 
@@ -140,7 +143,7 @@ def _fingerprint_pairs(sketches: DataFrame) -> DataFrame:
     each = sketches.select("node", "fingerprint")
     firsts = cut(each.groupBy("fingerprint").agg(F.min("node").alias("first"), F.count("*").alias("n")))
     same = spread_join(each, firsts.where("n > 1"), "fingerprint", each.count()).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    near = fingerprint_links(firsts.select("fingerprint"))
+    near = fingerprint_links(firsts.select("fingerprint"), 2)
     for side in ("a", "b"):
         near = near.join(firsts.select(F.col("fingerprint").alias(side), F.col("first").alias(f"first_{side}")), side)
     return same.unionByName(near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
@@ -195,7 +198,7 @@ def _prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
             size = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
             kept = pos < size[doc]
             doc, node = doc[kept], b.column("node").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(h[order][kept].view(np.int64)), pa.array(node[doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos[kept].astype(np.int32))], ["key", "node", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array((h[order][kept] >> _SPARED).view(np.int64)), pa.array(node[doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos[kept].astype(np.int32))], ["key", "node", "n", "pos"])
 
     return texts.select("node", "text").mapInArrow(prefixes, "key long, node long, n int, pos int")
 
@@ -243,7 +246,7 @@ def similar_texts(docs: DataFrame, *, words: int = 5, least: float = 0.8) -> Dat
 
     Texts link if the Jaccard similarity of their sets of ``words``-word shingles is
     ``least`` or more.  Null, empty and blank texts have no shingle and link with
-    each other.  row is an id without repeats.
+    each other.  row is an id; rows that share it have the same text.
     """
     each = cut(_nodes(docs, words))
     texts = _texts(docs, words)

@@ -90,8 +90,11 @@ def _indices(prints: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
     return golay_indices()[word].astype(np.int32), out
 
 
-def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which fingerprints are filed (n x 12) and looked up (n x 72), -1 where fewer."""
+def golay_keys(prints: np.ndarray, bits: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which fingerprints are filed (n x 12) and looked up (n x 72), -1 where fewer.
+
+    Up to two bits leave a segment free of errors, so that half of the keys do.
+    """
     n = len(prints)
     own, near = zip(*(_indices(prints, s) for s in range(3)), strict=True)
     own, near = [x.astype(np.int64) for x in own], [x.astype(np.int64) for x in near]
@@ -101,6 +104,8 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base = (k << 40) | (raw[exact] << 12)
         filed.append((base | own[other])[:, None])
         sought.append(np.where(near[other] >= 0, base[:, None] | near[other], -1))
+    if bits < 3:
+        return np.concatenate(filed, 1), np.concatenate(sought, 1)
     every = lambda a, b, c: np.where((a >= 0) & (b >= 0) & (c >= 0), (len(PAIRS) << 40) | (a << 24) | (b << 12) | c, -1).reshape(n, -1)
     flat = [x[:, None, None] for x in own]
     filed.append(every(flat[0], near[1][:, :, None], flat[2]))
@@ -119,13 +124,13 @@ def fingerprints(docs: DataFrame, *, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prints, "doc_id long, fingerprint long")
 
 
-def _keys(prints: DataFrame, sought: bool) -> DataFrame:
+def _keys(prints: DataFrame, sought: bool, bits: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column("fingerprint").to_numpy()
             for k in range(0, len(values), 8192):
                 some = values[k : k + 8192]
-                found = golay_keys(some.view(np.uint64))[sought]
+                found = golay_keys(some.view(np.uint64), bits)[sought]
                 row, column = np.nonzero(found >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(found[row, column]), pa.array(some[row])], ["key", "fingerprint"])
 
@@ -136,8 +141,8 @@ def fingerprint_links(prints: DataFrame, bits: int = 3) -> DataFrame:
     """Pairs a < b of the distinct fingerprints in prints(fingerprint long) at most ``bits`` (3 at most) bits apart."""
     if not 0 <= bits <= 3:
         raise ValueError("the segments guarantee pairs of at most three bits")
-    filed = _keys(prints, False).withColumnRenamed("fingerprint", "a")
-    sought = _keys(prints, True).withColumnRenamed("fingerprint", "b")
+    filed = _keys(prints, False, bits).withColumnRenamed("fingerprint", "a")
+    sought = _keys(prints, True, bits).withColumnRenamed("fingerprint", "b")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
     return sought.join(filed.hint("shuffle_hash"), "key").where(close).select("a", "b").distinct()
 
