@@ -27,6 +27,12 @@ def _ready(spark: SparkSession) -> None:
     whole_texts(spark)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a digest of each whole row, which is the same whenever the row is read; equal rows share it."""
+    columns = [F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in docs.columns]
+    return docs.withColumn(_ROW, F.unhex(F.md5(F.concat_ws("\x00", *columns))))
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with a number for each row, written once, so that all readers see the same numbers."""
     return written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
@@ -42,10 +48,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, 0.8 of their five-word shingles alike, the document with the smallest doc_id stays."""
     _ready(spark)
-    rows = _numbered(docs)
-    groups = similar_texts(rows.select(F.col(_ROW).alias("row"), "text")).withColumnRenamed("row", _ROW)
-    first = groups.join(rows.select(_ROW, "doc_id"), _ROW).groupBy("label").agg(F.min(F.struct("doc_id", _ROW))[_ROW].alias(_ROW))
-    return rows.join(first.select(_ROW), _ROW, "left_semi").select(*docs.columns)
+    rows = _keyed(docs)
+    groups = similar_texts(rows.select(F.struct("doc_id", _ROW).alias("row"), "text"))
+    first = groups.groupBy("label").agg(F.min("row").alias("row")).select(F.col(f"row.{_ROW}").alias(_ROW))
+    return rows.join(first, _ROW, "left_semi").dropDuplicates([_ROW]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
