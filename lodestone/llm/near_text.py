@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RollingHash, cut, hashed_words, mix64, new_dir, sliced, spread_join, utf8
+from .common import RollingHash, cut, hashed_words, mix64, new_dir, sliced, spread_join, utf8, written
 from .components import components
 from .simhash import fingerprint, fingerprint_links
 
@@ -257,8 +257,8 @@ def similar_texts(docs: DataFrame, *, words: int = 5, least: float = 0.8) -> Dat
     filed = _prefixes(texts, words, least)
     often = F.count("*").over(Window.partitionBy("key"))
     met = filed.withColumn("met", often).where("met > 1").drop("met").withColumn("class", F.floor(F.log("n") / math.log(1 / least)).cast("int"))
-    met = cut(met)
-    labelled, rows = cut(_labelled(met, links)), met.count()
+    met = written(met, "near-prefixes")
+    labelled, rows = written(_labelled(met, links), "near-labels"), met.count()
     links = links.unionByName(verified(_to_largest(labelled, rows, least)))
     labelled = _labelled(met, links)
 
