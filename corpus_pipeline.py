@@ -25,6 +25,8 @@ _ROW = "__row"
 def _ready(spark: SparkSession) -> None:
     ship(spark)
     whole_texts(spark)
+    # Shuffle files go when their job has ended; what is read again lies in the shared folder.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
