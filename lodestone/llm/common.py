@@ -51,11 +51,18 @@ def whole_texts(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, whatever the session hands over at once."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, and of about ``size`` bytes or one longer row, whatever the session hands over at once."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
+            parts = [b.slice(k, rows)]
+            while parts:
+                part = parts.pop()
+                half = part.num_rows // 2
+                if half and size is not None and part.nbytes > size:
+                    parts += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
 
 
 #: Keys that hold more than 1 / HOT of all rows are hot; there are fewer than HOT of them.

@@ -46,6 +46,8 @@ from .simhash import fingerprint, fingerprint_links
 _COMMON = 1 << 16
 #: Longs of the map that is part of a join.
 _MAP = 4
+#: Bytes of texts whose shingles a task holds at once; each takes about fifty bytes of arrays at worst, which workers keep.
+_AT_ONCE = 1 << 18
 #: Bits that the keys of prefixes do without: a false meeting is sifted like any other.
 _SPARED = np.uint64(16)
 
@@ -80,7 +82,7 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
     """row and node, a hash of the set of shingles."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, size=_AT_ONCE):
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(node_hashes(utf8(b.column("text")), words))], ["row", "node"])
 
     kind = docs.schema["row"].dataType.simpleString()
@@ -91,7 +93,7 @@ def _texts(docs: DataFrame, words: int) -> DataFrame:
     """node and text, one row a node, in buckets by node."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, size=_AT_ONCE):
             yield pa.RecordBatch.from_arrays([pa.array(node_hashes(utf8(b.column("text")), words)), b.column("text")], ["node", "text"])
 
     spark = docs.sparkSession
@@ -128,7 +130,7 @@ def _sketches(texts: DataFrame, words: int) -> DataFrame:
     """node, fingerprint of its text, n, sketch of its set and the sketch as a map of _MAP longs."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, size=_AT_ONCE):
             given = utf8(b.column("text"))
             prints = np.fromiter((fingerprint(t, words) for t in given), np.uint64, b.num_rows)
             h, first = shingle_sets(given, words)
@@ -153,7 +155,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
     """The pairs (a, b) of nodes whose sketches allow for the similarity."""
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, size=_AT_ONCE):
             most = (1 - least) / (1 + least) * (b.column("na").to_numpy().astype(float) + b.column("nb").to_numpy()) + 1e-9
             keep = [least_difference(x, y) <= m for x, y, m in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), most, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -185,7 +187,7 @@ def _prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = shared.value
-        for b in sliced(batches):
+        for b in sliced(batches, size=_AT_ONCE):
             h, first = shingle_sets(utf8(b.column("text")), words)
             n = np.diff(first)
             doc = np.repeat(np.arange(len(n)), n)
@@ -207,7 +209,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     """The pairs (a, b) of nodes whose texts are similar."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, size=_AT_ONCE):
             k = batch.num_rows
             h, first = shingle_sets(utf8(batch.column("x")) + utf8(batch.column("y")), words)
             keep = np.zeros(k, bool)

@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodestone.llm.common import sliced
 from lodestone.llm.near_text import similar_texts
 
 
@@ -55,3 +57,12 @@ def test_no_document_goes_on_its_fingerprint_alone(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == kept([tuple(r) for r in rows])
     assert similar_texts(docs.withColumn("row", F.col("doc_id"))).count() == len(rows)
+
+
+def test_batches_are_cut_by_bytes():
+    texts = ["", None, "x" * 5000, "short", "y" * 300, "z" * 300] * 7
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    parts = list(sliced(iter([batch, batch.slice(0, 0)]), rows=20, size=1000))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.nbytes <= 1000 for p in parts) and max(p.num_rows for p in parts) > 1
+    assert [p.num_rows for p in sliced(iter([batch]), rows=20)] == [20, 20, 2]
