@@ -60,11 +60,23 @@ class PieceEncoder:
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None], span: int = 1 << 18) -> list[bytes]:
+        """About ``span`` characters, or one longer text, are held in pieces at once: workers keep what they have once taken."""
+        out, k = [], 0
+        while k < len(texts):
+            some, size = [], 0
+            while k < len(texts) and (not some or size + len(texts[k] or "") < span):
+                some.append(texts[k])
+                size += len(texts[k] or "")
+                k += 1
+            out += self._encoded(some)
+        return out
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
         if self.added:
             whole = {k for k, t in enumerate(texts) if t and self.added.search(t)}
             if whole:
-                rest = iter(self.encode([t for k, t in enumerate(texts) if k not in whole]))
+                rest = iter(self._encoded([t for k, t in enumerate(texts) if k not in whole]))
                 return [self._one(t) if k in whole else next(rest) for k, t in enumerate(texts)]
         loose = [bool(t) and _LOOSE.search(t) is not None for t in texts]
         split = [None if not t else _PIECE.findall(t) if odd else t.split(" ") for t, odd in zip(texts, loose, strict=True)]
