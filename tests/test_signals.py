@@ -16,7 +16,7 @@ def test_ignore_files(spark):
     assert P.ignore_patterns("# x\n\n a/ \nb*\n") == ["a/", "b*"]
     assert ignored(spark, ["build/"], "build/x.py", "src/build/x.py", "build", "builds/x.py") == [True, True, False, False]
     assert ignored(spark, ["*_backup"], "a_backup", "d_backup/x", "a_backup.py") == [True, True, False]
-    assert ignored(spark, ["/docs"], "docs/a.md", "src/docs/a.md") == [True, True]
+    assert ignored(spark, ["/docs"], "docs/a.md", "src/docs/a.md") == [True, False]
     assert ignored(spark, ["/docs/a.md"], "docs/a.md", "src/docs/a.md") == [True, False]
     assert ignored(spark, ["api/v1"], "src/api/v1/x.py", "xapi/v1/api/v1/x.py") == [True, True]
     assert ignored(spark, [], "x") == [False]
