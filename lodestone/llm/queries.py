@@ -14,6 +14,7 @@ from .language_id import op2_language_id
 from .packing import op5_packing
 from .pii import op9_pii
 from .simhash import op3_simhash
+from .spelling import OP11_SQL, op11_spelling
 from .substring_dedup import op8_substring_dedup
 from .token_files import op4_token_files
 from .topk import OP1_SQL, op1_topk
@@ -30,9 +31,9 @@ def _with_whole_texts(query: Callable[[SparkSession, str], DataFrame]) -> Callab
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_topk, op2_language_id, op3_simhash, op4_token_files, op5_packing, op6_html_text, op7_toxicity, op8_substring_dedup, op9_pii, op10_decontamination)
+    every = (op1_topk, op2_language_id, op3_simhash, op4_token_files, op5_packing, op6_html_text, op7_toxicity, op8_substring_dedup, op9_pii, op10_decontamination, op11_spelling)
     return {f.__name__: _with_whole_texts(f) for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL}
+    return {"op1_topk": OP1_SQL, "op11_spelling": OP11_SQL}
