@@ -46,11 +46,11 @@ def one(spark, column):
 
 
 def test_symbols():
-    assert [(n, k) for n, k, _ in parsing.symbols_of("typescript", TS)] == [("Cart", "class"), ("Cart.add", "method"), ("Cart.size", "method"), ("Cart.load", "method"), ("checkout", "function")]
+    assert [(n, k) for n, k, _ in parsing.symbols_of("typescript", TS)] == [("checkout", "export_func"), ("Cart", "export_class"), ("Cart.add", "method"), ("Cart.size", "get"), ("Cart.load", "method")]
     assert parsing.imports_of("typescript", TS) == ["./util", "fs"]
-    assert parsing.symbols_of("python", PY) == [("Store", "class", 4), ("Store.get", "function", 5), ("main", "function", 10)]
+    assert parsing.symbols_of("python", PY) == [("Store", "class", 4), ("Store.get", "method", 5), ("main", "func", 10)]
     assert parsing.imports_of("python", PY) == ["os", "sys"]
-    assert [n for n, _, _ in parsing.symbols_of("go", GO)] == ["A", "B", "C", "Run"]
+    assert [n for n, _, _ in parsing.symbols_of("go", GO)] == ["Run", "A", "B", "C"]
     assert parsing.imports_of("go", GO) == ["fmt"]
     assert parsing.symbols_of(None, "x") == [] and parsing.symbols_of("python", "") == []
 
@@ -61,9 +61,10 @@ def test_other_languages(lang, code, name):
 
 
 def test_chunks():
-    assert parsing.ranges_of("python", PY) == [("class", "Store", 4, 4), ("function", "Store.get", 5, 8), ("function", "main", 10, 11)]
-    assert ("function", "checkout", 10, 12) in parsing.ranges_of("typescript", TS)
-    assert parsing.ranges_of("json", "{}") == [("file", "", 1, 1)]
+    spans = lambda lang, text: [(c.kind, c.symbol, c.start, c.end) for c in parsing.chunks_of(lang, "a/f", text)]
+    assert spans("python", PY) == [("class", "Store", 4, 4), ("method", "Store.get", 5, 8), ("func", "main", 10, 11)]
+    assert ("export_func", "checkout", 10, 12) in spans("typescript", TS)
+    assert spans("json", "{}") == [("file", "f", 1, 1)]
     assert parsing.compress("typescript", TS).startswith("import")
     assert parsing.compress("json", '{"a": 1}') == '{"a":1}'
     assert parsing.without_comments("go", 'a := "//x" // y\n') == 'a := "//x" \n'
