@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import audit, bundles, index, parsing, search
+from .operators import audit, bundles, chunk_search, excerpts, index, parsing, search
 from .session import kept
 from .sources import files
 
@@ -20,7 +20,8 @@ class Engine:
         self.corpus = corpus.select("rel_path", "content")
         self.files = index.file_table(self.corpus)
         self.sources = self.corpus.join(self.files.select("rel_path", "lang"), "rel_path")
-        self.chunks = kept(parsing.code_chunks(self.sources).withColumn("token_estimate", T.token_estimate("content")))
+        self.chunks = kept(parsing.code_chunks(self.sources))
+        self.parsed = kept(parsing.parse(self.sources).select("rel_path", "symbols", "imports", "signature"))
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Engine:
@@ -29,8 +30,16 @@ class Engine:
     def questions(self, *texts: str) -> DataFrame:
         return self.spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "query_id long, text string")
 
-    def search(self, questions: DataFrame, limit: int = 8) -> DataFrame:
-        return search.chunk_search(self.chunks, questions, self.weights, limit)
+    def search(self, questions: DataFrame, limit: int = 8, changed: DataFrame | None = None) -> DataFrame:
+        symbols = self.parsed.select("rel_path", F.inline("symbols")).select("rel_path", "name")
+        imports = self.parsed.select("rel_path", F.explode("imports").alias("imp"))
+        relations = self.relations().select(F.col("rel_path").alias("source"), "target")
+        return chunk_search.chunk_search(self.chunks, questions, self.weights, limit, changed=changed, relations=relations, symbols=symbols, imports=imports, files=self.sources)
+
+    def excerpt(self, questions: DataFrame, rel_path: str) -> DataFrame:
+        """What a file shows to each question: query_id, rel_path, excerpt and its tokens."""
+        wanted = questions.select("query_id", F.lit(rel_path).alias("rel_path"), T.tokenise("text").alias("terms"))
+        return excerpts.symbol_excerpts(wanted, self.sources).drop("terms")
 
     def rank(self, questions: DataFrame, focus: str = "", changed: DataFrame | None = None) -> DataFrame:
         return search.rank_files(self.files, questions, focus=focus, changed=changed)
@@ -57,7 +66,7 @@ class Engine:
         return found.select("rel_path", T.lines_in_range("content", F.coalesce("s.start", F.lit(1)), F.coalesce("s.end", F.lit(0))).alias("content"))
 
     def relations(self) -> DataFrame:
-        imports = parsing.parse(self.sources).select("rel_path", F.explode("imports").alias("import"))
+        imports = self.parsed.select("rel_path", F.explode("imports").alias("import"))
         return index.relative_relations(self.files, imports)
 
     def audit(self, questions: DataFrame, answers: DataFrame, budget: int = 8000) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import kept
 
 #: Tokens reserved for the header, the least score packed, and the representations' limits.
 RESERVE, LEAST_SCORE = 80, 0.1
@@ -43,36 +47,103 @@ def pack_greedy(hits: DataFrame, budget: int, *, reserve: int = RESERVE, max_fra
     return packed.select("query_id", F.explode("taken").alias("t")).select("query_id", "t.rank", "t.rel_path", "t.tokens", "t.used")
 
 
-def representation(rank: Column, full: Column, excerpt: Column, signature: Column, lean: bool = False) -> Column:
-    """full, excerpt, signature or note, by the tokens of each (null where there is none)."""
-    most = FULL_TOKENS_LEAN if lean else FULL_TOKENS
-    return F.when(full <= most, "full").when((rank <= EXCERPT_TOP) & (excerpt <= EXCERPT_TOKENS), "excerpt").when(signature <= SIGNATURE_TOKENS, "signature").otherwise("note")
-
-
-def pack_ladder(candidates: DataFrame, budget: int, lean: bool = False) -> DataFrame:
-    """Two passes: each file in the richest form that it may take, then shorter forms raised to the full one while room is left.
+def pack_ladder(candidates: DataFrame, budget: int, lean: bool = False, *, raised: bool = True, block: int = 256) -> DataFrame:
+    """Two passes: each file in the richest form that fits, then shorter forms raised to the full one while room is left.
 
     candidates(query_id, rank, rel_path, score, full, excerpt, signature, note):
-    tokens of each form.  Returns query_id, rank, rel_path, form and tokens.
+    tokens of each form, null where there is none.  In order of rank a file comes
+    whole if it is small, else as an excerpt if it is one of the first three, else
+    as a signature, else as a note; what does not fit in any form is passed over.
+    Returns query_id, rank, rel_path, form and tokens.
+
+    Ranks are folded in blocks of ``block``; only questions in which some form of
+    some later file still fits go on, so no group holds a whole ranking.
     """
-    form = representation(F.col("rank"), F.col("full"), F.col("excerpt"), F.col("signature"), lean)
-    chosen = candidates.withColumn("form", form).withColumn("tokens", F.when(F.col("form") == "full", F.col("full")).when(F.col("form") == "excerpt", F.col("excerpt")).when(F.col("form") == "signature", F.col("signature")).otherwise(F.col("note")))
-    taken = pack_greedy(chosen, budget).select("query_id", "rank", "used").join(chosen, ["query_id", "rank"])
-    used = taken.groupBy("query_id").agg(F.max("used").alias("total"))
-    # Raising costs the difference; the same greedy fold decides, starting from what is used.
-    raised = taken.where((F.col("form") != "full") & (F.col("full") <= FULL_TOKENS)).join(used, "query_id").withColumn("cost", F.greatest(F.col("full") - F.col("tokens"), F.lit(0)))
-    listed = raised.groupBy("query_id", "total").agg(F.array_sort(F.collect_list(F.struct("rank", "cost"))).alias("wanted"))
-    kind = "struct<used:int,ranks:array<int>>"
-    start = F.struct(F.col("total").cast("int").alias("used"), F.array().cast("array<int>").alias("ranks")).cast(kind)
-
-    def step(state: Column, want: Column) -> Column:
-        fits = state["used"] + want["cost"] <= budget
-        return F.struct((state["used"] + F.when(fits, want["cost"]).otherwise(0)).cast("int").alias("used"), F.when(fits, F.concat(state["ranks"], F.array(want["rank"].cast("int")))).otherwise(state["ranks"]).alias("ranks")).cast(kind)
-
-    ranks = listed.select("query_id", F.aggregate("wanted", start, step)["ranks"].alias("ranks"))
-    up = F.array_contains(F.coalesce("ranks", F.array().cast("array<int>")), F.col("rank").cast("int"))
-    out = taken.join(ranks, "query_id", "left")
-    return out.select("query_id", "rank", "rel_path", F.when(up, "full").otherwise(F.col("form")).alias("form"), F.when(up, F.col("full")).otherwise(F.col("tokens")).alias("tokens"))
+    rows = kept(candidates.select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path", "score", *(F.col(c).cast("int").alias(c) for c in FORMS)))
+    least = F.min(F.least(*(F.when(F.col(c) > 0, F.col(c)) for c in FORMS)))
+    after = rows.groupBy("query_id", F.floor((F.col("rank") - 1) / block).cast("int").alias("block")).agg(least.alias("least"))
+    rest = F.min("least").over(Window.partitionBy("query_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing))
+    after = kept(after.withColumn("rest", rest))
+    blocks = after.agg(F.max("block")).first()[0]
+    state = rows.select("query_id").distinct().select("query_id", F.lit(RESERVE).alias("used"))
+    parts: list[DataFrame] = []
+    for k in range(0 if blocks is None else blocks + 1):
+        listed = rows.where((F.col("rank") > k * block) & (F.col("rank") <= (k + 1) * block)).join(state, "query_id").groupBy("query_id", "used").agg(F.array_sort(F.collect_list(F.struct("rank", "rel_path", "score", *FORMS))).alias("files"))
+        folded = kept(listed.select("query_id", _ladder(budget, FULL_TOKENS_LEAN if lean else FULL_TOKENS).alias("s")).select("query_id", "s.*"))
+        parts.append(folded.select("query_id", F.explode("taken").alias("t")).select("query_id", "t.*"))
+        left = after.where(F.col("block") == k).select("query_id", "rest")
+        state = folded.where("open").join(left, "query_id").where(F.col("used") + F.col("rest") <= budget).select("query_id", "used")
+        if state.isEmpty():
+            break
+    if not parts:
+        return rows.select("query_id", "rank", "rel_path", F.lit("").alias("form"), F.lit(0).alias("tokens"))
+    taken = reduce(DataFrame.unionByName, parts)
+    return _raised(taken, budget).select("query_id", "rank", "rel_path", "form", "tokens") if raised else taken.select("query_id", "rank", "rel_path", "form", "tokens")
+
+
+def pack_ranking(rank: Callable[[int], DataFrame], forms: DataFrame, budget: int, *, first: int = 256, **options) -> DataFrame:
+    """``pack_ladder`` over a ranking of which only as many files are asked for as bundles have room for.
+
+    rank(top) gives query_id, rank, rel_path and score of the first ``top`` files of
+    each question; forms(rel_path, full, signature, note) their tokens; the option
+    ``excerpts`` gives query_id, rel_path and excerpt (tokens) for such files.  While some question has more files and
+    room for the smallest form of any, four times as many are asked for.
+    """
+    excerpts = options.pop("excerpts")
+    forms = kept(forms)
+    least = forms.agg(F.min(F.least("full", "signature", "note"))).first()[0] or 0
+    while True:
+        some = kept(rank(first))
+        packed = kept(pack_ladder(some.join(forms, "rel_path").join(excerpts(some), ["query_id", "rel_path"], "left"), budget, **options))
+        used = packed.groupBy("query_id").agg((F.sum("tokens") + RESERVE).alias("used"))
+        more = some.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= first).join(used, "query_id", "left")
+        if more.where(F.coalesce("used", F.lit(RESERVE)) + least <= budget).isEmpty():
+            return packed
+        first *= 4
+
+
+#: The forms of a file, richest first.
+FORMS = ("full", "excerpt", "signature", "note")
+
+
+def _ladder(budget: int, most: int) -> Column:
+    """The fold over ``files`` from ``used`` tokens on: open, used, and the files taken."""
+    kind = "struct<used:int,open:boolean,taken:array<struct<rank:int,rel_path:string,form:string,tokens:int,full:int>>>"
+    start = F.struct(F.col("used").cast("int").alias("used"), F.lit(True).alias("open"), F.array().cast("array<struct<rank:int,rel_path:string,form:string,tokens:int,full:int>>").alias("taken")).cast(kind)
+
+    def step(state: Column, file: Column) -> Column:
+        still = state["open"] & (file["score"] >= LEAST_SCORE) & (state["used"] < budget)
+        fits = lambda c: (file[c] > 0) & (state["used"] + file[c] <= budget)
+        form = (
+            F.when(fits("full") & (file["full"] <= most), "full")
+            .when(fits("excerpt") & (file["excerpt"] <= EXCERPT_TOKENS) & (file["rank"] <= EXCERPT_TOP), "excerpt")
+            .when(fits("signature"), "signature")
+            .when(fits("note"), "note")
+        )
+        tokens = F.coalesce(*(F.when(form == c, file[c]) for c in FORMS))
+        one = F.array(F.struct(file["rank"].alias("rank"), file["rel_path"].alias("rel_path"), form.alias("form"), tokens.alias("tokens"), file["full"].alias("full")))
+        takes = still & form.isNotNull()
+        return F.struct((state["used"] + F.when(takes, tokens).otherwise(0)).cast("int").alias("used"), still.alias("open"), F.when(takes, F.concat(state["taken"], one)).otherwise(state["taken"]).alias("taken")).cast(kind)
+
+    return F.aggregate("files", start, step)
+
+
+def _raised(taken: DataFrame, budget: int) -> DataFrame:
+    """Excerpts and signatures become the whole file in order of rank, while the difference fits.
+
+    Every file takes a token at least, so a bundle has no more than the budget.
+    """
+    kind = "struct<used:int,files:array<struct<rank:int,rel_path:string,form:string,tokens:int,full:int>>>"
+    rows = taken.groupBy("query_id").agg((F.sum("tokens") + RESERVE).cast("int").alias("total"), F.array_sort(F.collect_list(F.struct("rank", "rel_path", "form", "tokens", "full"))).alias("files"))
+    start = F.struct(F.col("total").alias("used"), F.array().cast("array<struct<rank:int,rel_path:string,form:string,tokens:int,full:int>>").alias("files")).cast(kind)
+
+    def step(state: Column, file: Column) -> Column:
+        more = file["full"] - file["tokens"]
+        up = file["form"].isin("signature", "excerpt") & (file["full"] <= FULL_TOKENS) & (more > 0) & (state["used"] + more <= budget)
+        one = F.struct(file["rank"].alias("rank"), file["rel_path"].alias("rel_path"), F.when(up, "full").otherwise(file["form"]).alias("form"), F.when(up, file["full"]).otherwise(file["tokens"]).alias("tokens"), file["full"].alias("full"))
+        return F.struct((state["used"] + F.when(up, more).otherwise(0)).cast("int").alias("used"), F.concat(state["files"], F.array(one)).alias("files")).cast(kind)
+
+    return rows.select("query_id", F.explode(F.aggregate("files", start, step)["files"]).alias("f")).select("query_id", "f.*")
 
 
 def merge_intervals(blocks: DataFrame, *keys: str, gap: int = 2) -> DataFrame:

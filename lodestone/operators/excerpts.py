@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from . import parsing
 
 #: A Go block of more lines keeps its head and tail; lines between blocks that are shown rather than marked.
 MOST_LINES, HEAD, TAIL, GAP = 40, 8, 4, 2
+#: Fixed value: the most tokens of a signature.
+SIGNATURE_TOKENS = 350
 _BLOCKS = S.ArrayType(S.StructType([S.StructField("label", S.StringType()), S.StructField("start", S.IntegerType()), S.StructField("end", S.IntegerType()), S.StructField("names", S.ArrayType(S.StringType()))]))
 
 
@@ -84,3 +88,34 @@ def symbol_excerpts(wanted: DataFrame, files: DataFrame) -> DataFrame:
     met = wanted.withColumn("__terms", _forms(F.col("terms"))).join(parsed.withColumn("__b", told), "rel_path")
     shown = met.withColumn("excerpt", _rendered("rel_path", "lang", "content", "__b", "__terms"))
     return shown.select(*wanted.columns, "excerpt", T.token_estimate("excerpt").alias("tokens"))
+
+
+def shortened(signature: str, most: int = SIGNATURE_TOKENS) -> str:
+    """A signature of at most so many tokens: its first lines and a mark for the rest."""
+    lines = signature.split("\n")
+    sizes = list(accumulate(len(line.encode()) + 1 for line in lines))
+    if sizes[-1] - 1 <= 4 * most:
+        return signature
+    for n in range(len(lines) - 1, 1, -1):
+        mark = f"// + {len(lines) - n} more lines (signature truncated)"
+        if sizes[n - 1] + len(mark) <= 4 * most:
+            return "\n".join([*lines[:n], mark])
+    return "\n".join(lines[:2])
+
+
+@F.pandas_udf(S.StringType())
+def _shortened(signatures: pd.Series) -> pd.Series:
+    return signatures.map(shortened)
+
+
+def forms(files: DataFrame) -> DataFrame:
+    """rel_path, signature and note of files(rel_path, lang, content), as they stand in a bundle, and the tokens of all: full, signature_tokens, note_tokens."""
+    parsed = parsing.parse(files.select("rel_path", "lang", "content"))
+    content = F.coalesce("content", F.lit(""))
+    head = F.concat(F.lit("// file: "), "rel_path", F.lit("\n// lang: "), F.coalesce("lang", F.lit("")), F.lit("\n// representation: "))
+    listed = lambda name, values: F.when(F.size(values) > 0, F.concat(F.lit(f"// {name}: "), F.array_join(values, ", "), F.lit("\n"))).otherwise("")
+    size = F.concat(F.lit("structural_note\n// size: "), T.line_count(content).cast("string"), F.lit(" lines, "), F.octet_length(content).cast("string"), F.lit(" bytes\n"))
+    note = F.concat(head, size, listed("symbols", F.transform("symbols", lambda s: s["name"])), listed("imports", F.col("imports")))
+    told = parsed.select("rel_path", T.token_estimate(content).alias("full"), note.alias("note"), F.when(F.col("signature") != "", F.concat(head, F.lit("signature\n\n"), "signature")).alias("s"))
+    cut = told.select("rel_path", "full", "note", _shortened(F.coalesce("s", "note")).alias("signature"))
+    return cut.select("rel_path", "full", "signature", "note", T.token_estimate("signature").alias("signature_tokens"), T.token_estimate("note").alias("note_tokens"))

@@ -134,8 +134,38 @@ def logic_map(relations: DataFrame) -> DataFrame:
     return both.groupBy("path").agg(listed("dependency").alias("dependencies"), listed("dependent").alias("dependents"))
 
 
-def related_tests(files: DataFrame) -> DataFrame:
-    """Pairs (rel_path, test) of files and test files with the same production stem."""
+def containing(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """part and text of distinct texts(text) and parts(part) where the part, not empty, lies within the text.
+
+    Either side lists grams: a part its rarest one of three letters (itself if it is
+    shorter), a text all of its own; so they meet by equality.
+    """
+    grams = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k: F.substring(c, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    text, part = F.col("text"), F.col("part")
+    held = texts.select("text").distinct().select("text", F.explode(F.array_distinct(F.concat(*(grams(text, n) for n in (1, 2, 3))))).alias("gram"))
+    seen = held.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = parts.select("part").where("part <> ''").distinct().select("part", F.explode(F.array_distinct(F.when(F.length(part) < 3, F.array(part)).otherwise(grams(part, 3)))).alias("gram"))
+    rarest = asked.join(seen, "gram").groupBy("part").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return held.join(rarest, "gram").where(F.contains("text", "part")).select("part", "text")
+
+
+def related_tests(files: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Pairs (rel_path, test) of files(rel_path) and the tests near them, each once.
+
+    Three ways: the production stems are equal or one lies within the other; the test
+    depends on the file (relations(source, target)); the file is a test itself, and
+    depends on what then counts as its test.  An empty stem is near no other.
+    """
     stem = files.select("rel_path", P.production_stem(F.col("rel_path")).alias("stem"), P.is_test_path(F.col("rel_path")).alias("is_test"))
-    tests = stem.where("is_test").select(F.col("rel_path").alias("test"), "stem")
-    return stem.where("not is_test").join(tests, "stem").select("rel_path", "test")
+    own, tests = stem.select("rel_path", "stem"), stem.where("is_test").select(F.col("rel_path").alias("test"), F.col("stem").alias("test_stem"))
+    of = lambda df, c, name: df.select(F.col(c).alias(name))
+    within = containing(of(tests, "test_stem", "text"), of(own, "stem", "part")).select(F.col("part").alias("stem"), F.col("text").alias("test_stem"))
+    around = containing(of(own, "stem", "text"), of(tests, "test_stem", "part")).select(F.col("text").alias("stem"), F.col("part").alias("test_stem"))
+    found = own.join(within.unionByName(around).distinct(), "stem").join(tests, "test_stem").select("rel_path", "test")
+    if relations is not None:
+        edges = relations.select("source", "target")
+        known = files.select("rel_path")
+        into = edges.join(tests.select(F.col("test").alias("source")), "source").select(F.col("target").alias("rel_path"), F.col("source").alias("test"))
+        out = edges.join(tests.select(F.col("test").alias("source")), "source").join(known.select(F.col("rel_path").alias("target")), "target").select(F.col("source").alias("rel_path"), F.col("target").alias("test"))
+        found = found.unionByName(into.join(known, "rel_path").select("rel_path", "test")).unionByName(out)
+    return found.distinct()

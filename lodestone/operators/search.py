@@ -135,63 +135,14 @@ def content_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     return held.select("key", F.explode("held").alias("term")).join(asked, "term").groupBy("query_id", "key").agg(F.count("*").alias("hits"))
 
 
-def chunk_search(chunks: DataFrame, questions: DataFrame, weights: SearchWeights | None = None, limit: int = 8, *, structure: tuple[DataFrame, DataFrame] | None = None, extra: DataFrame | None = None) -> DataFrame:
-    """The best chunks of each question: query_id, rank, rel_path, start_line, symbol, score.
-
-    chunks(rel_path, start_line, symbol, kind, content, token_estimate).  In order:
-    base score, boosts of a file's structure (its symbols(rel_path, name) and
-    imports(rel_path, imp)) on all its chunks, extra(query_id, rel_path,
-    start_line, points) such as semantic ones, exact file names, long, test and
-    legacy penalties; scores of 0 and less go; of chunks with one symbol in a file
-    the first stays; three a file.
-
-    Each signal is worked out once for each distinct symbol, path or kind and
-    question; pairs that no signal reaches score 0 and never arise.
-    """
-    w = weights or SearchWeights()
-    terms = kept(question_terms(questions).select("query_id", "term"))
-    keyed = chunks.withColumn("key", F.struct("rel_path", "start_line"))
-    hits = kept(content_hits(keyed.select("key", "content"), terms))
-    keyed = kept(keyed.drop("content"))  # all else is read without the texts
-    fields = {"symbol": F.array("symbol"), "rel_path": F.array("rel_path", P.strip_extension(P.base(F.col("rel_path")))), "kind": F.array("kind")}
-    signals = _met(keyed, terms, fields)
-    symbol, path, kind = (signals.where(F.col("field") == c).select("query_id", F.col("value").alias(c)) for c in fields)
-    named = _equal(keyed, terms, "symbol", F.array(F.lower(F.trim("symbol")), F.substring_index(F.lower(F.trim("symbol")), ".", -1)))
-    filed = kept(_equal(keyed, terms, "rel_path", name_parts(F.col("rel_path"))))
-    of = lambda signal, c: keyed.select("key", c).join(signal, c).select("query_id", "key")
-    reached = hits.select("query_id", "key")
-    for signal, c in ((symbol, "symbol"), (path, "rel_path"), (kind, "kind"), (filed, "rel_path")):
-        reached = reached.unionByName(of(signal, c))
-    boosts = kept(structural_boosts(*structure, terms, w)) if structure else None
-    if boosts is not None:
-        reached = reached.unionByName(keyed.select("key", "rel_path").join(boosts, "rel_path").select("query_id", "key"))
-    if extra is not None:
-        more = extra.select("query_id", F.struct("rel_path", "start_line").alias("key"), "points")
-        reached = reached.unionByName(more.join(keyed.select("key"), "key").select("query_id", "key"))
-    pairs = reached.distinct().join(keyed, "key").join(hits, ["query_id", "key"], "left")
-    flags = ((symbol, "symbol", w.symbol_match), (named, "symbol", w.symbol_exact), (path, "rel_path", w.path), (kind, "kind", w.kind))
-    score = F.least(F.coalesce("hits", F.lit(0)), F.lit(3)) * w.content
-    for k, (signal, c, weight) in enumerate(flags):
-        pairs = pairs.join(signal.withColumn(f"__{k}", F.lit(weight)), ["query_id", c], "left")
-        score = score + F.coalesce(f"__{k}", F.lit(0.0))
-    pairs = pairs.withColumn("score", score).withColumn("score", F.col("score") + F.when((F.col("kind") != "file") & (F.col("score") > 0), w.chunk_scope).otherwise(0.0))
-    if boosts is not None:
-        pairs = pairs.join(boosts, ["query_id", "rel_path"], "left").withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0.0)))
-    if extra is not None:
-        pairs = pairs.join(more, ["query_id", "key"], "left").withColumn("score", F.col("score") + F.coalesce("points", F.lit(0.0)))
-    pairs = pairs.join(filed.withColumn("__f", F.lit(w.exact_filename)), ["query_id", "rel_path"], "left").withColumn("score", F.col("score") + F.coalesce("__f", F.lit(0.0)))
-    asked = questions.select("query_id", T.wants_tests("text").alias("wants_tests"), T.wants_legacy("text").alias("wants_legacy"))
-    return finish(penalised(pairs.join(asked, "query_id"), w), limit)
-
-
-def _met(chunks: DataFrame, terms: DataFrame, fields: dict[str, Column]) -> DataFrame:
+def met_values(chunks: DataFrame, terms: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """field, value and query_id of the values of the columns ``fields`` of which a text matches a term of the question."""
     each = [chunks.select(c).distinct().select(F.lit(c).alias("field"), F.col(c).alias("value"), F.explode(texts).alias("text")) for c, texts in fields.items()]
     own = kept(reduce(DataFrame.unionByName, each).where("text <> ''"))
     return kept(own.join(matching(own, terms), "text").join(terms, "term").select("query_id", "field", "value").distinct())
 
 
-def _equal(chunks: DataFrame, terms: DataFrame, column: str, texts: Column) -> DataFrame:
+def equal_values(chunks: DataFrame, terms: DataFrame, column: str, texts: Column) -> DataFrame:
     """query_id and values of a column of which a text is a term of the question."""
     return chunks.select(column).distinct().select(column, F.explode(texts).alias("term")).join(terms, "term").select("query_id", column).distinct()
 
@@ -208,45 +159,43 @@ def twice_kept(score: Column, keep: float) -> Column:
     return F.greatest(F.lit(0.0), score * (2 * keep - 1))
 
 
-def long_penalty(scored: DataFrame, longest: float = 4.0) -> DataFrame:
+def long_penalty(scored: DataFrame, longest: float | Column = 4.0, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Takes (tokens - smallest) / 250, within 1 and ``longest``, off long chunks; smallest is the question's shortest positive chunk."""
-    positive = F.when((F.col("score") > 0) & (F.col("token_estimate") > 0), F.col("token_estimate"))
-    smallest = F.min(positive).over(Window.partitionBy("query_id"))
+    smallest = scored.where((F.col("score") > 0) & (F.col("token_estimate") > 0)).groupBy(*by).agg(F.min("token_estimate").alias("__s"))
     hit = (F.col("__s") < LONG_TOKENS) & (F.col("score") > 0) & (F.col("token_estimate") >= LONG_TOKENS) & (F.col("token_estimate") >= 2 * F.col("__s"))
     loss = F.least(F.greatest((F.col("token_estimate") - F.col("__s")) / 250.0, F.lit(1.0)), F.lit(longest))
-    return scored.withColumn("__s", smallest).withColumn("score", F.when(hit, F.greatest(F.lit(0.0), F.col("score") - loss)).otherwise(F.col("score"))).drop("__s")
+    return scored.join(smallest, list(by), "left").withColumn("score", F.when(hit, F.greatest(F.lit(0.0), F.col("score") - loss)).otherwise(F.col("score"))).drop("__s")
 
 
-def penalised(scored: DataFrame, w: SearchWeights) -> DataFrame:
-    scored = long_penalty(scored, w.long_penalty_max)
+def penalised(scored: DataFrame, w: SearchWeights, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Long, tiny, test and legacy penalties, in that order; the weights may be columns."""
+    scored = long_penalty(scored, w.long_penalty_max, by)
     for keep, applies in (
         (w.tiny_keep, (F.col("kind") != "file") & F.col("token_estimate").between(1, TINY_TOKENS - 1)),
         (w.test_keep, P.is_test_like(F.col("rel_path")) & ~F.col("wants_tests")),
         (w.legacy_keep, P.is_legacy_like(F.col("rel_path")) & ~F.col("wants_legacy")),
     ):
-        if keep < 1:
+        if isinstance(keep, Column) or keep < 1:
             scored = scored.withColumn("score", F.when(applies & (F.col("score") > 0), twice_kept(F.col("score"), keep)).otherwise(F.col("score")))
     return scored
 
 
-def dedupe_symbols(ranked: DataFrame) -> DataFrame:
-    """Of the hits of one symbol in a file the place of the first and the body of the largest (the first of equals); unnamed and file hits stay.
+def finish(scored: DataFrame, limit: int = 8, per_file: int = PER_FILE, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """The first ``limit`` hits of each question, ``per_file`` of a file at most.
 
-    ranked(query_id, rank, rel_path, symbol, kind, token_estimate, start_line).
+    Of the hits of one symbol in a file the place of the first and the body of the
+    largest stay; unnamed hits and whole files stay as they are.  All that is told
+    within a file is told there, so no more than ``per_file`` rows of a file are
+    ranked with those of others.
     """
-    w = Window.partitionBy("query_id", "rel_path", "symbol")
+    file, symbol = Window.partitionBy(*by, "rel_path"), Window.partitionBy(*by, "rel_path", "symbol")
     free = (F.col("kind") == "file") | (F.coalesce("symbol", F.lit("")) == "")
-    body = F.first("start_line").over(w.orderBy(F.desc("token_estimate"), "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    first = F.row_number().over(w.orderBy("rank"))
-    return ranked.withColumn("__k", first).withColumn("start_line", F.when(free, F.col("start_line")).otherwise(body)).where(free | (F.col("__k") == 1)).drop("__k")
-
-
-def finish(scored: DataFrame, limit: int = 8, per_file: int = PER_FILE) -> DataFrame:
-    order = [F.desc("score"), F.col("rel_path"), F.col("start_line"), F.col("symbol")]
-    ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    kept = dedupe_symbols(ranked).withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "rel_path").orderBy("rank"))).where(F.col("__n") <= per_file)
-    out = kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= limit)
-    return out.select("query_id", "rank", "rel_path", "start_line", "symbol", F.round("score", 6).alias("score"))
+    ranked = scored.where("score > 0").withColumn("__r", F.row_number().over(file.orderBy(F.desc("score"), "start_line", "symbol")))
+    body = F.first("start_line").over(symbol.orderBy(F.desc("token_estimate"), "__r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = ranked.withColumn("__k", F.row_number().over(symbol.orderBy("__r"))).withColumn("start_line", F.when(free, F.col("start_line")).otherwise(body)).where(free | (F.col("__k") == 1))
+    some = first.withColumn("__n", F.row_number().over(file.orderBy("__r"))).where(F.col("__n") <= per_file)
+    out = some.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "rel_path", "__r"))).where(F.col("rank") <= limit)
+    return out.select(*by, "rank", "rel_path", "start_line", "symbol", F.round("score", 6).alias("score"))
 
 
 def exact_signal(lines: DataFrame, terms: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import excerpts, parsing
+from ..operators import bundles, excerpts, parsing, search
 from .registry import Tables, query
-from .sources import BLOCKS_SQL, CHUNKS_SQL, SOURCES_SQL, SYMBOLS_SQL, source_files
+from .search_queries import RANKED
+from .sources import BLOCKS_SQL, CHUNKS_SQL, FORMS_SQL, SOURCES_SQL, SYMBOLS_SQL, source_files
+from .tables import questions
 
 
 @query(f"""
@@ -44,8 +46,7 @@ def nested_closures(t: Tables) -> DataFrame:
     return chunks.where("kind = 'nested_func'").join(parents, ["rel_path", "parent_id"]).select("rel_path", "symbol", "start_line", "end_line", "parent_id", "parent_start", "parent_end")
 
 
-@query(f"""
-WITH {SOURCES_SQL}, {BLOCKS_SQL}, totals AS (
+_EXCERPTS = f"""{BLOCKS_SQL}, totals AS (
   SELECT rel_path, max(last) + 1 AS lines FROM segments GROUP BY rel_path
 ), placed AS (
   SELECT b.*, d.lang, t.lines, lag(b.last) OVER w AS before, lead(b.start) OVER w AS next, string_split(regexp_replace(b.body, chr(10) || '$', ''), chr(10)) AS l
@@ -58,7 +59,11 @@ WITH {SOURCES_SQL}, {BLOCKS_SQL}, totals AS (
     || CASE WHEN next IS NULL AND last < lines THEN chr(10) || '// ... ' || (lines - last) || ' lines omitted to end ...' || chr(10) ELSE '' END AS piece FROM placed
 ), texts AS (
   SELECT rel_path, '// file: ' || rel_path || chr(10) || '// lang: ' || any_value(lang) || chr(10) || '// representation: excerpt' || chr(10) || chr(10) || string_agg(piece, '' ORDER BY start) AS excerpt FROM pieces GROUP BY rel_path
-)
+)"""
+
+
+@query(f"""
+WITH {SOURCES_SQL}, {_EXCERPTS}
 SELECT d.rel_path, t.excerpt, CAST(ceil(strlen(t.excerpt) / 4.0) AS INTEGER) AS tokens FROM docs d LEFT JOIN texts t USING (rel_path)
 """)
 def symbol_excerpts(t: Tables) -> DataFrame:
@@ -66,3 +71,41 @@ def symbol_excerpts(t: Tables) -> DataFrame:
     files = source_files(t)
     wanted = files.select(F.col("rel_path").alias("query_id"), "rel_path", F.col("asked").alias("terms"))
     return excerpts.symbol_excerpts(wanted, files).select("rel_path", "excerpt", "tokens")
+
+
+@query(f"""
+WITH {SOURCES_SQL}, {FORMS_SQL} SELECT rel_path, full_ AS "full", sig AS signature_tokens, note AS note_tokens FROM file_forms
+""")
+def file_forms(t: Tables) -> DataFrame:
+    """Tokens of every file whole, as a signature and as a note."""
+    return excerpts.forms(source_files(t)).select("rel_path", "full", "signature_tokens", "note_tokens")
+
+
+@query(f"""
+WITH RECURSIVE {RANKED}, {SOURCES_SQL}, {FORMS_SQL}, {_EXCERPTS}, c AS MATERIALIZED (
+  SELECT r.query_id, r.rank, r.rel_path, f.full_, f.sig, f.note, CASE WHEN r.rank <= 3 THEN CAST(ceil(strlen(t.excerpt) / 4.0) AS INTEGER) END AS ex FROM ranked r JOIN file_forms f USING (rel_path) LEFT JOIN texts t USING (rel_path)
+), pk AS (
+  SELECT query_id, 0 AS rank, 80 AS used, CAST(NULL AS VARCHAR) AS form, 0 AS tokens FROM (SELECT DISTINCT query_id FROM c)
+  UNION ALL SELECT query_id, rank, used + CASE form WHEN 'full' THEN full_ WHEN 'excerpt' THEN ex WHEN 'signature' THEN sig WHEN 'note' THEN note ELSE 0 END, form, CASE form WHEN 'full' THEN full_ WHEN 'excerpt' THEN ex WHEN 'signature' THEN sig WHEN 'note' THEN note ELSE 0 END
+  FROM (SELECT c.*, pk.used, CASE WHEN c.full_ <= 600 AND pk.used + c.full_ <= 4000 THEN 'full' WHEN c.ex <= 800 AND pk.used + c.ex <= 4000 THEN 'excerpt' WHEN pk.used + c.sig <= 4000 THEN 'signature' WHEN pk.used + c.note <= 4000 THEN 'note' END AS form FROM pk JOIN c ON c.query_id = pk.query_id AND c.rank = pk.rank + 1)
+), t AS (
+  SELECT c.query_id, c.rank, c.rel_path, c.full_, p.form, p.tokens, max(p.used) OVER (PARTITION BY c.query_id) AS total FROM c JOIN pk p ON p.query_id = c.query_id AND p.rank = c.rank WHERE p.form IS NOT NULL
+), u AS (
+  SELECT query_id, rank, total, full_ - tokens AS cost, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS k FROM t WHERE form IN ('excerpt', 'signature') AND full_ <= 600 AND full_ > tokens
+), g AS (
+  SELECT query_id, 0 AS k, 0 AS rank, any_value(total) AS used, false AS up FROM u GROUP BY query_id
+  UNION ALL SELECT u.query_id, u.k, u.rank, CASE WHEN g.used + u.cost <= 4000 THEN g.used + u.cost ELSE g.used END, g.used + u.cost <= 4000 FROM g JOIN u ON u.query_id = g.query_id AND u.k = g.k + 1
+)
+SELECT t.query_id, t.rank, t.rel_path, CASE WHEN g.up THEN 'full' ELSE t.form END AS form, CASE WHEN g.up THEN t.full_ ELSE t.tokens END AS tokens FROM t LEFT JOIN g ON g.query_id = t.query_id AND g.rank = t.rank AND g.up
+""")
+def pack_ladder(t: Tables) -> DataFrame:
+    """Bundles of 4,000 tokens from the ranked files: each whole, as an excerpt of what it is asked, as a signature or as a note."""
+    files = source_files(t)
+    forms = excerpts.forms(files).select("rel_path", "full", F.col("signature_tokens").alias("signature"), F.col("note_tokens").alias("note"))
+
+    def first_excerpts(ranking: DataFrame) -> DataFrame:
+        best = ranking.where(F.col("rank") <= bundles.EXCERPT_TOP).select("query_id", "rel_path").join(files.select("rel_path", F.col("asked").alias("terms")), "rel_path")
+        return excerpts.symbol_excerpts(best, files).select("query_id", "rel_path", F.col("tokens").alias("excerpt"))
+
+    rank = lambda top: search.rank_files(files.select("rel_path", "lang"), questions(t), focus="src1", top=top)
+    return bundles.pack_ranking(rank, forms, 4000, excerpts=first_excerpts)

@@ -130,11 +130,21 @@ def logic_map(t: Tables) -> DataFrame:
     return index.logic_map(t.lineitem.select(named("l_orderkey", "o").alias("source"), named("l_partkey", "p").alias("target")).distinct())
 
 
-@query("SELECT a.s_suppkey || '.go' AS rel_path, a.s_suppkey || '_test.go' AS test FROM supplier a WHERE a.s_nationkey % 2 = 0")
+@query("""
+WITH f AS (SELECT 'src/' || s_suppkey || '.go' AS path, CAST(s_suppkey AS VARCHAR) AS stem, s_nationkey AS k, false AS test FROM supplier
+  UNION ALL SELECT 'src/' || s_suppkey || '_' || s_nationkey || '_test.go', s_suppkey || '_' || s_nationkey, s_nationkey, true FROM supplier WHERE s_nationkey % 2 = 0),
+r AS (SELECT DISTINCT 'src/' || a.s_suppkey || '_' || a.s_nationkey || '_test.go' AS source, 'src/' || l.l_suppkey || '.go' AS target FROM supplier a JOIN lineitem l ON l.l_partkey = a.s_suppkey WHERE a.s_nationkey % 2 = 0)
+SELECT f.path AS rel_path, t.path AS test FROM f JOIN f t ON t.test AND (contains(t.stem, f.stem) OR contains(f.stem, t.stem))
+UNION SELECT r.target, r.source FROM r JOIN f ON f.path = r.target UNION SELECT r.source, r.target FROM r JOIN f ON f.path = r.target
+""")
 def related_tests(t: Tables) -> DataFrame:
-    name = F.col("s_suppkey").cast("string")
-    files = t.supplier.select(F.concat(name, F.lit(".go")).alias("rel_path")).unionByName(t.supplier.where("s_nationkey % 2 = 0").select(F.concat(name, F.lit("_test.go")).alias("rel_path")))
-    return index.related_tests(files)
+    """Tests by stems that are equal or hold one another, and by what depends on what."""
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    test = F.concat(F.lit("src/"), key, F.lit("_"), nation, F.lit("_test.go"))
+    tested = t.supplier.where("s_nationkey % 2 = 0")
+    files = t.supplier.select(F.concat(F.lit("src/"), key, F.lit(".go")).alias("rel_path")).unionByName(tested.select(test.alias("rel_path")))
+    relations = tested.select(test.alias("source"), F.col("s_suppkey").alias("l_partkey")).join(t.lineitem.select("l_partkey", "l_suppkey"), "l_partkey").select("source", F.concat(F.lit("src/"), F.col("l_suppkey").cast("string"), F.lit(".go")).alias("target")).distinct()
+    return index.related_tests(files, relations)
 
 
 @query(f"WITH {S.FILES} SELECT coalesce(lang, 'none') AS lang, count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM files GROUP BY ALL")

@@ -38,12 +38,6 @@ def chunk_search_min(t: Tables) -> DataFrame:
     return hits.withColumn("rank", rank).where("rank <= 8").select("query_id", "rank", F.col("key").alias("rel_path"), "hits")
 
 
-@query()
-def search_full(t: Tables) -> DataFrame:
-    c = chunks(t)
-    return search.chunk_search(c, questions(t))
-
-
 @query(f"""
 WITH {S.TERMS}, {S.CHUNKS}, w AS (SELECT DISTINCT rel_path, start_line, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS term FROM chunks)
 SELECT DISTINCT t.item_id AS query_id, w.rel_path, CAST(w.start_line AS INTEGER) AS line FROM w JOIN terms t USING (term)
@@ -87,7 +81,7 @@ def dedupe_and_diversity(t: Tables) -> DataFrame:
     return search.finish(_scored(t)).withColumn("start_line", F.col("start_line").cast("long"))
 
 
-_RANKED = f"""{S.TERMS}, {S.FILES}, names AS (SELECT rel_path, lang, lower(rel_path) AS path, lower(split_part(rel_path, '/', -1)) AS name FROM files),
+RANKED = f"""{S.TERMS}, {S.FILES}, names AS (SELECT rel_path, lang, lower(rel_path) AS path, lower(split_part(rel_path, '/', -1)) AS name FROM files),
 m AS (SELECT f.item_id, n.rel_path, f.term, max(CASE WHEN contains(n.name, f.form) OR (length(regexp_replace(n.name, '\\.[^.]*$', '')) >= 3 AND contains(f.form, regexp_replace(n.name, '\\.[^.]*$', ''))) THEN 1 ELSE 0 END) AS inname,
   max(CASE WHEN contains(n.path, f.form) THEN 1 ELSE 0 END) AS inpath FROM names n JOIN forms f ON contains(n.path, f.form) OR (length(regexp_replace(n.name, '\\.[^.]*$', '')) >= 3 AND contains(f.form, regexp_replace(n.name, '\\.[^.]*$', ''))) GROUP BY ALL),
 p AS (SELECT item_id, rel_path, sum(CASE WHEN inname = 1 THEN 3.0 ELSE 1.5 END) AS points FROM m GROUP BY ALL),
@@ -96,7 +90,7 @@ s AS (SELECT b.item_id AS query_id, b.rel_path, round(CAST(coalesce(points, 0) +
 ranked AS (SELECT query_id, rel_path, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rel_path) AS INTEGER) AS rank FROM s WHERE score > 0)"""
 
 
-@query(f"WITH {_RANKED} SELECT * FROM ranked")
+@query(f"WITH {RANKED} SELECT * FROM ranked")
 def rank_files(t: Tables) -> DataFrame:
     return search.rank_files(corpus(t).select("rel_path", "lang"), questions(t), focus="src1")
 
@@ -106,7 +100,7 @@ def _top_files(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH {_RANKED}, h AS (SELECT * FROM ranked WHERE rank <= 30),
+WITH {RANKED}, h AS (SELECT * FROM ranked WHERE rank <= 30),
 v AS (SELECT DISTINCT item_id, term, form FROM (SELECT item_id, term, term AS form FROM terms UNION ALL SELECT t.item_id, t.term, s.st FROM terms t JOIN stems s USING (term)) WHERE form <> ''),
 n AS (SELECT h.query_id, h.rel_path, h.score, f.content, sum((length(lower(f.content)) - length(replace(lower(f.content), v.form, ''))) // length(v.form)) AS n
   FROM h JOIN files f USING (rel_path) JOIN v ON v.item_id = h.query_id GROUP BY ALL)
@@ -141,28 +135,6 @@ def pack_greedy(t: Tables) -> DataFrame:
     return bundles.pack_greedy(hits, 160)
 
 
-_LADDER = """c AS (SELECT query_id, rank, rel_path, CAST(ceil(strlen(content) / 4.0) AS INTEGER) AS full_, CAST(ceil(strlen(content) / 4.0) AS INTEGER) // 2 AS excerpt, CAST(ceil(strlen(content) / 4.0) AS INTEGER) // 5 AS sig FROM ranked JOIN files USING (rel_path)),
-f AS (SELECT *, CASE WHEN full_ <= 600 THEN 'full' WHEN rank <= 3 AND excerpt <= 800 THEN 'excerpt' WHEN sig <= 350 THEN 'signature' ELSE 'note' END AS form FROM c),
-o AS (SELECT *, CASE form WHEN 'full' THEN full_ WHEN 'excerpt' THEN excerpt WHEN 'signature' THEN sig ELSE 12 END AS tokens FROM f)"""
-
-
-@query(f"""
-WITH RECURSIVE {_RANKED}, {_LADDER},
-pk AS (SELECT query_id, 0 AS k, 80 AS used, false AS taken FROM (SELECT DISTINCT query_id FROM o)
-  UNION ALL SELECT o.query_id, o.rank, CASE WHEN pk.used + o.tokens <= 4000 AND o.tokens > 0 THEN pk.used + o.tokens ELSE pk.used END, pk.used + o.tokens <= 4000 AND o.tokens > 0 FROM pk JOIN o ON o.query_id = pk.query_id AND o.rank = pk.k + 1),
-t AS (SELECT o.*, row_number() OVER (PARTITION BY o.query_id ORDER BY o.rank) AS place, max(pk.used) OVER (PARTITION BY o.query_id) AS total FROM o JOIN pk ON pk.query_id = o.query_id AND pk.k = o.rank WHERE pk.taken),
-u AS (SELECT query_id, rank, total, greatest(full_ - tokens, 0) AS cost, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS k FROM t WHERE form <> 'full' AND full_ <= 600),
-g AS (SELECT query_id, 0 AS k, 0 AS rank, any_value(total) AS used, false AS up FROM u GROUP BY query_id
-  UNION ALL SELECT u.query_id, u.k, u.rank, CASE WHEN g.used + u.cost <= 4000 THEN g.used + u.cost ELSE g.used END, g.used + u.cost <= 4000 FROM g JOIN u ON u.query_id = g.query_id AND u.k = g.k + 1)
-SELECT t.query_id, t.rank, t.rel_path, CASE WHEN g.up THEN 'full' ELSE t.form END AS form, CASE WHEN g.up THEN t.full_ ELSE t.tokens END AS tokens FROM t LEFT JOIN g ON g.query_id = t.query_id AND g.rank = t.rank AND g.up
-""")
-def pack_ladder(t: Tables) -> DataFrame:
-    r = search.rank_files(corpus(t).select("rel_path", "lang"), questions(t), focus="src1").join(corpus(t).select("rel_path", "content"), "rel_path")
-    tokens = T.token_estimate("content")
-    c = r.select("query_id", "rank", "rel_path", "score", tokens.alias("full"), F.floor(tokens / 2).cast("int").alias("excerpt"), F.floor(tokens / 5).cast("int").alias("signature"), F.lit(12).alias("note"))
-    return bundles.pack_ladder(c, 4000)
-
-
 @query("""
 WITH b AS (SELECT l_suppkey AS s, CAST(l_partkey AS BIGINT) AS a, CAST(l_partkey + l_quantity AS BIGINT) AS z FROM lineitem),
 m AS (SELECT *, max(z) OVER (PARTITION BY s ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM b),

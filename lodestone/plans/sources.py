@@ -8,12 +8,13 @@ where a symbol stands, so SQL tells what a parser has to find without parsing.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..operators import parsing
 from .registry import Tables
 
 #: Places in a template: the first four words of a-z, the text without signs of code, the text.
@@ -45,7 +46,9 @@ class Template:
     chunks: tuple[Part, ...]
     imports: tuple[str, ...] = ()
     asked: tuple[str, ...] = ()
-    blocks: tuple[Part, ...] = field(default=())
+    blocks: tuple[Part, ...] = ()
+    #: In which order the symbols are listed.
+    order: tuple[int, ...] = ()
 
 
 _A = "{a}_alpha"
@@ -66,6 +69,7 @@ TEMPLATES = {
         ("{a}_lib", "{b}_lib"),
         ("{b}_beta", "{c}_gamma"),
         (Part(4, 7, f"{_A}.{{b}}_beta, {_A}.{{c}}_gamma"),),
+        (0, 1, 2, 3),
     ),
     "typescript": Template(
         (
@@ -90,6 +94,7 @@ TEMPLATES = {
         ("./{a}_lib", "{b}_lib"),
         ("{c}_gamma", "{d}_delta"),
         (Part(5, 5, f"{_A}.{{c}}_gamma"), Part(7, 7, "{d}_delta")),
+        (4, 0, 3, 1, 2),
     ),
     "go": Template(
         (
@@ -115,10 +120,12 @@ TEMPLATES = {
         ("fmt", "{b}/lib"),
         ("{c}_gamma", "{b}_iota"),
         (Part(1, 2, f"type {_A}"), Part(9, 10, "const {b}_iota")),
+        (1, 2, 0, 5, 3, 4),
     ),
     "markdown": Template(
         (Segment("{clean}\n\n"), Segment("# {a} alpha\n\nOf {b}.\n", (("{a} alpha", "h1"),)), Segment("## {c} gamma\n{clean}\n", (("{c} gamma", "h2"),))),
         (Part(0, 0, "preamble", "section"), Part(1, 1, "{a} alpha", "section"), Part(2, 2, "{c} gamma", "section")),
+        order=(0, 1),
     ),
     "": Template((Segment("{text}\n"),), (Part(0, 0, "{name}", "file"),)),
 }
@@ -167,7 +174,7 @@ _CODED = UNCODED.replace("'", "''")
 #: The documents, the segments with the lines they take, and what the templates say of them.
 SOURCES_SQL = f"""docs AS (
   SELECT source || '/' || name AS rel_path, * FROM (
-    SELECT source, doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.ts' WHEN 'de' THEN '.go' WHEN 'es' THEN '.md' ELSE '.txt' END AS name,
+    SELECT source, doc_id, doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.ts' WHEN 'de' THEN '.go' WHEN 'es' THEN '.md' ELSE '.txt' END AS name,
       CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'typescript' WHEN 'de' THEN 'go' WHEN 'es' THEN 'markdown' ELSE '' END AS lang,
       coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '{_CODED}', ' ', 'g') AS clean, {", ".join(f"coalesce(regexp_extract_all(coalesce(text, ''), '{WORDS}')[{k}], 'none') AS {c}" for k, c in enumerate("abcd", 1))}
     FROM documents)
@@ -187,6 +194,35 @@ CHUNKS_SQL = f"""parts AS (
   SELECT p.rel_path, p.kind, p.symbol, p.chunk_id, p.parent_id, CAST(min(s.last - s.n + 1) AS INTEGER) AS start_line, CAST(max(s.last) AS INTEGER) AS end_line, regexp_replace(string_agg(s.seg, '' ORDER BY s.k), chr(10) || '$', '') AS content
   FROM parts p JOIN segments s ON s.rel_path = p.rel_path AND s.k BETWEEN p.first AND p.last GROUP BY ALL
 )"""
+
+
+def _listed(values: list[str]) -> str:
+    every = f"[{', '.join(values)}]"
+    return f"list_filter({every}, lambda x, i: list_position({every}, x) = i)" if values else "CAST([] AS VARCHAR[])"
+
+
+def _forms(lang: str, x: Template) -> str:
+    symbols = [(name, kind) for s in x.segments for name, kind in s.symbols]
+    told = [symbols[k] for k in x.order]
+    lines = "".join(parsing.SIGNATURES[lang][kind].format(name) + "\n" for name, kind in told) if lang else ""
+    imports = _listed([filled_sql(i) for i in x.imports])
+    prefix = parsing.SIGNATURES[lang]["import"].format("") if x.imports else ""
+    return f"{imports} AS imports, [{', '.join(filled_sql(n) for n, _ in told)}] AS names, array_to_string(list_transform({imports}, lambda i: '{prefix}' || i || chr(10)), '') || {filled_sql(lines)} AS signature"
+
+
+#: The forms of every file and their tokens.
+FORMS_SQL = f"""offered AS (
+  {" UNION ALL ".join(f"SELECT rel_path, lang, {_forms(lang, x)} FROM docs WHERE lang = '{lang}'" for lang, x in TEMPLATES.items())}
+), wholes AS (
+  SELECT rel_path, string_agg(seg, '' ORDER BY k) AS content FROM segments GROUP BY rel_path
+), noted AS (
+  SELECT o.rel_path, strlen(w.content) AS full_bytes, '// file: ' || o.rel_path || chr(10) || '// lang: ' || o.lang || chr(10) || '// representation: ' AS head, o.signature,
+    '// size: ' || (length(w.content) - length(replace(w.content, chr(10), ''))) || ' lines, ' || strlen(w.content) || ' bytes' || chr(10)
+    || CASE WHEN len(o.names) > 0 THEN '// symbols: ' || array_to_string(o.names, ', ') || chr(10) ELSE '' END || CASE WHEN len(o.imports) > 0 THEN '// imports: ' || array_to_string(o.imports, ', ') || chr(10) ELSE '' END AS told
+  FROM offered o JOIN wholes w USING (rel_path)
+), file_forms AS (
+  SELECT rel_path, CAST(ceil(full_bytes / 4.0) AS INTEGER) AS full_, CAST(ceil(strlen(head || CASE WHEN signature = '' THEN 'structural_note' || chr(10) || told ELSE 'signature' || chr(10) || chr(10) || signature END) / 4.0) AS INTEGER) AS sig, CAST(ceil(strlen(head || 'structural_note' || chr(10) || told) / 4.0) AS INTEGER) AS note FROM noted
+)"""
 BLOCKS_SQL = f"""shown AS (
   {_rows(lambda x: [f"{b.first} AS first, {b.last} AS last, {filled_sql(b.symbol)} AS label" for b in x.blocks])}
 ), blocks AS (

@@ -9,7 +9,7 @@ from lodestone.api import Engine
 from lodestone.functions import paths as P
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import audit, bundles, gates, index, parsing, search
+from lodestone.operators import audit, bundles, gates, index, parsing, search, versions
 from lodestone.sources import files
 from lodestone.streaming import jobs
 
@@ -185,11 +185,11 @@ def test_streams(spark, sf_dir, tmp_path):
 
 
 def test_index_stream(spark, tmp_path):
-    src, table = str(tmp_path / "in"), str(tmp_path / "files")
+    src, store = str(tmp_path / "in"), versions.Store(spark, str(tmp_path / "store"), versions.INDEX)
     batch = lambda rows: spark.createDataFrame(rows, "rel_path string, content string").coalesce(1).write.mode("append").parquet(src)
     stream = lambda: spark.readStream.schema("rel_path string, content string").option("maxFilesPerTrigger", 1).parquet(src)
     batch([("a.py", "x = 1\n"), ("b.py", "y\n")])
-    jobs.index_stream(stream(), table, str(tmp_path / "c")).awaitTermination(120)
+    jobs.index_stream(stream(), store, str(tmp_path / "c")).awaitTermination(120)
     batch([("a.py", "x = 2\nz\n")])
-    jobs.index_stream(stream(), table, str(tmp_path / "c")).awaitTermination(120)
-    assert {r.rel_path: r.lines for r in spark.read.parquet(f"{table}/v=1").collect()} == {"a.py": 2, "b.py": 1}
+    jobs.index_stream(stream(), store, str(tmp_path / "c")).awaitTermination(120)
+    assert {r.rel_path: r.lines for r in store.read("files").collect()} == {"a.py": 2, "b.py": 1}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths as P
-from lodestone.operators import search, signals, stores, views
+from lodestone.operators import chunk_search, search, signals, stores, views
 
 
 def ignored(spark, patterns, *paths):
@@ -33,11 +33,12 @@ def test_ranker_takes_bonuses_and_keeps_the_first_files(spark):
 
 
 def test_structure_reaches_every_chunk_of_a_file(spark):
-    chunks = spark.createDataFrame([("a.go", 1, "run", "func", "nothing here", 50), ("a.go", 9, "stop", "func", "neither", 50), ("b.go", 1, "other", "func", "neither", 50)], "rel_path string, start_line int, symbol string, kind string, content string, token_estimate int")
+    rows = [("a.go", 0, 1, 8, "run", "func", "nothing here", 50), ("a.go", 1, 9, 12, "stop", "func", "neither", 50), ("b.go", 0, 1, 2, "other", "func", "neither", 50)]
+    chunks = spark.createDataFrame(rows, "rel_path string, pos int, start_line int, end_line int, symbol string, kind string, content string, token_estimate int")
     asked = spark.createDataFrame([(1, "scheduler")], "query_id long, text string")
     symbols = spark.createDataFrame([("a.go", "Scheduler"), ("a.go", "newScheduler")], "rel_path string, name string")
     imports = spark.createDataFrame([("a.go", f"pkg/scheduler/{k}") for k in range(8)], "rel_path string, imp string")
-    got = {(r.rel_path, r.start_line): r.score for r in search.chunk_search(chunks, asked, structure=(symbols, imports)).collect()}
+    got = {(r.rel_path, r.start_line): r.score for r in chunk_search.chunk_search(chunks, asked, symbols=symbols, imports=imports).collect()}
     assert got == {("a.go", 1): 28.0, ("a.go", 9): 28.0}
 
 
