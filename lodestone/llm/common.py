@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,23 @@ def whole_texts(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Work on a task's batches after which the worker, which goes on to other tasks, gives freed memory back to the system."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int | None = None) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, and of about ``size`` bytes or one longer row, whatever the session hands over at once."""
     for b in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, hashed_words, sliced, table
+from .common import RollingHash, hashed_words, sliced, table, tidy
 
 _LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 0x20 for c in range(256))
 _SEEN_BITS = 22
@@ -198,6 +198,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.8,
 
 
 def _search(held, shingle: int, radius: int, least: float):
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*held.value, shingle, radius)
         for b in sliced(batches):

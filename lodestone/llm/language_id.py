@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, sliced, table, utf8
+from .common import held_out, sliced, table, tidy, utf8
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -145,6 +145,7 @@ def train(docs: DataFrame, *, rows: int = 400, windows: int = 4) -> ByteNet | No
     sample = likely.select("text", "lang", "doc_id", dealt.alias("dealt")).withColumn("rank", rank).where(F.col("rank") <= rows)
     names = [lang for lang, _ in names]
 
+    @tidy
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             w, text, _ = windows_of(utf8(b.column("text")))
@@ -178,6 +179,7 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few hundred kB and 36 numbers a language, whatever the input
 
+    @tidy
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         tables = net.tables() if net else None

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RollingHash, cut, hashed_words, mix64, new_dir, sliced, spread_join, utf8, written
+from .common import RollingHash, cut, hashed_words, mix64, new_dir, sliced, spread_join, tidy, utf8, written
 from .components import components
 from .simhash import fingerprint, fingerprint_links
 
@@ -81,6 +81,7 @@ def node_hashes(texts: list[bytes | None], words: int) -> np.ndarray:
 def _nodes(docs: DataFrame, words: int) -> DataFrame:
     """row and node, a hash of the set of shingles."""
 
+    @tidy
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, size=_AT_ONCE):
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(node_hashes(utf8(b.column("text")), words))], ["row", "node"])
@@ -92,6 +93,7 @@ def _nodes(docs: DataFrame, words: int) -> DataFrame:
 def _texts(docs: DataFrame, words: int) -> DataFrame:
     """node and text, one row a node, in buckets by node."""
 
+    @tidy
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, size=_AT_ONCE):
             yield pa.RecordBatch.from_arrays([pa.array(node_hashes(utf8(b.column("text")), words)), b.column("text")], ["node", "text"])
@@ -129,6 +131,7 @@ def _folded(sketch: bytes) -> list[int]:
 def _sketches(texts: DataFrame, words: int) -> DataFrame:
     """node, fingerprint of its text, n, sketch of its set and the sketch as a map of _MAP longs."""
 
+    @tidy
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, size=_AT_ONCE):
             given = utf8(b.column("text"))
@@ -154,6 +157,7 @@ def _fingerprint_pairs(sketches: DataFrame) -> DataFrame:
 def _plausible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sketches allow for the similarity."""
 
+    @tidy
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, size=_AT_ONCE):
             most = (1 - least) / (1 + least) * (b.column("na").to_numpy().astype(float) + b.column("nb").to_numpy()) + 1e-9
@@ -168,6 +172,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
 def _common(texts: DataFrame, words: int) -> np.ndarray:
     """Shingles that batches hold often, the most common last."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             h, n = np.unique(shingle_sets(utf8(b.column("text")), words)[0], return_counts=True)
@@ -185,6 +190,7 @@ def _prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
     by_value = np.argsort(common)
     shared = texts.sparkSession.sparkContext.broadcast((common[by_value], (by_value + 1).astype(np.int32)))
 
+    @tidy
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = shared.value
         for b in sliced(batches, size=_AT_ONCE):
@@ -208,6 +214,7 @@ def _prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar."""
 
+    @tidy
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, size=_AT_ONCE):
             k = batch.num_rows

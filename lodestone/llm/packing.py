@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import sliced, table, tidy
 from .tokens import encoder, public_path
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
@@ -134,6 +134,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str, end_id: int = 1, longest:
     row.  Ids of sequences and groups are unique over all partitions.
     """
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 40

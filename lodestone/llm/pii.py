@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hashed_words, sliced, table
+from .common import cut, hashed_words, sliced, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: What a span is replaced with, by kind; a removed term leaves nothing.
@@ -97,6 +97,7 @@ def _shape(word: str) -> str:
 
 
 def _detected(docs: DataFrame) -> DataFrame:
+    @tidy
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             spans, entities = [], []
@@ -123,6 +124,7 @@ def _together(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """entity, term and n, the documents of a batch that hold both; entities that the filter rules out are left out."""
     among = docs.sparkSession.sparkContext.broadcast(_filter(entities.select(F.col("entity").alias("term"))))
 
+    @tidy
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             texts, owners = [], []
@@ -143,6 +145,7 @@ def _together(docs: DataFrame, entities: DataFrame) -> DataFrame:
                 terms, n = np.unique(np.concatenate(lists), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), entity, np.int64)), pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["entity", "term", "n"])
 
+    @tidy
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One entity's rows are few; Spark gets them in larger batches.
         kept, n = [], 0
@@ -172,6 +175,7 @@ def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """uid, term, start, end and shape of the words outside base spans that may be among the terms."""
     held = docs.sparkSession.sparkContext.broadcast(_filter(terms))
 
+    @tidy
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(held.value).astype(bool)
         for b in sliced(batches):
@@ -197,6 +201,7 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term and n_t, the documents that hold it, for the terms given; other words stay in their task as far as the filter tells."""
     held = docs.sparkSession.sparkContext.broadcast(_filter(terms))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(held.value).astype(bool)
         for b in sliced(batches):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sliced, spread_join, table, utf8
+from .common import cut, sliced, spread_join, table, tidy, utf8
 from .components import components
 
 SEED = 42
@@ -116,6 +116,7 @@ def golay_keys(prints: np.ndarray, bits: int = 3) -> tuple[np.ndarray, np.ndarra
 def fingerprints(docs: DataFrame, *, words: int = 3) -> DataFrame:
     """doc_id and fingerprint (long, the unsigned bits) of docs(doc_id, text)."""
 
+    @tidy
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             found = np.fromiter((fingerprint(t, words) for t in utf8(batch.column("text"))), np.uint64, batch.num_rows)
@@ -125,6 +126,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3) -> DataFrame:
 
 
 def _keys(prints: DataFrame, sought: bool, bits: int) -> DataFrame:
+    @tidy
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column("fingerprint").to_numpy()
