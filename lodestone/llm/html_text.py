@@ -10,8 +10,9 @@ its text, its punctuation and the text of its links are added up:
 Both are smoothed over the blocks in page order, fused with the same ratios of
 the enclosing element, so that headings and short blocks share in the article
 around them, and weighed by what the elements on the path mean (menus, forms,
-adverts and comments weigh nothing; with an article or main element, so does all
-outside it).  Paths above a share of the page's best path choose the content: the
+adverts and comments weigh nothing, unless they hold most of the text).  Articles
+and main elements stand against what lies outside them: the side with more text in
+sentences counts, the other weighs nothing.  Paths above a share of the page's best path choose the content: the
 articles they lie in, or without one the elements around their blocks.  All blocks
 of those are kept that weigh something, whatever their own ratios.
 """
@@ -38,10 +39,13 @@ RAW = frozenset("script style textarea title noscript template iframe svg object
 CLOSES_P = BLOCKS - {"html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-BOILERPLATE = frozenset("nav aside footer form menu dialog".split())
+BOILERPLATE = frozenset("nav aside footer menu dialog".split())
 #: Words of class, id and role that tell of no article.
-HINTS = frozenset("ad ads advert adverts advertisement advertising banner promo promos promotion promoted sponsor sponsors sponsored sidebar sidebars menu menus navbar nav navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert newsletter subscribe subscription comment comments commentlist disqus respond replies share sharing social related recommend recommended recommendations popup modal overlay widget widgets login signin signup toolbar pagination pager copyright skip hidden search tags taboola outbrain".split())
+HINTS = frozenset("ad ads advert adverts advertisement advertising banner promo promos promotion promoted sponsor sponsors sponsored sidebar sidebars menu menus navbar nav navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert newsletter subscribe subscription comment comments commentlist disqus feedback reactions respond replies share sharing social related recommend recommended recommendations popup modal overlay widget widgets login signin signup toolbar pagination pager copyright skip hidden search tags taboola outbrain".split())
 PAGE_HEADER = frozenset("header masthead topbar logo".split())
+#: Words that may stand beside those in an id; ids made from headings hold others.
+BESIDE = frozenset("area bar block box column container content form group inner left link links list main outer page panel right row section site top wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: First words of classes that tell of something else (no-sidebar, tag-politics).
 UNMEANT = frozenset("no not has is with without tag category post page single type status format layout".split())
 #: Elements that hold the article whatever their classes say.
@@ -52,7 +56,8 @@ _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
 _COMMENT_END = re.compile(r"--!?>")
 _WORD = re.compile(r"[a-z]+")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$)")
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/]|$)", re.I)
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -60,7 +65,7 @@ class Element:
     """An element that holds blocks; path is a number that elements of the same tag path share.
 
     outermost: the outermost article or main element around it, itself included.
-    hinted: the outermost element around it that its words alone set aside.
+    hinted: whether it is a form, or its words alone set it aside.
     """
 
     __slots__ = ("above", "dropped", "hinted", "name", "outermost", "parent", "path", "place")
@@ -68,7 +73,7 @@ class Element:
     def __init__(self, name: str, path: int, above: int, place: int, parent: Element | None, dropped: bool = False):
         self.name, self.path, self.above, self.place, self.parent, self.dropped = name, path, above, place, parent, dropped
         self.outermost: Element | None = parent.outermost if parent else None
-        self.hinted: Element | None = parent.hinted if parent else None
+        self.hinted = False
 
 
 class Block:
@@ -86,6 +91,12 @@ def _hints(marks: str, words: frozenset[str]) -> bool:
     return False
 
 
+def _named(id_: str, words: frozenset[str]) -> bool:
+    """An id of such words, and of those that stand beside them, alone."""
+    parts = _WORD.findall(id_.lower())
+    return not words.isdisjoint(parts) and all(p in words or p in BESIDE for p in parts)
+
+
 class _Tags:
     """Tags of a page in one pass: every search for an end that is not there is made once."""
 
@@ -157,11 +168,14 @@ class _Tree:
         e = Element(name, path, parent.path, len(self.elements), parent, parent.dropped)
         if e.outermost is None and (name in ("article", "main") or given.get("role") == "main" or given.get("itemprop") == "articleBody"):
             e.outermost = e
-        if name in BOILERPLATE or given.get("aria-hidden") == "true" or _HIDDEN.search(attrs) or _HIDES.search(given.get("style", "")) or (name == "header" and not e.outermost):
+        hidden = "hidden" in attrs.lower() and _HIDDEN.search(_VALUE.sub(" ", attrs))
+        if name in BOILERPLATE or given.get("aria-hidden") == "true" or hidden or _HIDES.search(given.get("style", "")) or (name == "header" and not e.outermost):
             e.dropped = True
-        marks = f"{kind} {given.get('id', '')} {given.get('role', '')}"
-        if e.hinted is None and name not in NEVER_HINTED and marks.strip() and (_hints(marks, HINTS) or (not e.outermost and _hints(marks, PAGE_HEADER))):
-            e.hinted = e
+        if name == "form":
+            e.hinted = True
+        elif name not in NEVER_HINTED and name not in HEADINGS:
+            marks, own = f"{kind} {given.get('role', '')}", given.get("id", "")
+            e.hinted = _hints(marks, HINTS) or (not e.outermost and _hints(marks, PAGE_HEADER)) or _named(own, HINTS) or (not e.outermost and _named(own, PAGE_HEADER))
         self.elements.append(e)
         self.stack.append(e)
         self.open[name] += 1
@@ -234,25 +248,46 @@ def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
     return out, tree.elements
 
 
-def _set_aside(blocks: list[Block], length: np.ndarray) -> list[bool]:
+def _set_aside(blocks: list[Block], elements: list[Element], length: np.ndarray) -> list[bool]:
     """Whether a block is boilerplate by its elements.
 
-    The ratios overrule words: an element that words alone set aside is kept if
-    it holds a main heading and over half of the page's text outside links.
+    The ratios overrule words and forms: such an element is kept if it holds over
+    half of the page's text outside links, and a main heading, an article or a
+    paragraph of some length.
     """
-    text: dict[Element, float] = defaultdict(float)
-    headed: set[Element] = set()
-    total = 0.0
+    text, headed = [0.0] * len(elements), [False] * len(elements)
     for b, n in zip(blocks, length.tolist(), strict=True):
         e = b.element
         if not e.dropped:
-            total += n
-            if e.hinted:
-                text[e.hinted] += n
-                if e.name == "h1" or e.outermost:
-                    headed.add(e.hinted)
-    kept = {e for e in headed if 2 * text[e] > total}
-    return [b.element.dropped or (b.element.hinted is not None and b.element.hinted not in kept) for b in blocks]
+            text[e.place] += n
+            headed[e.place] = headed[e.place] or e.name == "h1" or e.outermost is not None or (e.name == "p" and n >= 80)
+    for e in reversed(elements[1:]):
+        text[e.parent.place] += text[e.place]
+        headed[e.parent.place] = headed[e.parent.place] or headed[e.place]
+    aside = [False] * len(elements)
+    for e in elements[1:]:  # parents come first
+        kept = 2 * text[e.place] > text[0] and headed[e.place]
+        aside[e.place] = e.dropped or aside[e.parent.place] or (e.hinted and not kept)
+    return [aside[b.element.place] for b in blocks]
+
+
+def _outside(blocks: list[Block], dropped: list[bool], weight: np.ndarray) -> tuple[bool, set[Element]]:
+    """Whether the text lies outside all articles, and the articles that are none: small ones after a larger one.
+
+    An article or main element is one candidate among others; what has more text in
+    sentences is the content.
+    """
+    held: dict[Element, float] = defaultdict(float)
+    beside = 0.0
+    for b, d, w in zip(blocks, dropped, weight.tolist(), strict=True):
+        if not d:
+            if b.element.outermost:
+                held[b.element.outermost] += w
+            else:
+                beside += w
+    largest = max(held, key=lambda e: held[e], default=None)
+    teasers = {e for e, w in held.items() if e.name == "article" and e.place > largest.place and 5 * w < held[largest]} if largest else set()
+    return beside > sum(held.values()), teasers
 
 
 def content_blocks(html: str, share: float = 0.08, width: float = 1.0) -> list[str]:
@@ -261,10 +296,11 @@ def content_blocks(html: str, share: float = 0.08, width: float = 1.0) -> list[s
     if not blocks:
         return []
     length = np.array([len(b.text) - b.links for b in blocks], float)
-    dropped = _set_aside(blocks, length)
-    inside = any(b.element.outermost and not d for b, d in zip(blocks, dropped, strict=True))
-    prior = np.array([0.0 if d else 1.0 if b.element.outermost or not inside else 0.0 for b, d in zip(blocks, dropped, strict=True)])
     marks = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], float)
+    dropped = _set_aside(blocks, elements, length)
+    outside, teasers = _outside(blocks, dropped, length * np.minimum(marks, 1))
+    inside = not outside and any(b.element.outermost and not d for b, d in zip(blocks, dropped, strict=True))
+    prior = np.array([float(not d and (bool(b.element.outermost) == inside or not (inside or outside)) and b.element.outermost not in teasers) for b, d in zip(blocks, dropped, strict=True)])
 
     def ratios(keys: list[int]) -> np.ndarray:
         _, key = np.unique(keys, return_inverse=True)
