@@ -6,6 +6,8 @@ All are native expressions.  Lengths that guard a rule are bytes
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,20 +64,25 @@ def _drop_end(c: Column, n: int) -> Column:
     return F.substring(c, F.lit(1), F.char_length(c) - n)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that stands in the plan once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def stem(c: Column | str) -> Column:
     """Light English stem: plural endings, then ity, ing or ed; words under four bytes stay as they are."""
-    w = F.lower(text(c))
-    size = F.octet_length(w)
-    one = (
-        F.when(w.endswith("ies") & (size > 4), F.concat(_drop_end(w, 3), F.lit("y")))
-        .when(w.endswith("sses"), _drop_end(w, 2))
-        .when(w.endswith("ss"), w)
-        .when(w.endswith("s") & (size > 3), _drop_end(w, 1))
-        .otherwise(w)
-    )
-    size = F.octet_length(one)
-    two = F.when(one.endswith("ity") & (size > 4), _drop_end(one, 3)).when(one.endswith("ing") & (size > 5), _drop_end(one, 3)).when(one.endswith("ed") & (size > 4), _drop_end(one, 2)).otherwise(one)
-    return F.when(F.octet_length(text(c)) < 4, text(c)).otherwise(two)
+
+    def singular(w: Column) -> Column:
+        size = F.octet_length(w)
+        ies = F.concat(_drop_end(w, 3), F.lit("y"))
+        return F.when(w.endswith("ies") & (size > 4), ies).when(w.endswith("sses"), _drop_end(w, 2)).when(w.endswith("ss"), w).when(w.endswith("s") & (size > 3), _drop_end(w, 1)).otherwise(w)
+
+    def bare(w: Column) -> Column:
+        size = F.octet_length(w)
+        return F.when(w.endswith("ity") & (size > 4), _drop_end(w, 3)).when(w.endswith("ing") & (size > 5), _drop_end(w, 3)).when(w.endswith("ed") & (size > 4), _drop_end(w, 2)).otherwise(w)
+
+    given = text(c)
+    return F.when(F.octet_length(given) < 4, given).otherwise(let(let(F.lower(given), singular), bare))
 
 
 def variants(c: Column | str) -> Column:

@@ -97,7 +97,7 @@ def candidate_values(value: float, limit: float = 60.0) -> list[float]:
 
 def weighted(features: DataFrame, weights: DataFrame) -> DataFrame:
     """Scores of features(query_id, rel_path, feature, amount) under every candidate of weights(candidate, feature, weight): one equality join scores all candidates."""
-    return features.join(F.broadcast(weights), "feature").groupBy("candidate", "query_id", "rel_path").agg(F.round(F.sum(F.col("amount") * F.col("weight")), 6).alias("score"))
+    return features.join(weights, "feature").groupBy("candidate", "query_id", "rel_path").agg(F.round(F.sum(F.col("amount") * F.col("weight")), 6).alias("score"))
 
 
 def macro_average(results: DataFrame) -> DataFrame:

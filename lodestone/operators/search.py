@@ -128,11 +128,54 @@ def content_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
 
     Terms are gathered by text once for all questions, and counted where they lie.
     """
-    forms = terms.select("term").distinct().select("term", F.explode(T.variants("term")).alias("form")).where(F.octet_length("form") >= 3)
-    met = _word_hits(chunks, forms.select(F.col("form").alias("term"))).withColumnRenamed("term", "form")
-    held = met.join(_checked(forms, 200_000), "form").groupBy("key").agg(F.collect_set("term").alias("held"))
     asked = _checked(terms.select("query_id", "term").distinct(), 1_000_000)
-    return held.select("key", F.explode("held").alias("term")).join(asked, "term").groupBy("query_id", "key").agg(F.count("*").alias("hits"))
+    return held_terms(chunks, terms).select("key", F.explode("held").alias("term")).join(asked, "term").groupBy("query_id", "key").agg(F.count("*").alias("hits"))
+
+
+def held_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """key and held, the distinct terms of terms(term) that texts(key, content) hold in either form; texts without one are left out."""
+    forms = terms.select("term").distinct().select("term", F.explode(T.variants("term")).alias("form")).where(F.octet_length("form") >= 3)
+    met = _word_hits(texts, forms.select(F.col("form").alias("term"))).withColumnRenamed("term", "form")
+    return met.join(_checked(forms, 200_000), "form").groupBy("key").agg(F.collect_set("term").alias("held"))
+
+
+def top_hits(texts: DataFrame, terms: DataFrame, limit: int = 8, *, common: float = 0.1, report: dict | None = None) -> DataFrame:
+    """query_id, rank, key and hits: the texts(key, content) that hold most terms of each question of terms(query_id, term), ties to the least key.
+
+    A question's terms are worth one each at most, so its rare terms decide who can
+    still be among the first.  Texts are first scored by rare terms alone, those in
+    no more than a share ``common`` of the texts; the best of them are scored in
+    full, and the last of these sets the mark; then only texts are scored that
+    reach it with all common terms added.  A question whose common terms alone
+    reach the mark scores all texts.  The share of pairs scored goes to ``report``.
+    """
+    asked = kept(terms.select("query_id", "term").distinct())
+    held = kept(held_terms(texts, asked))
+    n = held.count()
+    posted = held.select("key", F.explode("held").alias("term"))
+    often = posted.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > common * n).select("term", F.lit(True).alias("often"))
+    told = kept(asked.join(often, "term", "left").withColumn("often", F.coalesce("often", F.lit(False))))
+    rest = kept(told.groupBy("query_id").agg(F.collect_list(F.when(F.col("often"), F.col("term"))).alias("common")))  # a question's terms are few
+    rare = kept(posted.join(_checked(told.where("not often").select("query_id", "term"), 1_000_000), "term").groupBy("query_id", "key").agg(F.count("*").alias("rare")))
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(held, "key").join(_checked(rest, 100_000), "query_id")
+        return both.select("query_id", "key", (F.col("rare") + F.size(F.array_intersect("held", "common"))).alias("hits"))
+
+    def first(scored: DataFrame, by: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "key"))
+        return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+    seeds = whole(first(rare, "rare").drop("rank"))
+    marks = seeds.groupBy("query_id").agg(F.when(F.count("*") >= limit, F.min("hits")).otherwise(0).alias("mark"))
+    marks = kept(rest.select("query_id", F.size("common").alias("more")).join(marks, "query_id", "left").withColumn("mark", F.coalesce("mark", F.lit(0))))
+    bounded = rare.join(_checked(marks, 100_000), "query_id").where((F.col("mark") > F.col("more")) & (F.col("rare") + F.col("more") >= F.col("mark"))).select("query_id", "key", "rare")
+    open_ = marks.where("mark <= more").agg(F.collect_list("query_id").alias("l")).scalar()  # a stated set of questions, in which no text can be ruled out
+    every = held.select("key", F.explode(open_).alias("query_id")).join(rare, ["query_id", "key"], "left").select("query_id", "key", F.coalesce("rare", F.lit(0)).alias("rare"))
+    pairs = kept(bounded.unionByName(every))
+    if report is not None:
+        report["scored"], report["pairs"] = pairs.count(), n * rest.count()
+    return first(whole(pairs).where("hits > 0"), "hits").select("query_id", "rank", "key", "hits")
 
 
 def met_values(chunks: DataFrame, terms: DataFrame, fields: dict[str, Column]) -> DataFrame:

@@ -33,9 +33,8 @@ SELECT item_id AS query_id, CAST(rank AS INTEGER) AS rank, rel_path, hits FROM r
 @query(_MIN)
 def chunk_search_min(t: Tables) -> DataFrame:
     """The eight files with the most terms of each question."""
-    hits = search.content_hits(corpus(t).select(F.col("rel_path").alias("key"), "content"), search.question_terms(questions(t)))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "key"))
-    return hits.withColumn("rank", rank).where("rank <= 8").select("query_id", "rank", F.col("key").alias("rel_path"), "hits")
+    top = search.top_hits(corpus(t).select(F.col("rel_path").alias("key"), "content"), search.question_terms(questions(t)))
+    return top.select("query_id", "rank", F.col("key").alias("rel_path"), "hits")
 
 
 @query(f"""

@@ -26,8 +26,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Computes df once, in the folder of spark.checkpoint.dir; a local one only where none is configured."""
-    sc = df.sparkSession.sparkContext
+    """Computes df once, in the folder of spark.checkpoint.dir; a temporary one only on a local master that configures none."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint(eager=True)
