@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hashed_words, sliced, table, tidy
+from .common import cut, hashed_words, sliced, spread_join, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: What a span is replaced with, by kind; a removed term leaves nothing.
@@ -254,7 +254,11 @@ def _analysed(docs: DataFrame, support: int, generalise: float, remove: float):
     places = cut(_places(texts, pairs.select("term").distinct()))
     at = F.struct("start", "end", F.lit("removed").alias("kind")).alias("s")
     gone = places.join(pairs.where(F.col("disclosure") >= remove).select("term").distinct(), "term").select("uid", at)
-    holders = found.select("uid", F.explode("entities").alias("entity")).join(pairs.where(F.col("disclosure") < remove), "entity").select("uid", "term").distinct()
+    # From the places on: a document meets only the entities of terms that it holds, in one row a term.
+    held = cut(places.select("uid", "term").distinct())
+    owners = pairs.where(F.col("disclosure") < remove).groupBy("term").agg(F.collect_list("entity").alias("owners"))
+    met = spread_join(held, owners.join(held.groupBy("term").agg(F.count("*").alias("n")), "term"), "term", held.count())
+    holders = met.join(found.select("uid", "entities"), "uid").where(F.arrays_overlap("owners", "entities")).select("uid", "term")
     told = gone.unionByName(places.join(holders, ["uid", "term"]).select("uid", F.struct("start", "end", F.col("shape").alias("kind")).alias("s")))
     # A term of two entities is one span, removed if either asks for it.
     told = told.groupBy("uid", F.col("s.start").alias("start"), F.col("s.end").alias("end")).agg(F.max(F.struct((F.col("s.kind") == "removed").alias("r"), F.col("s.kind").alias("kind"))).alias("k"))

@@ -30,11 +30,13 @@ def quantised(embedding: Column) -> Column:
 
 
 def _pivots(vectors: DataFrame, pivots: int, sample: int) -> dict[int, np.ndarray]:
-    """By length, vectors far from one another among a bounded sample, those with the smallest hashes of vec_id."""
+    """By length, vectors far from one another among a bounded sample, one of each of ``sample`` classes of hashes of vec_id."""
     common = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(_LENGTHS)
     sized = vectors.withColumn("d", F.size("v")).join(F.broadcast(common.select("d")), "d")
-    rank = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("vec_id"), "vec_id"))
-    rows = sized.withColumn("rank", rank).where(F.col("rank") <= sample).orderBy("d", "rank").select("d", "v").collect()
+    # The least hash of each of ``sample`` classes: partial sums keep all but that many vectors of a length where they are.
+    h = F.xxhash64("vec_id")
+    least = sized.groupBy("d", F.pmod(h, F.lit(sample)).alias("class")).agg(F.min(F.struct(h.alias("h"), "vec_id", "v")).alias("s"))
+    rows = least.orderBy("d", "s.h", "s.vec_id").select("d", "s.v").collect()
     held: dict[int, list] = {}
     for d, v in rows:
         held.setdefault(d, []).append(v)

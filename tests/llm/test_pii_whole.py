@@ -23,3 +23,13 @@ def test_removed_everywhere_and_all_holders_counted(spark):
     row = pii.disclosures(texts, pii._detected(texts), support=3, generalise=0.8).collect()[0]
     n, ne, nt = 3062, 61, 61
     assert abs(row.disclosure - log2(n * 60 / (ne * nt)) / log2(n / ne)) < 1e-9
+
+
+def test_one_entity_in_a_third_of_all_documents(spark):
+    """Each document meets the terms that it holds, not all those of its entity."""
+    rows = [(k, f"ask bob{k // 3}x at boss@firm.example now" if k % 3 == 0 else f"ask bob{k // 3}x now or then") for k in range(1200)]
+    rows += [(k, f"code word{k % 40}y of boss@firm.example") for k in range(1200, 1400)]
+    out = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(any(s.kind == "email" for s in out[k]) for k in range(0, 1200, 3))
+    told = {r[1][s.start : s.end] for r in rows for s in out[r[0]] or [] if s.kind not in pii.KINDS}
+    assert told >= {f"word{k}y" for k in range(40)} and not any(t.startswith("bob") for t in told)
