@@ -203,14 +203,22 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(held.value).astype(bool)
+        seen, met = np.unpackbits(held.value).astype(bool), Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(np.array(list(met), np.uint64).view(np.int64)), pa.array(list(met.values()), pa.int64())], ["term", "n"])
+            met.clear()
+            return batch
+
         for b in sliced(batches):
             hashes, first = hashed_words([_outside(t or "") for t in b.column("text").to_pylist()])
             at = np.flatnonzero(seen[(hashes >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)])
             doc = np.searchsorted(first, at, "right") - 1
             both = np.unique(np.stack([doc.astype(np.uint64), hashes[at]]), axis=1)[1] if len(at) else np.empty(0, np.uint64)
-            met = Counter(both.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(met), np.uint64).view(np.int64)), pa.array(list(met.values()), pa.int64())], ["term", "n"])
+            met.update(both.tolist())
+            if len(met) >= 200_000:  # a task hands on each term once, as far as it can hold them
+                yield out()
+        yield out()
 
     counted = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     return counted.join(terms, "term", "left_semi")
