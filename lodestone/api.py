@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import audit, bundles, chunk_search, excerpts, index, parsing, search
+from .operators import audit, bundles, chunk_search, excerpts, index, parsing, search, signals
 from .session import kept
 from .sources import files
 
@@ -41,6 +41,27 @@ class Engine:
         wanted = questions.select("query_id", F.lit(rel_path).alias("rel_path"), T.tokenise("text").alias("terms"))
         return excerpts.symbol_excerpts(wanted, self.sources).drop("terms")
 
+    def context(self, questions: DataFrame, limit: int = 8) -> DataFrame:
+        """The smallest answer to each question: query_id, route, rel_path and text.
+
+        An open search whose best file tells most by its symbols is answered by an
+        excerpt of the first hit's file, or by the hits if that has none; a question for
+        an outline is only told its route (see ``stats`` and ``outline``); the rest get the hits.
+        """
+        symbols = self.parsed.select("rel_path", F.inline("symbols")).select("rel_path", "name")
+        imports = self.parsed.select("rel_path", F.explode("imports").alias("imp"))
+        hints = signals.structural_hints(symbols, imports, search.question_terms(questions).select("query_id", "term"), limit)
+        routes = kept(signals.routes(hints, questions.select("query_id", T.intent("text").alias("intent"))))
+        hits = kept(self.search(questions.join(routes.where("route <> 'outline'"), "query_id", "left_semi"), max(limit, 5)))
+        first = hits.where("rank = 1").join(routes.where("route = 'excerpt'"), "query_id").join(questions, "query_id")
+        shown = excerpts.symbol_excerpts(first.select("query_id", "rel_path", T.tokenise("text").alias("terms")), self.sources).where("excerpt is not null")
+        line = F.concat("rel_path", F.lit(":"), F.col("start_line").cast("string"), F.lit(" "), F.coalesce("symbol", F.lit("")))
+        listed = hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda r: r["line"]), "\n").alias("listed"), F.min_by("rel_path", "rank").alias("best"))
+        told = routes.join(shown.select("query_id", "excerpt"), "query_id", "left").join(listed, "query_id", "left")
+        route = F.when((F.col("route") == "excerpt") & F.col("excerpt").isNull(), "search").otherwise(F.col("route"))
+        text = F.coalesce("excerpt", "listed", F.lit(""))
+        return told.select("query_id", route.alias("route"), F.col("best").alias("rel_path"), text.alias("text"))
+
     def rank(self, questions: DataFrame, focus: str = "", changed: DataFrame | None = None) -> DataFrame:
         return search.rank_files(self.files, questions, focus=focus, changed=changed)
 

@@ -147,6 +147,9 @@ def test_facade(spark, tree):
     assert hits[0].rel_path == "src/cart.ts"
     assert [r.rel_path for r in engine.rank(q).orderBy("rank").limit(2).collect()] == ["README.md", "src/cart.ts"]
     assert "checkout" in engine.prompt(q).first().prompt
+    r = {r.query_id: r for r in engine.context(engine.questions("where is the checkout of the cart?", "give an overview", "zzzz qqqq")).collect()}
+    assert (r[0].route, r[0].rel_path) == ("excerpt", "src/cart.ts") and "function checkout(cart)" in r[0].text
+    assert (r[1].route, r[1].text) == ("outline", "") and (r[2].route, r[2].text) == ("search", "")
     assert [tuple(r) for r in engine.relations().collect()] == [("src/cart.ts", "src/util.ts")]
     assert engine.expand("store.py:10-11").first().content.startswith("def main")
     answers = spark.createDataFrame([(0, "see src/cart.ts:10 and nowhere.py; checkoutTotal()")], "answer_id long, text string")
