@@ -180,10 +180,12 @@ def preview(c: Column | str, longest: int) -> Column:
     return F.when(F.char_length(t) <= longest, t).otherwise(F.concat(F.substring(t, 1, longest), F.lit("…")))
 
 
-def human_bytes(c: Column | str) -> Column:
+def human_bytes(c: Column | str, largest: str = "GB") -> Column:
+    """B, KB and MB with one decimal, GB with two; sizes beyond ``largest`` stay in it.  Halves go to the even digit, as C and Go print them; Java's formats round them up."""
     n = text(c)
-    shown = lambda unit, name: F.format_string(f"%.1f {name}", n / float(unit))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, shown(1 << 10, "KB")).when(n < 1 << 30, shown(1 << 20, "MB")).otherwise(shown(1 << 30, "GB"))
+    shown = lambda unit, name, digits=1: F.format_string(f"%.{digits}f {name}", F.bround(n / float(unit), digits))
+    out = F.when(n.isNull(), None).when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, shown(1 << 10, "KB"))
+    return out.otherwise(shown(1 << 20, "MB")) if largest == "MB" else out.when(n < 1 << 30, shown(1 << 20, "MB")).otherwise(shown(1 << 30, "GB", 2))
 
 
 def query_words(c: Column | str) -> Column:

@@ -80,7 +80,7 @@ def skipped_paths(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) ELSE printf('%.1f MB', b / 1048576.0) END AS shown FROM (SELECT s_suppkey, CAST(s_suppkey AS BIGINT) * 4096 AS b FROM supplier)")
 def human_sizes(t: Tables) -> DataFrame:
-    return t.supplier.select("s_suppkey", T.human_bytes(F.col("s_suppkey").cast("long") * 4096).alias("shown"))
+    return t.supplier.select("s_suppkey", T.human_bytes(F.col("s_suppkey").cast("long") * 4096, "MB").alias("shown"))
 
 
 @query("SELECT c_custkey, substring(sha256(lower(trim(c_name, ' '))), 1, 12) AS query_id, substring(sha1('8000|' || c_name), 1, 8) AS cache_name FROM customer")
