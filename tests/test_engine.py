@@ -196,3 +196,16 @@ def test_index_stream(spark, tmp_path):
     batch([("a.py", "x = 2\nz\n")])
     jobs.index_stream(stream(), store, str(tmp_path / "c")).awaitTermination(120)
     assert {r.rel_path: r.lines for r in store.read("files").collect()} == {"a.py": 2, "b.py": 1}
+
+
+def test_suffix_relations_of_many_paths_come_once(spark):
+    imports = spark.createDataFrame([("s1", "a/b"), ("s1", "b"), ("s1", "x/b"), ("s2", "a/b"), ("s2", None), ("b", "c")], "source string, import string")
+    dirs = spark.createDataFrame([("t1", "b"), ("t1", "z/a/b"), ("b", "b"), ("t3", "c/b"), ("t4", None), ("t5", "q")], "target string, dir string")
+    ends = lambda a, b: a == b or a.endswith("/" + b) or b.endswith("/" + a)
+    want = {(s, t) for s, i in imports.collect() for t, d in dirs.collect() if i and d and ends(i, d) and s != t}
+    for piece in (1, 4096):
+        got = index.suffix_relations(imports, dirs, piece)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        # Pairs stay where they are spelled out: nothing is made distinct after the last list is opened.
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("Generate explode")]
