@@ -31,7 +31,7 @@ _LINES = f"""first_terms AS (
 
 
 def _chunks(t: Tables) -> tuple[DataFrame, DataFrame]:
-    files = source_files(t).select("rel_path", "lang", "content")
+    files = kept(source_files(t).select("rel_path", "lang", "content"))  # made once for parsers, lines and whole files
     return files, kept(parsing.code_chunks(files).select("rel_path", "pos", "chunk_id", "start_line", "end_line", "kind", "symbol", "content", "token_estimate"))
 
 
@@ -65,11 +65,11 @@ def _context(t: Tables) -> dict[str, DataFrame]:
 
 
 def signal_table(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Features, chunks and context of the search."""
+    """Features, chunks and context of the search, the files among it."""
     files, chunks = _chunks(t)
-    context = _context(t)
-    parsed = parsing.parse(files).select("rel_path", "symbols", "imports")
-    symbols = parsed.select("rel_path", F.inline("symbols")).select("rel_path", "name")
+    context = _context(t) | {"files": files}
+    parsed = kept(parsing.parse(files).select("rel_path", F.col("symbols.name").alias("names"), "imports"))  # read for each signal
+    symbols = parsed.select("rel_path", F.explode("names").alias("name"))
     imports = parsed.select("rel_path", F.explode("imports").alias("imp"))
     similar = context["similar"].join(chunks.select("rel_path", "pos"), ["rel_path", "pos"], "left_semi")
     return kept(chunk_search.features(chunks, questions(t), symbols=symbols, imports=imports, files=files, similar=similar)), chunks, context
@@ -194,7 +194,7 @@ def economy_ab(t: Tables) -> DataFrame:
     """Both arms of the token economy from one search: its snippets, and the whole files, in the order of the hits, that find as many facts."""
     features, chunks, context = signal_table(t)
     hits = chunk_search.ranked(features, chunks, questions(t), changed=context["changed"], relations=context["relations"])
-    return economy.arms(hits, chunks, source_files(t), _facts(t))
+    return economy.arms(hits, chunks, context["files"], _facts(t))
 
 
 @query()

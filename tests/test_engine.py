@@ -209,3 +209,14 @@ def test_suffix_relations_of_many_paths_come_once(spark):
         # Pairs stay where they are spelled out: nothing is made distinct after the last list is opened.
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" not in plan[: plan.index("Generate explode")]
+
+
+def test_a_search_makes_and_parses_its_files_once(spark, sf_dir, monkeypatch):
+    from lodestone.plans import full_search
+    from lodestone.plans.registry import Tables
+
+    made = []
+    monkeypatch.setattr(full_search, "kept", lambda df: made.append(df.columns) or df.localCheckpoint())
+    files, _ = full_search._chunks(Tables(spark, sf_dir))
+    assert made[0] == ["rel_path", "lang", "content"]
+    assert "regexp_replace" not in parsing.parse(files)._jdf.queryExecution().optimizedPlan().toString()
