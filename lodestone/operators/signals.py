@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .search import RANK_SEEDS, SEEDS, word_hits
+from .search import RANK_SEEDS, SEEDS, checked, word_hits
 
 
 def _slashes(path: Column) -> Column:
@@ -135,12 +135,17 @@ def graph_boost(candidates: DataFrame, relations: DataFrame, weight: float = 1.2
 
     relations(source, target).  Seeds are the first files by score, path and line.  A file on both ends of relations counts as dependent.
     """
-    best = candidates.where("score > 0").groupBy("query_id", "rel_path").agg(F.max("score").alias("s"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "rel_path"))
-    chosen = best.withColumn("k", rank).where(F.col("k") <= seeds).select("query_id", F.col("rel_path").alias("seed"))
-    out = relations.join(chosen, relations.source == chosen.seed).select("query_id", F.col("target").alias("rel_path"), F.lit("graph_dependency").alias("reason"))
-    into = relations.join(chosen, relations.target == chosen.seed).select("query_id", F.col("source").alias("rel_path"), F.lit("graph_dependent").alias("reason"))
-    related = out.unionByName(into).groupBy("query_id", "rel_path").agg(F.max("reason").alias("reason"))
-    marked = _bridges(candidates).join(related, ["query_id", "rel_path"], "left")
+    question, file = Window.partitionBy("query_id"), Window.partitionBy("query_id", "rel_path")
+    best = _bridges(candidates).withColumn("s", F.max(F.when(F.col("score") > 0, F.col("score"))).over(file)).withColumn("once", F.row_number().over(file.orderBy("start_line")) == 1)
+    rank = F.dense_rank().over(question.orderBy(F.desc_nulls_last("s"), "rel_path"))
+    chosen = F.when((rank <= seeds) & F.col("s").isNotNull() & F.col("query_id").isNotNull(), F.col("rel_path"))
+    asked = best.withColumn("chosen", chosen).withColumn("seeds", F.collect_set("chosen").over(question)).drop("chosen", "s")
+    # Each file of a question meets its seeds once, on one of its rows; a pair has one relation at most.
+    met = asked.select("*", F.posexplode_outer(F.when(F.col("once"), F.col("seeds"))).alias("place", "seed"))
+    both = relations.select(F.col("source").alias("seed"), F.col("target").alias("rel_path"), F.lit("graph_dependency").alias("reason"))
+    both = both.unionByName(relations.select(F.col("target").alias("seed"), F.col("source").alias("rel_path"), F.lit("graph_dependent").alias("reason")))
+    pairs = checked(both.groupBy("seed", "rel_path").agg(F.max("reason").alias("reason")), 200_000)
+    told = met.join(pairs, ["seed", "rel_path"], "left").withColumn("reason", F.max("reason").over(file)).where(F.coalesce("place", F.lit(0)) == 0)
     hit = F.col("reason").isNotNull() & ((F.col("score") > 0) | F.col("bridge"))
-    return marked.withColumn("score", F.col("score") + F.when(hit, weight).otherwise(0.0)).withColumn("reason", F.when(hit, F.col("reason"))).drop("bridge")
+    marked = told.withColumn("score", F.col("score") + F.when(hit, weight).otherwise(0.0)).withColumn("reason", F.when(hit, F.col("reason")))
+    return marked.select(*candidates.columns, "reason")
