@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..session import spread
 
 
 def cited(answers: DataFrame) -> DataFrame:
@@ -21,13 +22,13 @@ def validated(citations: DataFrame, fragments: DataFrame) -> DataFrame:
 
     citations(answer_id, path, ...), fragments(answer_id, rel_path).
     """
-    paths = fragments.select("answer_id", "rel_path").distinct()
-    exact = paths.select("answer_id", F.col("rel_path").alias("path"), F.lit(True).alias("__exact"))
-    names = paths.groupBy("answer_id", P.base(F.col("rel_path")).alias("__name")).agg(F.count("*").alias("__n"))
-    out = citations.withColumn("__name", P.base(F.col("path"))).join(exact, ["answer_id", "path"], "left").join(names, ["answer_id", "__name"], "left")
-    valid = F.col("__exact").isNotNull() | (F.coalesce("__n", F.lit(0)) == 1)
+    # Fragments are dealt out before they are gathered: they may all come from one task, and few of them are alike.
+    dealt = spread(fragments.select("answer_id", P.base(F.col("rel_path")).alias("__name"), "rel_path"), "answer_id", "__name")
+    names = dealt.groupBy("answer_id", "__name").agg(F.collect_set("rel_path").alias("__paths")).hint("merge")  # exploded lists look small to the planner, which would broadcast them
+    out = citations.withColumn("__name", P.base(F.col("path"))).join(names, ["answer_id", "__name"], "left").withColumn("__n", F.size(F.coalesce("__paths", F.array().cast("array<string>"))))
+    valid = F.coalesce(F.array_contains("__paths", F.col("path")), F.lit(False)) | (F.col("__n") == 1)
     reason = F.when(valid, "").when(F.col("__n") > 1, "ambiguous basename").otherwise("not in bundle")
-    return out.withColumn("valid", valid).withColumn("reason", reason).drop("__exact", "__n", "__name")
+    return out.withColumn("valid", valid).withColumn("reason", reason).drop("__paths", "__n", "__name")
 
 
 def grounded_ratio(answers: DataFrame, checked: DataFrame) -> DataFrame:

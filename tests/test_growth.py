@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import parsing, signals
+from lodestone.operators import audit, parsing, search, signals
+from lodestone.plans import catalog
 
 
 def plan(df):
@@ -43,3 +44,29 @@ def test_graph_boost_moves_candidates_once(spark):
     rows = spark.range(100).select((F.col("id") % 9).alias("query_id"), F.concat(F.lit("f"), F.col("id") % 5).alias("rel_path"), F.col("id").alias("start_line"), F.lit(1.0).alias("score")).repartition(4, "query_id")
     edges = spark.createDataFrame([("f1", "f2")], "source string, target string")
     assert plan(signals.graph_boost(rows, edges)).count("Exchange hashpartitioning") == 1
+
+
+def test_citations_are_neither_broadcast_nor_gathered_where_they_are_exploded(spark, sf_dir):
+    told = plan(catalog.queries()["validate_citations"](spark, sf_dir))
+    assert "BroadcastExchange" not in told and told.count("Aggregate") == 2
+    exchange = told.index("REPARTITION_BY_NUM")
+    assert told.rindex("Aggregate") < exchange  # a plan is read from the bottom: dealt first
+
+
+def test_citations_by_name(spark):
+    cited = spark.createDataFrame([(1, "a/x.py"), (1, "q/y.py"), (1, "z/x.py"), (2, "a/x.py"), (None, "a/x.py")], "answer_id long, path string")
+    fragments = spark.createDataFrame([(1, "a/x.py"), (1, "a/x.py"), (1, "b/x.py"), (1, "c/y.py"), (1, None), (None, "a/x.py")], "answer_id long, rel_path string")
+    got = {(r.answer_id, r.path): (r.valid, r.reason) for r in audit.validated(cited, fragments).collect()}
+    assert got == {(1, "a/x.py"): (True, ""), (1, "q/y.py"): (True, ""), (1, "z/x.py"): (False, "ambiguous basename"), (2, "a/x.py"): (False, "not in bundle"), (None, "a/x.py"): (False, "not in bundle")}
+
+
+def test_scored_rows_move_once(spark, sf_dir):
+    told = plan(catalog.queries()["dedupe_and_diversity"](spark, sf_dir))
+    assert told.count("Exchange") == 1
+
+
+def test_related_pairs_are_dealt_before_they_are_summed(spark):
+    ranked = spark.createDataFrame([(1, "a", 2.0, 1), (1, "b", 0.5, 2)], "query_id long, rel_path string, score double, rank int")
+    edges = spark.createDataFrame([("a", "x"), ("y", "a"), ("a", "y"), ("b", "z")], "source string, target string")
+    got = search.graph_expansion(ranked, edges, parts=7)
+    assert {tuple(r) for r in got.collect()} == {(1, "x", 1.0), (1, "y", 1.8)} and "hashpartitioning(query_id" in plan(got) and ", 7), REPARTITION_BY_NUM" in plan(got)
