@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import audit, bundles, search
+from ..session import parts, spread
 from . import sql as S
 from .registry import Tables, query
 from .tables import chunks, corpus, questions
@@ -49,9 +50,10 @@ _SCORED = "s AS (SELECT l_orderkey AS query_id, 'f' || l_suppkey AS rel_path, ro
 
 
 def _scored(t: Tables) -> DataFrame:
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"))
-    return t.lineitem.select(
-        F.col("l_orderkey").alias("query_id"), F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("rel_path"), pos.alias("start_line"), F.concat(F.lit("s"), (F.col("l_partkey") % 3).cast("string")).alias("symbol"),
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"))
+    rows = spread(t.lineitem.withColumnRenamed("l_orderkey", "query_id"), "query_id")  # every window is of a question, so rows move once
+    return rows.select(
+        "query_id", F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("rel_path"), pos.alias("start_line"), F.concat(F.lit("s"), (F.col("l_partkey") % 3).cast("string")).alias("symbol"),
         F.lit("func").alias("kind"), (F.col("l_quantity") * 20).cast("int").alias("token_estimate"), F.round(F.col("l_extendedprice") / 10000, 6).alias("score"),
     )
 
@@ -116,10 +118,11 @@ b AS (SELECT query_id, target AS path, 1.0 AS boost FROM r JOIN s ON source = se
 SELECT query_id, path, round(CAST(sum(boost) AS DOUBLE), 6) AS boost FROM b GROUP BY ALL
 """)
 def graph_expand(t: Tables) -> DataFrame:
-    relations = t.lineitem.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target")).distinct()
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    ranked = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("rel_path"), F.col("o_totalprice").alias("score"), rank.alias("rank"))
-    return search.graph_expansion(ranked, relations)
+    n = parts(t.lineitem)
+    relations = t.lineitem.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target")).repartition(n, "source").distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rel_path"))
+    orders = spread(t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("rel_path"), F.col("o_totalprice").alias("score")), "query_id")
+    return search.graph_expansion(orders.withColumn("rank", rank), relations, parts=2 * n)
 
 
 @query("""

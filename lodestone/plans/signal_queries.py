@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..operators import search, signals
+from ..session import kept, spread
 from . import sql as S
 from .registry import Tables, query
 from .search_queries import _MIN, chunk_search_min
@@ -114,9 +115,10 @@ _CANDIDATES = "c AS (SELECT l_orderkey AS query_id, 'f' || (l_suppkey % 40) AS r
 
 
 def _candidates(t: Tables) -> DataFrame:
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"))
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey"))
     score = F.when(F.col("l_quantity") < 25, 0.0).otherwise(F.round(F.col("l_extendedprice") / 10000, 2))
-    return t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("f"), (F.col("l_suppkey") % 40).cast("string")).alias("rel_path"), pos.cast("long").alias("start_line"), score.alias("score"))
+    rows = spread(t.lineitem.withColumnRenamed("l_orderkey", "query_id"), "query_id")
+    return rows.select("query_id", F.concat(F.lit("f"), (F.col("l_suppkey") % 40).cast("string")).alias("rel_path"), pos.cast("long").alias("start_line"), score.alias("score"))
 
 
 @query(f"""
