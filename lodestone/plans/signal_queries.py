@@ -89,8 +89,9 @@ hints AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def _hints(t: Tables) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{3,}"), F.lit(0))
-    files = corpus(t).select("rel_path", words.alias("w"))
+    # A text is read no further than its 24th word, once: what follows is of no account to either list.
+    head = F.regexp_extract(F.lower("content"), r"(?s)\A(?>.*?[a-z]{3,}+){0,24}", 0)
+    files = kept(corpus(t).select("rel_path", F.regexp_extract_all(head, F.lit("[a-z]{3,}"), F.lit(0)).alias("w")))
     symbols = files.select("rel_path", F.explode(F.array_distinct(F.slice("w", 1, 12))).alias("name"))
     imports = files.select("rel_path", F.explode(F.array_distinct(F.transform(F.slice("w", 20, 5), lambda w: F.concat(F.lit("pkg/"), w, F.lit(".x"))))).alias("imp"))
     return signals.structural_hints(symbols, imports, search.question_terms(questions(t)))
