@@ -70,3 +70,14 @@ def test_related_pairs_are_dealt_before_they_are_summed(spark):
     edges = spark.createDataFrame([("a", "x"), ("y", "a"), ("a", "y"), ("b", "z")], "source string, target string")
     got = search.graph_expansion(ranked, edges, parts=7)
     assert {tuple(r) for r in got.collect()} == {(1, "x", 1.0), (1, "y", 1.8)} and "hashpartitioning(query_id" in plan(got) and ", 7), REPARTITION_BY_NUM" in plan(got)
+
+
+def test_hints_read_a_text_once_and_no_further_than_its_words(spark, sf_dir):
+    told = plan(catalog.queries()["structural_hints"](spark, sf_dir))
+    assert "source#" not in told  # a column of documents: the lists are kept, the texts are read no more
+
+
+def test_source_files_reach_python_in_small_batches(spark, sf_dir):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    catalog.queries()["file_forms"](spark, sf_dir)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
