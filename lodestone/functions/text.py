@@ -242,6 +242,13 @@ def token_kind(c: Column | str) -> Column:
     return F.when(F.contains(t, F.lit("/")) | known, "path").when(dotted, "api").when(code, "symbol").otherwise("skip")
 
 
+def code_tokens(c: Column | str) -> Column:
+    """The distinct identifiers of a text whose kind is api or symbol."""
+    # Most words have neither dot, underscore nor capital past their start; one pattern tells them apart before the kind is asked for.
+    some = F.filter(extract_all(text(c), IDENTIFIER), lambda t: t.rlike(r"[._]|.[A-Z]|^[A-Z][^a-z]*\z"))
+    return F.filter(F.array_distinct(some), lambda t: token_kind(t).isin("api", "symbol"))
+
+
 def drift_parts(c: Column | str) -> Column:
     """Parts of a dotted, snake_case or camelCase token of three bytes or more."""
     return F.filter(F.split(text(c), r"[_.]|(?<=[a-z])(?=[A-Z])"), lambda p: F.octet_length(p) >= 3)

@@ -44,13 +44,20 @@ def drift(answers: DataFrame, bundles: DataFrame) -> DataFrame:
     and code symbols; one is known if the answer's bundle has it, or it is a part
     of three bytes or more of a token there, whatever the case.
     """
-    tokens = answers.select("answer_id", F.explode(F.array_distinct(T.extract_all(F.coalesce("text", F.lit("")), T.IDENTIFIER))).alias("token")).where(T.token_kind("token").isin("api", "symbol"))
-    own = bundles.select("answer_id", F.explode(F.array_distinct(T.extract_all(F.coalesce("text", F.lit("")), T.IDENTIFIER))).alias("token"))
-    parts = own.select("answer_id", F.explode(F.concat(F.array("token"), T.drift_parts("token"))).alias("token")).select("answer_id", F.lower("token").alias("key")).distinct()
-    asked = tokens.select("answer_id", "token", F.lower("token").alias("key"))
-    known = asked.join(parts.withColumn("known", F.lit(1)), ["answer_id", "key"], "left")
-    counted = known.groupBy("answer_id").agg(F.count("known").alias("known"), (F.count("*") - F.count("known")).alias("unknown"))
-    every = answers.select("answer_id").join(counted, "answer_id", "left").na.fill(0)
+    # Tokens stay in lists, one row an answer: each text is read once, where it lies, a bundle's only if its answer has a token, and no token is a row.
+    asked = answers.where(F.col("answer_id").isNotNull()).select("answer_id", T.code_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    keys = F.array_sort(F.transform(F.flatten(F.collect_list("tokens")), F.lower))
+    asked = asked.groupBy("answer_id").agg(keys.alias("keys")).where(F.size("keys") > 0)
+    held = lambda words: F.transform(F.concat(words, F.flatten(F.transform(words, T.drift_parts))), F.lower)
+    parts = T.let(F.array_distinct(T.extract_all(F.coalesce("text", F.lit("")), T.IDENTIFIER)), held)
+    # Lists look small to the planner, which would broadcast them.
+    met = asked.hint("merge").join(bundles.select("answer_id", "text"), "answer_id", "left").select("answer_id", "keys", F.array_intersect("keys", parts).alias("found"))
+    found = met.groupBy("answer_id").agg(F.first("keys").alias("keys"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    # Tokens that differ in case alone share a key and count each.
+    again = F.filter("keys", lambda x, k: (k > 0) & (x == F.get("keys", k - 1)))
+    known = (F.size("found") + F.size(F.filter(again, lambda x: F.array_contains("found", x)))).cast("long")
+    counted = found.select("answer_id", known.alias("known"), (F.size("keys") - known).alias("unknown"))
+    every = answers.select("answer_id").join(counted, "answer_id", "left").na.fill(0, ["known", "unknown"])
     total = F.col("known") + F.col("unknown")
     return every.withColumn("drift_rate", F.round(F.when(total > 0, F.col("unknown") / total).otherwise(0.0), 6))
 

@@ -81,3 +81,15 @@ def test_source_files_reach_python_in_small_batches(spark, sf_dir):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     catalog.queries()["file_forms"](spark, sf_dir)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
+def test_drift_reads_texts_once_and_makes_no_rows_of_tokens(spark, sf_dir):
+    told = plan(catalog.queries()["drift_rate"](spark, sf_dir))
+    assert "Generate" not in told
+
+
+def test_drift_by_lists(spark):
+    answers = spark.createDataFrame([(1, "getUser GetUser a.bc plain Title x_y"), (1, "getUser"), (2, "fooBar"), (3, None), (None, "fooBar"), (4, "snake_case and A1234")], "answer_id long, text string")
+    bundles = spark.createDataFrame([(1, "getuser"), (1, "AB.BC"), (1, "getUser x_y"), (2, None), (None, "fooBar"), (4, "SNAKE_CASE"), (5, "fooBar")], "answer_id long, text string")
+    got = sorted(map(tuple, audit.drift(answers, bundles).collect()), key=str)
+    assert got == sorted([(1, 3, 0, 0.0)] * 2 + [(2, 0, 1, 1.0), (3, 0, 0, 0.0), (None, 0, 0, 0.0), (4, 1, 1, 0.5)], key=str)
