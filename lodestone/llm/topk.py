@@ -2,9 +2,11 @@
 
 For a query q, a vector x and a pivot p, |d(q, p) - d(x, p)| <= d(q, x); the
 largest of these bounds over all pivots gives the upper bound
-(|q|^2 + |x|^2 - bound^2) / 2 of the inner product.  In a block of vectors,
-candidates are evaluated in the order of that bound until it falls below the
-k-th score found.
+(|q|^2 + |x|^2 - bound^2) / 2 of the inner product.  A block of vectors is cut
+into groups that lie near the same pivots, each with its range of distances to
+every pivot.  A query is measured against the group with the best bound, and
+against others as long as their bound reaches the k-th score found; all queries
+that need a group meet it in one product of matrices.
 """
 
 from __future__ import annotations
@@ -63,46 +65,75 @@ def _grid(column: pa.Array, rows: int, kind) -> np.ndarray:
 
 
 class Block:
-    """Vectors x (int64, one or more) with their distances dx to the pivots."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, dx: np.ndarray):
-        self.ids, self.x, self.dx, self.real = ids, x, dx, x.astype(float)
-        self.norms = np.einsum("ij,ij->i", self.real, self.real)
-        self.most = float(np.abs(self.real).max(initial=0)) * x.shape[1]
-
-
-def search_block(block: Block, query: int | None, q: np.ndarray, dq: np.ndarray, k: int, step: int = 512) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k best (vec_id, score) of a block for one query, ties to smaller vec_id, and how many candidates were evaluated; q int64.
+    """Vectors x (int64, one or more) in groups of ``step`` by nearest pivots; lows and highs are a group's distances to the pivots dx, or its norms without pivots."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, step: int = 128):
+        real = x.astype(float)
+        norms = np.einsum("ij,ij->i", real, real)
+        dx = dx if dx.shape[1] else np.sqrt(norms)[:, None]
+        near = dx.argmin(axis=1)
+        order = np.lexsort((dx[np.arange(len(ids)), near], near))
+        self.ids, self.x, self.real = ids[order], x[order], real[order]
+        self.starts = np.arange(0, len(ids), step)
+        self.ends = np.append(self.starts[1:], len(ids))
+        self.lows, self.highs = np.minimum.reduceat(dx[order], self.starts), np.maximum.reduceat(dx[order], self.starts)
+        self.norms = np.maximum.reduceat(norms[order], self.starts)
+        self.most = float(np.abs(real).max(initial=0)) * x.shape[1]
+
+    def bounds(self, q: np.ndarray, dq: np.ndarray) -> np.ndarray:
+        """By query and group, no less than any score of theirs."""
+        own = np.einsum("ij,ij->i", q, q)[:, None]
+        dq = dq if dq.shape[1] else np.sqrt(own)
+        low = np.zeros((len(q), len(self.starts)))
+        for at, lows, highs in zip(dq.T[:, :, None], self.lows.T, self.highs.T, strict=True):
+            np.maximum(low, lows - at, out=low)
+            np.maximum(low, at - highs, out=low)
+        # Pivots' distances are rounded: a margin keeps the bound above the score.
+        return (own + self.norms - low**2) / 2 + 1e-6 * (own + self.norms + 1) + 1
+
+
+def search_block(block: Block, queries: np.ndarray, q: np.ndarray, dq: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The k best of a block for queries with vectors q (int64): place of the query, vec_id and score, ties to smaller vec_id; and how many pairs were evaluated.
 
     Scores are int64 products, which are right whenever the score fits a long;
     where doubles hold all sums exactly they do the work.
     """
-    ids, x, norms, rq = block.ids, block.x, block.norms, q.astype(float)
-    if block.most * float(np.abs(rq).max(initial=0)) < 2**53:
-        x, q = block.real, rq
-    own = float(rq @ rq)
-    low = np.abs(block.dx - dq).max(axis=1) if block.dx.shape[1] else np.abs(np.sqrt(norms) - np.sqrt(own))
-    # Pivots' distances are rounded: a margin keeps the bound above the score.
-    bound = (own + norms - low**2) / 2 + 1e-6 * (own + norms + 1) + 1
-    order = np.argsort(-bound, kind="stable")
-    best_ids, best, done = np.empty(0, np.int64), np.empty(0, np.int64), 0
-    while done < len(order):
-        some = order[done : done + step]
-        if len(best) == k and bound[some[0]] < best[-1]:
-            break
-        done, step = done + len(some), 2 * step
-        # Of a large part of the block one product over all of it is cheaper than a copy of the rows.
-        scores = (x @ q)[some] if 4 * len(some) >= len(x) else x[some] @ q
-        best_ids, best = np.concatenate([best_ids, ids[some]]), np.concatenate([best, scores.astype(np.int64)])
-        if query is not None:
-            other = best_ids != query
-            best_ids, best = best_ids[other], best[other]
-        if len(best) > 4 * k:
-            near = best >= np.partition(best, len(best) - k)[len(best) - k]
-            best_ids, best = best_ids[near], best[near]
-        keep = np.lexsort((best_ids, -best))[:k]
-        best_ids, best = best_ids[keep], best[keep]
-    return best_ids, best, done
+    small = block.most * np.abs(q.astype(float)).max(axis=1, initial=0) < 2**53
+    out = [np.empty(0, np.int64) for _ in range(3)]
+    done = 0
+    for some, x, v in ((np.flatnonzero(small), block.real, q.astype(float)), (np.flatnonzero(~small), block.x, q)):
+        if len(some):
+            rows, ids, scores, n = _best(block, x, queries[some], v[some], block.bounds(q[some].astype(float), dq[some]), k)
+            out = [np.concatenate(pair) for pair in zip(out, (some[rows], ids, scores), strict=True)]
+            done += n
+    return (*out, done)
+
+
+def _best(block: Block, x: np.ndarray, queries: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    rows, ids, scores = (np.empty(0, np.int64) for _ in range(3))
+    last, full, done = np.zeros(len(q), np.int64), np.zeros(len(q), bool), 0
+    first = bound.argmax(axis=1)
+    # Each query's best group comes first, so that most have a k-th score before they meet the others.
+    for opening in (True, False):
+        for g in np.argsort(-bound.max(axis=0), kind="stable"):
+            asking = np.flatnonzero(first == g if opening else (first != g) & (~full | (bound[:, g] >= last)))
+            if not len(asking):
+                continue
+            at, end = block.starts[g], block.ends[g]
+            told = (q[asking] @ x[at:end].T).astype(np.int64)
+            done += told.size
+            a, c = np.nonzero((told >= last[asking, None]) | ~full[asking, None])
+            other = block.ids[at + c] != queries[asking[a]]
+            a, c = a[other], c[other]
+            rows, ids, scores = np.concatenate([rows, asking[a]]), np.concatenate([ids, block.ids[at + c]]), np.concatenate([scores, told[a, c]])
+            order = np.lexsort((ids, -scores, rows))
+            rows, ids, scores = rows[order], ids[order], scores[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            kept = place < k
+            rows, ids, scores, place = rows[kept], ids[kept], scores[kept], place[kept]
+            ends = place == k - 1
+            full[rows[ends]], last[rows[ends]] = True, scores[ends]
+    return rows, ids, scores, done
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, pivots: int = 64, sample: int = 2048, block: int = 8192, query_block: int = 4096) -> DataFrame:
@@ -151,17 +182,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, pivots: int = 6
     sent = sent.withColumn("block", every(blocks)).withColumn("d", F.size("v"))
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         n, m = left.num_rows, right.num_rows
-        if n and m:
-            whole = lambda t, c: t.column(c).combine_chunks() if t.column(c).num_chunks != 1 else t.column(c).chunk(0)
-            held = Block(left.column("vec_id").to_numpy(), _grid(whole(left, "v"), n, np.int64), _grid(whole(left, "far"), n, float))
-            for query, q, dq in zip(right.column("vec_id").to_pylist(), _grid(whole(right, "v"), m, np.int64), _grid(whole(right, "far"), m, float), strict=True):
-                found, scores, _ = search_block(held, query, q, dq, k)
-                out["query_id"] += [query] * len(found)
-                out["vec_id"] += found.tolist()
-                out["score"] += scores.tolist()
-        return pa.table(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+        if not n or not m:
+            return schema.empty_table()
+        whole = lambda t, c: t.column(c).combine_chunks() if t.column(c).num_chunks != 1 else t.column(c).chunk(0)
+        held = Block(left.column("vec_id").to_numpy(), _grid(whole(left, "v"), n, np.int64), _grid(whole(left, "far"), n, float))
+        queries = right.column("vec_id").to_numpy()
+        rows, found, scores, _ = search_block(held, queries, _grid(whole(right, "v"), m, np.int64), _grid(whole(right, "far"), m, float), k)
+        return pa.table([queries[rows], found, scores], schema)
 
     found = filed.groupBy("block", "query_block", "d").cogroup(sent.groupBy("block", "query_block", "d")).applyInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
