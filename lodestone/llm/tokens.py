@@ -56,10 +56,22 @@ class PieceEncoder:
         self.spaced: dict[str, bytes] = {}  # by piece without the space before it
         self.bare: dict[str, bytes] = {}
         self.line = self._one("\n")
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids whose bytes begin with a space, which byte-level vocabularies write so
+        self.opens[[k for t, k in vocab.items() if t.startswith("\u0120")]] = True
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    @staticmethod
+    def _cut(known: dict[str, bytes], pieces: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        if len(starts) != len(pieces):
+            raise ValueError("the vocabulary does not split texts before spaces and at line ends")
+        known.update(zip(pieces, map(ids.tobytes().__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist())), strict=True))
+
     def encode(self, texts: list[str | None], span: int = 1 << 18) -> list[bytes]:
         """About ``span`` characters, or one longer text, are held in pieces at once: workers keep what they have once taken."""
         out, k = [], 0
@@ -120,14 +132,16 @@ class PieceEncoder:
         new.update(p[:-1] for p in closed if p[:-1] not in known)
         odd = [p for p in new if not p.isalnum() and _ANY_WS.search(p)]
         new.difference_update(odd)
-        # Pieces joined by line ends: a line end before a space or a non-space is always its own piece.
         plain = list(new)
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([before + ("\n" + before).join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0]) * 4
-            raw = ids.tobytes()
-            for p, i, j in zip(plain, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True):
-                known[p] = raw[i:j]
+        if plain and before:
+            # Each piece opens with its space, and no other id of it does.
+            ids = self._ids(before + before.join(plain))
+            self._cut(known, plain, ids, starts := np.flatnonzero(self.opens[ids]), np.append(starts[1:], len(ids)))
+        elif plain:
+            # Pieces joined by line ends: a line end before a non-space is always its own piece.
+            ids = self._ids("\n".join(plain))
+            at = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
+            self._cut(known, plain, ids, np.append(0, at + 1), np.append(at, len(ids)))
         if odd:
             for p, e in zip(odd, self.tokenizer.encode_batch_fast([before + p for p in odd], add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, "<u4").tobytes()
