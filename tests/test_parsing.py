@@ -141,6 +141,14 @@ def test_closures_belong_to_the_innermost_function_and_are_limited():
     assert got == [("big.a", 3)]
 
 
+def test_closures_of_a_table_are_whole(spark):
+    many = "".join(f"  const f{k} = () => {{ }}\n" for k in range(250))
+    files = spark.createDataFrame([("a.js", "javascript", f"function outer() {{\n{many}}}\n")], "rel_path string, lang string, content string")
+    want = {(f"outer.f{k}", k + 2) for k in range(250)}
+    assert {(r.symbol, r.start_line) for r in parsing.nested_closures(files).collect()} == want
+    assert {(r.symbol, r.start_line) for r in parsing.code_chunks(files).where("kind = 'nested_func'").collect()} == want
+
+
 def test_python_chunks_keep_strings_and_leave_decorators():
     text = 'class C:\n    """doc"""\n\n    flag = False\n\n    @property\n    def meta(self):\n        return """\nnot: the end\n"""\n\n# about g\n@wraps\ndef g():\n    pass\n'
     got = [(c.kind, c.symbol, c.start, c.end, c.parent) for c in parsing.chunks_of("python", "c.py", text)]
