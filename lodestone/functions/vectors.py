@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,6 +31,36 @@ def unit(a: Column) -> Column:
     return F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+def similar(vectors: DataFrame, asked: DataFrame, least: float, digits: int) -> DataFrame:
+    """query_id, vec_id and similarity of vectors(vec_id, embedding) and asked(query_id, embedding), a stated set, whose cosine, rounded, is ``least`` or more.
+
+    The asked vectors go to every task, and a batch of vectors meets them in one product.
+    """
+    ids = {n: vectors.schema["vec_id"].dataType if n == "vec_id" else asked.schema["query_id"].dataType for n in ("vec_id", "query_id")}
+    by_size: dict[int, list] = {}
+    for r in asked.where("query_id is not null and size(embedding) > 0").collect():
+        by_size.setdefault(len(r.embedding), []).append((r.query_id, r.embedding))
+    sent = vectors.sparkSession.sparkContext.broadcast({n: ([q for q, _ in rows], np.array([v for _, v in rows], np.float64)) for n, rows in by_size.items()})
+    ddl = f"vec_id {ids['vec_id'].simpleString()}, query_id {ids['query_id'].simpleString()}, similarity double"
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["embedding"].map(len)
+            for n, (queries, q) in sent.value.items():
+                some = batch[sizes == n]
+                if not len(some):
+                    continue
+                v = np.stack(some["embedding"]).astype(np.float64)
+                norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cosines = np.where(norms == 0, 0.0, q @ v.T / norms)
+                i, k = np.nonzero(cosines >= least - 10.0**-digits)
+                yield pd.DataFrame({"vec_id": some["vec_id"].to_numpy()[k], "query_id": np.array(queries, object)[i], "similarity": cosines[i, k]})
+
+    found = vectors.where("vec_id is not null and size(embedding) > 0").select("vec_id", "embedding").mapInPandas(met, ddl)
+    return found.withColumn("similarity", F.round("similarity", digits)).where(F.col("similarity") >= least)
+
+
 def semantic_boost(similarity: Column, weight: float, threshold: float = 0.18) -> Column:
     """0 up to the threshold; then 1 and more, at most the weight."""
     b = 1 + (F.least(similarity, F.lit(1.0)) - threshold) * weight

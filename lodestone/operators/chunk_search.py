@@ -107,19 +107,20 @@ def features(chunks: DataFrame, questions: DataFrame, *, symbols: DataFrame | No
     return every.groupBy(*key).agg(*amounts)
 
 
-def score(w: SearchWeights) -> Column:
-    """Points of a row of features with its chunk's kind, before the working set and the graph."""
-    c, zero = F.col, F.lit(0.0)
+def points(c, w: SearchWeights, *, least, when, among):
+    """Points of amounts ``c`` by name, before the working set and the graph; columns or arrays, as the functions are."""
     base = c("symbol_met") * w.symbol_match + c("named") * w.symbol_exact + c("path") * w.path + c("kind_met") * w.kind + c("content") * w.content
-    base = base + F.when((c("kind") != "file") & (base > 0), w.chunk_scope).otherwise(zero)
-    base = base + F.when(c("kind").isin(*BODIES) & (base > 0), w.impl_kind).otherwise(zero)
-    cap = F.lit(w.structural_symbol)
-    told = F.least(c("exact") * w.structural_symbol + c("partial") * w.structural_partial, cap)
-    near = F.least(1 + (F.least(c("similarity"), F.lit(1.0)) - LEAST_SIMILARITY) * w.semantic, F.lit(w.semantic))
-    return (
-        base + told + F.least(c("imports") * w.structural_import, F.lit(MOST_IMPORTS)) + F.when(c("similarity") >= LEAST_SIMILARITY, near).otherwise(zero)
-        + c("filename") * w.exact_filename + c("lines") * w.exact_content
-    )
+    base = base + when((c("kind") != "file") & (base > 0), w.chunk_scope, 0.0)
+    base = base + when(among(c("kind"), BODIES) & (base > 0), w.impl_kind, 0.0)
+    told = least(c("exact") * w.structural_symbol + c("partial") * w.structural_partial, w.structural_symbol)
+    near = least(1 + (least(c("similarity"), 1.0) - LEAST_SIMILARITY) * w.semantic, w.semantic)
+    return base + told + least(c("imports") * w.structural_import, MOST_IMPORTS) + when(c("similarity") >= LEAST_SIMILARITY, near, 0.0) + c("filename") * w.exact_filename + c("lines") * w.exact_content
+
+
+def score(w: SearchWeights) -> Column:
+    """Points of a row of features with its chunk's kind."""
+    of = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return points(F.col, w, least=lambda a, b: F.least(of(a), of(b)), when=lambda test, a, b: F.when(test, a).otherwise(b), among=lambda c, values: c.isin(*values))
 
 
 def _bridges(scored: DataFrame, wanted: DataFrame, meta: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -140,7 +141,41 @@ def _raised(scored: DataFrame, wanted: DataFrame, meta: DataFrame, weight: float
     return held.select(*columns, "score").unionByName(bridges.select(*columns, "score")).where("score > 0")
 
 
-def ranked(features: DataFrame, chunks: DataFrame, questions: DataFrame, weights: SearchWeights | None = None, *, changed: DataFrame | None = None, relations: DataFrame | None = None, limit: int = 8, candidates: list[SearchWeights] | None = None, most_changed: int = 10_000) -> DataFrame:
+def _asked(questions: DataFrame, candidates: list[SearchWeights] | None) -> tuple[DataFrame, list[str]]:
+    """query_id, wants_tests and wants_legacy of questions, with candidates each of them by candidate and its weights; and the names of these."""
+    asked = questions.select("query_id", T.wants_tests("text").alias("wants_tests"), T.wants_legacy("text").alias("wants_legacy"))
+    return (asked, []) if candidates is None else (_each(asked, candidates), [f"w_{f.name}" for f in fields(SearchWeights)])
+
+
+def _each(rows: DataFrame, candidates: list[SearchWeights]) -> DataFrame:
+    """rows for each candidate, with its number and weights."""
+    names = [f.name for f in fields(SearchWeights)]
+    listed = F.array(*(F.struct(F.lit(k).alias("candidate"), *(F.lit(float(getattr(x, n))).alias(f"w_{n}") for n in names)) for k, x in enumerate(candidates)))
+    return rows.withColumn("__c", F.explode(listed)).select("*", "__c.*").drop("__c")
+
+
+def _columns() -> SearchWeights:
+    """Weights that stand in columns."""
+    return replace(SearchWeights(), **{f.name: F.col(f"w_{f.name}") for f in fields(SearchWeights)})
+
+
+def related(scored: DataFrame, relations: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by and rel_path of the files that relations(source, target) tie to the first eight files of each question."""
+    best = scored.groupBy(*by, "rel_path").agg(F.max("score").alias("s"))
+    seeds = best.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("s"), "rel_path"))).where(F.col("k") <= SEEDS).select(*by, F.col("rel_path").alias("seed"))
+    both = relations.select(F.col("source").alias("seed"), F.col("target").alias("rel_path")).unionByName(relations.select(F.col("target").alias("seed"), F.col("source").alias("rel_path")))
+    return both.join(seeds, "seed").select(*by, "rel_path").distinct()
+
+
+def finished(scored: DataFrame, questions: DataFrame, candidates: list[SearchWeights], limit: int) -> DataFrame:
+    """The best of scored(candidate, query_id, rel_path, pos, start_line, symbol, kind, token_estimate, score) after all penalties."""
+    by = ("candidate", "query_id")
+    asked, _ = _asked(questions, candidates)
+    whole = scored.join(asked, list(by))
+    return search.finish(search.penalised(whole, _columns(), by).withColumn("score", F.round("score", 6)), limit, by=by)
+
+
+def ranked(features: DataFrame, chunks: DataFrame, questions: DataFrame, weights: SearchWeights | None = None, *, changed: DataFrame | None = None, relations: DataFrame | None = None, limit: int = 8, candidates: list[SearchWeights] | None = None) -> DataFrame:
     """The best chunks of each question: query_id, rank, rel_path, start_line, symbol, score.
 
     In order: own signals, those of the file's structure, similarity, exact names and
@@ -149,34 +184,22 @@ def ranked(features: DataFrame, chunks: DataFrame, questions: DataFrame, weights
     penalties.  Chunks without a score go; one symbol of a file stays once, and three
     chunks a file.  A changed or related file also brings its first chunk without a
     score.  With ``candidates`` all of them are ranked in one job, told apart by a
-    column candidate.  A working set has at most ``most_changed`` files.
+    column candidate.  ``file_search`` does the same over whole files of large tables.
     """
     by, w = ("query_id",), weights or SearchWeights()
     meta = kept(chunks.select("rel_path", "pos", "start_line", "symbol", "kind", "token_estimate"))
     rows = features.join(meta, ["rel_path", "pos"])
-    asked = questions.select("query_id", T.wants_tests("text").alias("wants_tests"), T.wants_legacy("text").alias("wants_legacy"))
+    asked, told = _asked(questions, candidates)
     if candidates is not None:
-        by = ("candidate", "query_id")
-        names = [f.name for f in fields(SearchWeights)]
-        listed = F.array(*(F.struct(F.lit(k).alias("candidate"), *(F.lit(float(getattr(x, n))).alias(f"w_{n}") for n in names)) for k, x in enumerate(candidates)))
-        rows, asked = rows.withColumn("__c", F.explode(listed)).select("*", "__c.*").drop("__c"), asked.withColumn("__c", F.explode(listed)).select("*", "__c.*").drop("__c")
-        w = replace(w, **{n: F.col(f"w_{n}") for n in names})
-    told = [f"w_{f.name}" for f in fields(SearchWeights)] if candidates is not None else []
+        by, rows, w = ("candidate", "query_id"), _each(rows, candidates), _columns()
     scored = rows.withColumn("score", score(w)).where("score > 0").select(*by, "rel_path", "pos", "start_line", "symbol", "kind", "token_estimate", *told, "score")
     mine = asked.select(*by, *told)
     if changed is not None:
         some = kept(changed.select(F.trim("rel_path").alias("rel_path")).where("rel_path <> ''").distinct())
-        if some.limit(most_changed + 1).count() > most_changed:
-            raise ValueError(f"a working set of more than {most_changed} files")
-        listed = some.agg(F.collect_list("rel_path").alias("l")).scalar()
-        scored = _raised(scored, mine.withColumn("rel_path", F.explode(listed)), meta, w.working_set, by)
+        scored = _raised(scored, mine.crossJoin(some), meta, w.working_set, by)
     if relations is not None:
         scored = kept(scored)
-        best = scored.groupBy(*by, "rel_path").agg(F.max("score").alias("s"))
-        seeds = best.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("s"), "rel_path"))).where(F.col("k") <= SEEDS).select(*by, F.col("rel_path").alias("seed"))
-        both = relations.select(F.col("source").alias("seed"), F.col("target").alias("rel_path")).unionByName(relations.select(F.col("target").alias("seed"), F.col("source").alias("rel_path"))).distinct()
-        related = both.join(seeds, "seed").select(*by, "rel_path").distinct()
-        scored = _raised(scored, related.join(mine, list(by)), meta, w.graph, by)
+        scored = _raised(scored, related(scored, relations, by).join(mine, list(by)), meta, w.graph, by)
     whole = scored.join(asked.drop(*told), list(by))
     return search.finish(search.penalised(whole, w, by).withColumn("score", F.round("score", 6)), limit, by=by)
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import chunk_search, economy, parsing, search, tuning
+from ..operators import chunk_search, economy, file_search, parsing, search, tuning
+from ..operators.chunk_search import LEAST_SIMILARITY
+from ..operators.search import SearchWeights
 from ..session import kept
 from . import sql as S
 from .registry import Tables, query
@@ -57,13 +59,16 @@ def _context(t: Tables) -> dict[str, DataFrame]:
     changed = paths.join(t.labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi").select("rel_path")
     relations = paths.select(F.col("rel_path").alias("source"), (F.col("doc_id") + 1).alias("doc_id")).join(paths.select("doc_id", F.col("rel_path").alias("target")), "doc_id").select("source", "target")
     vectors = t.embeddings.select("vec_id", "embedding")
-    asked = vectors.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    listed = asked.agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))).scalar()  # a stated set of questions
-    met = vectors.withColumn("a", F.explode(listed)).select("a.query_id", "vec_id", F.round(V.cosine(F.col("a.q"), F.col("embedding")), 6).alias("similarity"))
-    similar = met.where("similarity >= 0.18 and query_id <> vec_id").join(paths.select(F.col("doc_id").alias("vec_id"), "rel_path"), "vec_id").select("query_id", "rel_path", F.lit(0).alias("pos"), "similarity")
+    asked = vectors.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    met = V.similar(vectors, asked, LEAST_SIMILARITY, 6).where("query_id <> vec_id")
+    similar = met.join(paths.select(F.col("doc_id").alias("vec_id"), "rel_path"), "vec_id").select("query_id", "rel_path", F.lit(0).alias("pos"), "similarity")
     return {"changed": changed, "relations": relations, "similar": similar}
 
 
+def _search(t: Tables) -> file_search.FileSearch:
+    return file_search.FileSearch.over(source_files(t, dealt=True), questions(t), **_context(t))
+
+
 def signal_table(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Features, chunks and context of the search, the files among it."""
     files, chunks = _chunks(t)
@@ -152,8 +157,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, rel_path, start_line, symbol, sc
 """)
 def search_full(t: Tables) -> DataFrame:
     """The eight best chunks of every question with all signals, the working set, the graph and the penalties."""
-    features, chunks, context = signal_table(t)
-    return chunk_search.ranked(features, chunks, questions(t), changed=context["changed"], relations=context["relations"])
+    return _search(t).ranked([SearchWeights()]).drop("candidate")
 
 
 def _facts(t: Tables) -> DataFrame:
