@@ -69,6 +69,13 @@ def _search(t: Tables) -> file_search.FileSearch:
     return file_search.FileSearch.over(source_files(t, dealt=True), questions(t), **_context(t))
 
 
+def _hit_chunks(t: Tables, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files of hits(rel_path), and their chunks: only these are made and parsed again."""
+    named = search.checked(hits.select("rel_path").distinct(), 100_000)
+    files = kept(source_files(t, only=named).select("rel_path", "lang", "content"))
+    return files, parsing.code_chunks(files).select("rel_path", "pos", "start_line", "symbol", "content", "token_estimate")
+
+
 def signal_table(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Features, chunks and context of the search, the files among it."""
     files, chunks = _chunks(t)
@@ -196,9 +203,9 @@ FROM snippet s JOIN reached r USING (query_id) JOIN walked w ON w.query_id = r.q
 """)
 def economy_ab(t: Tables) -> DataFrame:
     """Both arms of the token economy from one search: its snippets, and the whole files, in the order of the hits, that find as many facts."""
-    features, chunks, context = signal_table(t)
-    hits = chunk_search.ranked(features, chunks, questions(t), changed=context["changed"], relations=context["relations"])
-    return economy.arms(hits, chunks, context["files"], _facts(t))
+    hits = kept(_search(t).ranked([SearchWeights()]).drop("candidate"))
+    files, chunks = _hit_chunks(t, hits)
+    return economy.arms(hits, chunks, files, _facts(t))
 
 
 @query()
