@@ -76,17 +76,6 @@ def _hit_chunks(t: Tables, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files, parsing.code_chunks(files).select("rel_path", "pos", "start_line", "symbol", "content", "token_estimate")
 
 
-def signal_table(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Features, chunks and context of the search, the files among it."""
-    files, chunks = _chunks(t)
-    context = _context(t) | {"files": files}
-    parsed = kept(parsing.parse(files).select("rel_path", F.col("symbols.name").alias("names"), "imports"))  # read for each signal
-    symbols = parsed.select("rel_path", F.explode("names").alias("name"))
-    imports = parsed.select("rel_path", F.explode("imports").alias("imp"))
-    similar = context["similar"].join(chunks.select("rel_path", "pos"), ["rel_path", "pos"], "left_semi")
-    return kept(chunk_search.features(chunks, questions(t), symbols=symbols, imports=imports, files=files, similar=similar)), chunks, context
-
-
 #: Every pair of a question and a chunk with its score, step by step.
 SEARCH_SQL = f"""{S.TERMS}, {SOURCES_SQL}, {SYMBOLS_SQL}, {CHUNKS_SQL}, {_NUMBERED}, {_LINES}, every_import AS (
   SELECT DISTINCT rel_path, imp FROM imports
@@ -211,7 +200,6 @@ def economy_ab(t: Tables) -> DataFrame:
 @query()
 def tuned_weights(t: Tables) -> DataFrame:
     """Four weights of the search tuned on the facts of all questions: name, value, and the share of facts found before and after."""
-    features, chunks, context = signal_table(t)
     names = ("symbol_match", "content", "structural_symbol", "graph")
-    best, told = tuning.tuned(tuning.Evaluation.over(features, chunks, questions(t), _facts(t), changed=context["changed"], relations=context["relations"]), names=names, passes=1)
+    best, told = tuning.tuned(tuning.FileEvaluation(_search(t), lambda hits: _hit_chunks(t, hits)[1], kept(_facts(t))), names=names, passes=1)
     return t.spark.createDataFrame([(n, float(getattr(best, n)), told[0][0], told[-1][0]) for n in names], "name string, value double, recall_before double, recall_after double")

@@ -1,12 +1,13 @@
 """The search over whole files against the one over a table of pairs."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
-from lodestone.operators import chunk_search, file_search, parsing
+from lodestone.operators import chunk_search, file_search, parsing, tuning
 from lodestone.operators.search import SearchWeights
 
 TRIES = [SearchWeights(), SearchWeights(symbol_match=0.0, content=12.0, graph=30.0, tiny_keep=0.3, long_penalty_max=1.0, working_set=40.0, test_keep=0.5, impl_kind=9.0, legacy_keep=0.6)]
@@ -65,6 +66,15 @@ def test_files_rank_as_pairs_do(given, pairs, monkeypatch, cells, most, limit):
         assert rows(file_search.FileSearch.over(files, asked, similar=similar, **context).ranked(TRIES, limit)) == want and want
 
 
+def test_tuner_over_files_judges_as_over_pairs(given, pairs):
+    files, asked, changed, relations, similar, facts = given
+    features, chunks = pairs
+    over_pairs = tuning.Evaluation.over(features, chunks, asked, facts, changed=changed, relations=relations)
+    over_files = tuning.FileEvaluation(file_search.FileSearch.over(files, asked, similar=similar, changed=changed, relations=relations), lambda hits: parsing.code_chunks(files), facts)
+    tries = [*TRIES, replace(TRIES[0], content=4.0)]
+    assert over_files.scores(tries) == over_pairs.scores(tries)
+
+
 def test_working_set_of_any_size(spark, given, pairs):
     files, asked, _, _, _, _ = given
     many = spark.range(10_050).select(F.concat(F.lit("none/"), F.col("id").cast("string")).alias("rel_path")).unionByName(files.select("rel_path"))
