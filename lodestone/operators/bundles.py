@@ -56,52 +56,90 @@ def pack_ladder(candidates: DataFrame, budget: int, lean: bool = False, *, raise
     as a signature, else as a note; what does not fit in any form is passed over.
     Returns query_id, rank, rel_path, form and tokens.
 
-    Ranks are folded in blocks of ``block``; only questions in which some form of
-    some later file still fits go on, so no group holds a whole ranking.
+    Files are folded in blocks of ``block``; a question goes on with the next of those
+    that have a form for which room is left, so no group holds a whole ranking and what
+    can no longer fit is not gone through.
     """
-    rows = kept(candidates.select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path", "score", *(F.col(c).cast("int").alias(c) for c in FORMS)))
-    least = F.min(F.least(*(F.when(F.col(c) > 0, F.col(c)) for c in FORMS)))
-    after = rows.groupBy("query_id", F.floor((F.col("rank") - 1) / block).cast("int").alias("block")).agg(least.alias("least"))
-    rest = F.min("least").over(Window.partitionBy("query_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing))
-    after = kept(after.withColumn("rest", rest))
-    blocks = after.agg(F.max("block")).first()[0]
-    state = rows.select("query_id").distinct().select("query_id", F.lit(RESERVE).alias("used"))
+    taken = _taken(candidates, budget, lean, block)
+    return (_raised(taken, budget) if raised else taken).select("query_id", "rank", "rel_path", "form", "tokens")
+
+
+def _taken(candidates: DataFrame, budget: int, lean: bool = False, block: int = 256) -> DataFrame:
+    """The first pass: query_id, rank, rel_path, form, tokens and full."""
+    rows = candidates.select("query_id", F.col("rank").cast("int").alias("rank"), "rel_path", "score", *(F.col(c).cast("int").alias(c) for c in FORMS))
+    rows = kept(rows.withColumn("least", F.least(*(F.when(F.col(c) > 0, F.col(c)) for c in FORMS))))
+    ends = F.coalesce(F.col("score") < LEAST_SCORE, F.lit(True))  # such a file closes the bundle
+    state = rows.select("query_id").distinct().select("query_id", F.lit(RESERVE).alias("used"), F.lit(0).alias("after"))
     parts: list[DataFrame] = []
-    for k in range(0 if blocks is None else blocks + 1):
-        listed = rows.where((F.col("rank") > k * block) & (F.col("rank") <= (k + 1) * block)).join(state, "query_id").groupBy("query_id", "used").agg(F.array_sort(F.collect_list(F.struct("rank", "rel_path", "score", *FORMS))).alias("files"))
-        folded = kept(listed.select("query_id", _ladder(budget, FULL_TOKENS_LEAN if lean else FULL_TOKENS).alias("s")).select("query_id", "s.*"))
-        parts.append(folded.select("query_id", F.explode("taken").alias("t")).select("query_id", "t.*"))
-        left = after.where(F.col("block") == k).select("query_id", "rest")
-        state = folded.where("open").join(left, "query_id").where(F.col("used") + F.col("rest") <= budget).select("query_id", "used")
-        if state.isEmpty():
+    while True:
+        left = rows.join(state, "query_id").where((F.col("rank") > F.col("after")) & (ends | (F.col("least") <= budget - F.col("used"))))
+        first = left.withColumn("__k", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("__k") <= block)
+        listed = first.groupBy("query_id", "used").agg(F.max("rank").alias("after"), F.array_sort(F.collect_list(F.struct("rank", "rel_path", "score", *FORMS))).alias("files"))
+        folded = kept(listed.select("query_id", "after", _ladder(budget, FULL_TOKENS_LEAN if lean else FULL_TOKENS).alias("s")).select("query_id", "after", "s.*"))
+        if folded.isEmpty():
             break
+        parts.append(folded.select("query_id", F.explode("taken").alias("t")).select("query_id", "t.*"))
+        state = folded.where("open").select("query_id", "used", "after")
     if not parts:
-        return rows.select("query_id", "rank", "rel_path", F.lit("").alias("form"), F.lit(0).alias("tokens"))
-    taken = reduce(DataFrame.unionByName, parts)
-    return _raised(taken, budget).select("query_id", "rank", "rel_path", "form", "tokens") if raised else taken.select("query_id", "rank", "rel_path", "form", "tokens")
+        return rows.select("query_id", "rank", "rel_path", F.lit("").alias("form"), F.lit(0).alias("tokens"), "full").limit(0)
+    return reduce(DataFrame.unionByName, parts)
 
 
-def pack_ranking(rank: Callable[[int], DataFrame], forms: DataFrame, budget: int, *, first: int = 256, **options) -> DataFrame:
+def pack_ranking(rank: Callable[[int], DataFrame], forms: DataFrame | Callable[[DataFrame], tuple[DataFrame, DataFrame]], budget: int, *, first: int = 256, small: Callable[[int], DataFrame] | None = None, **options) -> DataFrame:
     """``pack_ladder`` over a ranking of which only as many files are asked for as bundles have room for.
 
     rank(top) gives query_id, rank, rel_path and score of the first ``top`` files of
     each question; forms(rel_path, full, signature, note) their tokens; the option
     ``excerpts`` gives query_id, rel_path and excerpt (tokens) for such files.  While some question has more files and
     room for the smallest form of any, four times as many are asked for.
+
+    forms may also be a function that gives the forms and the excerpts of ranked files
+    alone; ``small(room)`` then gives rel_path and least (tokens) of all files whose
+    smallest form has ``room`` tokens or fewer, and of the files after the first only
+    these are packed: no other one fits.
     """
-    excerpts = options.pop("excerpts")
+    excerpts = options.pop("excerpts", None)
+    if not isinstance(forms, DataFrame):
+        return _pack_rest(rank, forms, small, budget, first, options)
     forms = kept(forms)
     least = forms.agg(F.min(F.least("full", "signature", "note"))).first()[0] or 0
     while True:
         some = kept(rank(first))
-        packed = kept(pack_ladder(some.join(forms, "rel_path").join(excerpts(some), ["query_id", "rel_path"], "left"), budget, **options))
-        used = packed.groupBy("query_id").agg((F.sum("tokens") + RESERVE).alias("used"))
-        more = some.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= first).join(used, "query_id", "left")
-        if more.where(F.coalesce("used", F.lit(RESERVE)) + least <= budget).isEmpty():
-            return packed
+        taken = kept(_taken(some.join(forms, "rel_path").join(excerpts(some), ["query_id", "rel_path"], "left"), budget, **options))
+        if _room(some.where(F.col("rank") >= first), taken, budget) < least:
+            return _raised(taken, budget).select(*_PACKED)
         first *= 4
 
 
+_PACKED = ("query_id", "rank", "rel_path", "form", "tokens")
+
+
+def _room(questions: DataFrame, taken: DataFrame, budget: int) -> int:
+    """The most tokens that a bundle of the questions has left before files are raised, as further ones come first; -1 without questions."""
+    used = taken.groupBy("query_id").agg((F.sum("tokens") + RESERVE).alias("used"))
+    room = questions.select("query_id").distinct().join(used, "query_id", "left").agg(F.max(budget - F.coalesce("used", F.lit(RESERVE)))).first()[0]
+    return -1 if room is None else room
+
+
+def _pack_rest(rank: Callable[[int], DataFrame], described: Callable[[DataFrame], tuple[DataFrame, DataFrame]], small: Callable[[int], DataFrame], budget: int, first: int, options: dict) -> DataFrame:
+    def pack(some: DataFrame) -> DataFrame:
+        own, shown = described(some)
+        return kept(_taken(some.join(own, "rel_path").join(shown, ["query_id", "rel_path"], "left"), budget, **options))
+
+    begun, top = kept(rank(first)), first
+    taken = pack(begun)
+    room = _room(begun.where(F.col("rank") == first), taken, budget)
+    fitting = kept(small(room).groupBy("rel_path").agg(F.min("least").alias("least")).withColumn("__fits", F.lit(True))) if room > 0 else None
+    least = fitting.agg(F.min("least")).first()[0] if fitting is not None else None
+    while least is not None and room >= least:
+        top *= 16
+        last = F.col("rank") == top  # tells that the question has more files
+        later = kept(rank(top).where(F.col("rank") > first).join(fitting, "rel_path", "left").where(last | F.col("__fits")))
+        taken = pack(kept(begun.unionByName(later.where("__fits").select(begun.columns))))
+        room = _room(later.where(last), taken, budget)
+    return _raised(taken, budget).select(*_PACKED)
+
+
 #: The forms of a file, richest first.
 FORMS = ("full", "excerpt", "signature", "note")
 

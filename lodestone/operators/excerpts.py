@@ -108,6 +108,16 @@ def _shortened(signatures: pd.Series) -> pd.Series:
     return signatures.map(shortened)
 
 
+def least_tokens(rel_path: Column, lang: Column, size: Column) -> Column:
+    """Tokens that no form of a file of ``size`` bytes or more falls short of, told without reading it."""
+    named = F.octet_length(rel_path) + F.octet_length(F.coalesce(lang, F.lit("")))
+    head = named + len("// file: \n// lang: \n// representation: ")
+    line = F.coalesce(*(F.when(lang == n, min(len(form.format("x")) for form in lines.values()) + 1) for n, lines in parsing.SIGNATURES.items()), F.lit(1))
+    cut = named + F.when(named > SIGNATURE_TOKENS, len("// file: \n// lang: ")).otherwise(len("// file: \n// lang: \n// + 1 more lines (signature truncated)"))  # a long path leaves no room for the mark
+    note = head + len("structural_note\n// size: 0 lines, 0 bytes\n")
+    return F.ceil(F.least(size, head + len("signature\n\n") + line, cut, note) / 4).cast("int")
+
+
 def forms(files: DataFrame) -> DataFrame:
     """rel_path, signature and note of files(rel_path, lang, content), as they stand in a bundle, and the tokens of all: full, signature_tokens, note_tokens."""
     parsed = parsing.parse(files.select("rel_path", "lang", "content"))

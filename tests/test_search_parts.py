@@ -6,8 +6,10 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import bundles, chunk_search, index, tuning
+from lodestone.operators import bundles, chunk_search, excerpts, index, tuning
 from lodestone.operators.search import SearchWeights
+from lodestone.plans.registry import Tables
+from lodestone.plans.sources import source_files, source_sizes
 
 
 def test_lines_meet_long_and_nested_chunks(spark):
@@ -65,6 +67,40 @@ def test_ranking_is_asked_for_only_as_far_as_bundles_have_room(spark):
     assert packed.count() == 40 and asked == [8, 32, 128]
 
 
+def test_forms_are_made_of_the_first_files_and_of_those_that_fit(spark):
+    # Small files lie far behind in the ranking, and are no longer there once a bundle's first files are raised to the whole.
+    sizes = [(f"p{k:04}", 400, 380, 390) if k not in (170, 700, 880) else (f"p{k:04}", 90, 31, 30) for k in range(900)]
+    forms = spark.createDataFrame(sizes, "rel_path string, full int, signature int, note int").cache()
+    made, rooms = [], []
+    rank = lambda top: spark.range(min(top, 900)).select(F.lit(1).alias("query_id"), (F.col("id") + 1).cast("int").alias("rank"), F.format_string("p%04d", F.col("id")).alias("rel_path"), F.lit(1.0).alias("score"))
+    none = lambda some: some.select("query_id", "rel_path", F.lit(None).cast("int").alias("excerpt")).limit(0)
+
+    def described(some):
+        made.append(some.count())
+        return forms.join(some.select("rel_path"), "rel_path", "left_semi"), none(some)
+
+    def small(room):
+        rooms.append(room)
+        return forms.select("rel_path", F.least("full", "signature", "note").alias("least")).where(F.col("least") <= room)
+
+    want = ladder([(p, 1.0, (full, None, s, n)) for p, full, s, n in sizes], 2165)
+    got = {tuple(r) for r in bundles.pack_ranking(rank, described, 2165, first=8, small=small).collect()}
+    assert {(r[1:]) for r in got} == want and len(want) == 7 and made[0] == 8 and max(made) <= 11 and rooms == [85]
+    assert {tuple(r)[1:] for r in bundles.pack_ranking(rank, forms, 2165, first=8, excerpts=none).collect()} == want
+
+
+def test_no_form_falls_short_of_its_bound(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    odd = spark.createDataFrame([("a", None, ""), ("a.json", "json", "{}"), ("a.go", "go", "x"), ("b.go", "go", "package p\nvar x = 1\n"), ("c.md", "markdown", "# x\n"), ("d.rs", "rust", "fn f() {}\n"), ("e.md", "markdown", "# x\n" * 600), ("f" * 1500 + ".py", "python", "def f():\n    pass\n" * 200)], "rel_path string, lang string, content string")
+    sized = odd.select("rel_path", "lang", F.octet_length("content").alias("size"))
+    for files, sizes in ((odd, sized), (source_files(t), source_sizes(t))):
+        least = F.least("full", "signature_tokens", "note_tokens")
+        both = excerpts.forms(files).join(sizes, "rel_path").withColumn("bound", excerpts.least_tokens(F.col("rel_path"), F.col("lang"), F.col("size")))
+        assert both.count() == files.count() and both.where(least < F.col("bound")).count() == 0
+    whole = source_files(t).select("rel_path", F.octet_length("content").alias("n")).join(source_sizes(t), "rel_path")
+    assert whole.where("n < size or size < n - 500").count() == 0
+
+
 @pytest.fixture(scope="module")
 def searched(spark):
     rng = random.Random(3)
